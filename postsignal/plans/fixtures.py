@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import scoring, text
-from ..session import ensure_utc, scratch_path
+from ..session import ensure_utc, scratch_path, spread_small
 
 TOPICS = ["nifty50", "sensex", "intraday", "banknifty"]
 
@@ -31,10 +31,21 @@ CONTENT_SQL = f"""
       {CALL_SQL}, ' target ', cast(n_chars as {{text}}), case when n_chars % 4 = 0 then '.5' else '' end)"""
 
 
+SCHEMAS = {
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "events": """event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double,
+        props string""",
+}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_utc(spark)
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "n_chars")
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "value", "props")
+    documents = spread_small(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars"), "doc_id")
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value", "props")
     factor = F.get_json_object("props", "$.k").cast("bigint")
     return documents.join(events, documents.doc_id == events.event_id).select(
         F.col("doc_id").alias("post_id"),
@@ -69,8 +80,8 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def as_of(spark: SparkSession, sf_dir: str) -> Column:
     """The newest post time as a scalar subquery; it reads three narrow columns."""
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts")
+    documents = table(spark, sf_dir, "documents").select("doc_id")
+    events = table(spark, sf_dir, "events").select("event_id", "ts")
     matched = events.join(documents, events.event_id == documents.doc_id, "left_semi")
     return matched.agg(F.max("ts")).scalar()
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # What the library relies on; everything else is left to the cluster.
 SETTINGS = {
@@ -51,3 +51,13 @@ def scratch_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path, not yet written, in the shared scratch folder."""
     return f"{scratch_root(spark).rstrip('/')}/postsignal/{label}-{uuid.uuid4().hex}"
+
+
+def spread_small(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores for a table read in fewer partitions than there are cores.
+
+    A small file cannot be split below its row groups. A table that already
+    gives every core a partition is left as it is: no shuffle at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
