@@ -54,6 +54,12 @@ def _clean_elements(lists: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(starts, _clean_batch(lists.flatten()))
 
 
+# Marked as not deterministic so that a filter on a cleaned column is not moved
+# below other operators as a second call.
+_clean = _clean.asNondeterministic()
+_clean_elements = _clean_elements.asNondeterministic()
+
+
 def clean_text(c: Column) -> Column:
     """NFKC, whitespace runs to one space, control characters out, trimmed.
 

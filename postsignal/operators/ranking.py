@@ -54,6 +54,15 @@ def parse_limit(value: str | int | None) -> int | None:
         raise ValueError(f"invalid limit parameter: {value}, must be a number") from None
 
 
+def explode_present(df: DataFrame, array: Column, output: str) -> DataFrame:
+    """One row per non-null element.
+
+    A plain explode first filters on the array's size, which computes a costly
+    array expression a second time; the outer form does not.
+    """
+    return df.withColumn(output, F.explode_outer(array)).filter(F.col(output).isNotNull())
+
+
 def top_values(
     df: DataFrame, column: str = "hashtags", n: int = 10, ts: str = "ts", output: str = "hashtag"
 ) -> DataFrame:
@@ -63,7 +72,7 @@ def top_values(
     partially aggregated, so a hot element costs one row per task.
     """
     counted = (
-        df.select(ts, F.explode(column).alias(output))
+        explode_present(df.select(ts, column), F.col(column), output)
         .groupBy(output)
         .agg(F.count("*").alias("n"), F.max(ts).alias("_last"))
     )
@@ -91,9 +100,8 @@ def with_topics(
         return F.coalesce(*[F.when(tests[t], F.lit(i + 1)) for i, t in enumerate(tiers)])
 
     matches = F.array(*[F.struct(F.lit(t).alias("topic"), tier_of(t).alias("tier")) for t in topics])
-    return posts.withColumn("_m", F.explode(F.filter(matches, lambda m: m.tier.isNotNull()))).select(
-        "*", "_m.topic", "_m.tier"
-    ).drop("_m")
+    found = F.filter(matches, lambda m: m.tier.isNotNull())
+    return explode_present(posts, found, "_m").select("*", "_m.topic", "_m.tier").drop("_m")
 
 
 def select_topics(

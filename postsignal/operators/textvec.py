@@ -60,7 +60,9 @@ def term_counts(terms: DataFrame, column: str = "terms") -> DataFrame:
     """
     seen = F.concat(column, F.array_distinct(column))
     return (
-        terms.select(F.size(column).alias("_n"), F.posexplode(seen).alias("_pos", "term"))
+        # The outer form does not compute the term list twice to test its size.
+        terms.select(F.size(column).alias("_n"), F.posexplode_outer(seen).alias("_pos", "term"))
+        .filter(F.col("term").isNotNull())
         .groupBy("term")
         .agg(
             F.count_if(F.col("_pos") < F.col("_n")).alias("ctf"),
@@ -186,6 +188,6 @@ def feature_map(components: Column, count: int) -> Column:
 def weights_long(weighed: DataFrame, model: TextVectors, key: str, vector: str = "tfidf") -> DataFrame:
     """Non-zero weights as (key, term, weight) rows."""
     cells = F.transform(vector_to_array(vector), lambda w, i: F.struct(i.alias("i"), w.alias("weight")))
-    kept = weighed.select(key, F.inline(F.filter(cells, lambda c: c.weight != 0)))
+    kept = weighed.select(key, F.inline_outer(F.filter(cells, lambda c: c.weight != 0)))
     names = F.array(*[F.lit(t) for t in model.terms])
-    return kept.select(key, F.get(names, F.col("i")).alias("term"), "weight")
+    return kept.filter(F.col("i").isNotNull()).select(key, F.get(names, F.col("i")).alias("term"), "weight")

@@ -177,8 +177,8 @@ def content_hash(spark, sf):
 
 
 def _exploded(spark, sf, column):
-    lists = fixtures.tagged(spark, sf).select("post_id", F.posexplode(column).alias("pos", "word"))
-    return lists.select("post_id", F.col("pos").cast("bigint").alias("pos"), "word")
+    lists = fixtures.tagged(spark, sf).select("post_id", F.posexplode_outer(column).alias("pos", "word"))
+    return lists.filter(F.col("word").isNotNull()).select("post_id", F.col("pos").cast("bigint").alias("pos"), "word")
 
 
 def extract_hashtags(spark, sf):
@@ -326,7 +326,8 @@ def svd_project(spark, sf):
     model = textvec.fit(posts)
     scored = model.transform(posts, output="components")
     named = textvec.feature_map(F.col("components"), len(model.singular_values))
-    return scored.select("post_id", F.explode(named).alias("feature", "value")).select(
+    cells = scored.select("post_id", F.explode_outer(named).alias("feature", "value"))
+    return cells.filter(F.col("feature").isNotNull()).select(
         "post_id", "feature", r6("value")
     )
 
@@ -617,7 +618,9 @@ def stream_dedupe(spark, sf):
 
 def stream_signals(spark, sf):
     path, checkpoint = scratch_path(spark, "signals"), scratch_path(spark, "state")
-    _finish(streams.start_signals(_pages(spark, sf), path, STREAM_TIME, checkpoint))
+    _finish(
+        streams.start_signals(_pages(spark, sf), scratch_path(spark, "unique"), path, STREAM_TIME, checkpoint)
+    )
     stored = StoredTable(spark, path, schema.SIGNALS, day_of="ts").read()
     return stored.select("content_hash", r6("sentiment_score"), "sentiment_label")
 

@@ -83,8 +83,8 @@ class StoredTable:
     ) -> int:
         """Insert or replace by key; `keep_old` columns keep their first value.
 
-        A key must keep its day. The batch is evaluated twice (once for its few
-        distinct days), so callers persist an expensive one.
+        A key must keep its day, as a stored post does. The batch's times are read
+        once more for its few distinct days.
         """
         gen = self.next_generation() if gen is None else gen
         days = None

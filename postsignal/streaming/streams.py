@@ -13,7 +13,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .. import schema
 from ..operators import summary
-from ..operators.dedupe import dedupe_by_hash
 from ..plans.analyze import build_signals
 from ..plans.collect import clean_posts
 from ..sources import run_ledger
@@ -68,20 +67,21 @@ def start_store(
 
 
 def start_signals(
-    posts: DataFrame, table_path: str, as_of: datetime, checkpoint: str, **trigger
+    posts: DataFrame, posts_path: str, signals_path: str, as_of: datetime, checkpoint: str, **trigger
 ) -> StreamingQuery:
-    """Score each batch and upsert its signals; replays give the same table."""
+    """Store each batch's new posts, score them and upsert their signals.
+
+    Only posts new to the store are scored: a later copy of a stored text keeps
+    the stored post's time and signal. Replays give the same tables.
+    """
     spark = posts.sparkSession
 
     def score(batch: DataFrame, batch_id: int) -> None:
-        table = StoredTable(spark, table_path, schema.SIGNALS, day_of="ts")
-        unique = dedupe_by_hash(batch, ["ts", "tweet_id"]).persist()
-        try:
-            table.upsert(
-                build_signals(unique, as_of), "content_hash", keep_old=("processed_at",), gen=batch_id
-            )
-        finally:
-            unique.unpersist()
+        stored = StoredTable(spark, posts_path, schema.POSTS)
+        stored.insert_if_absent(batch, "content_hash", ["ts", "tweet_id"], gen=batch_id)
+        signals = StoredTable(spark, signals_path, schema.SIGNALS, day_of="ts")
+        scored = build_signals(stored.generation(batch_id), as_of)
+        signals.upsert(scored, "content_hash", keep_old=("processed_at",), gen=batch_id)
 
     return _for_each(posts, score, checkpoint, trigger)
 
