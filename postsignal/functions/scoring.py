@@ -49,10 +49,15 @@ FEATURES = (
 
 
 def custom_features(
-    content: Column, mentions: Column, hashtags: Column, market_tags: tuple[str, ...]
+    content: Column, mentions: Column, hashtags: Column, market_tags: tuple[str, ...],
+    numbers: Column | None = None,
 ) -> Column:
-    """Struct of the nine integer features in `FEATURES`."""
-    nums = text.numbers(content)
+    """Struct of the nine integer features in `FEATURES`.
+
+    `numbers` may name a column holding `text.numbers` of the content, which is
+    needed twice.
+    """
+    nums = text.numbers(content) if numbers is None else numbers
     values = {
         "text_length": F.length(content),
         "word_count": text.word_count(content),
@@ -116,13 +121,14 @@ def analyze_posts(df: DataFrame, config: ScoringConfig | None = None) -> DataFra
             **{n: F.coalesce(F.col(n), none) for n in ("mentions", "hashtags")},
         }
     )
-    scored = with_sentiment(usable, cfg.lexicon).withColumns(
+    found = usable.withColumn("_numbers", text.numbers(F.col("content")))
+    scored = with_sentiment(found, cfg.lexicon).withColumns(
         {
             "engagement_score": engagement_score(
                 F.col("likes"), F.col("retweets"), F.col("replies"), cfg.engagement
             ),
             "custom_features": custom_features(
-                F.col("content"), F.col("mentions"), F.col("hashtags"), cfg.market_tags
+                F.col("content"), F.col("mentions"), F.col("hashtags"), cfg.market_tags, F.col("_numbers")
             ),
         }
     )
@@ -133,4 +139,4 @@ def analyze_posts(df: DataFrame, config: ScoringConfig | None = None) -> DataFra
         F.col("custom_features.mention_count"),
         cfg.signal,
     )
-    return scored.withColumn("composite_signal", signal).drop("bullish_hits", "bearish_hits")
+    return scored.withColumn("composite_signal", signal).drop("bullish_hits", "bearish_hits", "_numbers")

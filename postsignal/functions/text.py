@@ -136,12 +136,17 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(f"{WORD}{WORD}+"), F.lit(0))
 
 
-def ngrams_1_2(words: Column) -> Column:
-    """The words of a token list followed by its adjacent pairs."""
+def _pairs(t: Column) -> Column:
+    last = F.greatest(F.size(t) - 1, F.lit(0))
+    pair = lambda left, right: F.concat(left, F.lit(" "), right)
+    return F.zip_with(F.slice(t, 1, last), F.slice(t, 2, last), pair)
+
 
-    def extend(t: Column) -> Column:
-        last = F.greatest(F.size(t) - 1, F.lit(0))
-        pair = lambda left, right: F.concat(left, F.lit(" "), right)
-        return F.concat(t, F.zip_with(F.slice(t, 1, last), F.slice(t, 2, last), pair))
+def adjacent_pairs(words: Column) -> Column:
+    """Adjacent words joined by a space; null where either is null."""
+    return bind(words, _pairs)
 
-    return bind(words, extend)
+
+def ngrams_1_2(words: Column) -> Column:
+    """The words of a token list followed by its adjacent pairs."""
+    return bind(words, lambda t: F.concat(t, _pairs(t)))

@@ -7,6 +7,7 @@ the cluster and put together again.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 from pyspark.sql import types as T
 
 from ..functions import text
@@ -25,6 +26,8 @@ from ..session import scratch_path
 
 # Bound on the vocabulary: the Gram matrix on the driver has its square as size.
 VOCABULARY_BOUND = 4096
+# How many times the vocabulary's size of frequent words is looked at.
+FREQUENT_WORDS = 4
 # Bound on the partial Gram matrices added up.
 GRAM_PARTITIONS = 2048
 
@@ -80,10 +83,6 @@ def top_terms(pruned: DataFrame, config: VectorConfig) -> DataFrame:
     return pruned.orderBy(F.desc("ctf"), "term").limit(config.max_features)
 
 
-def smooth_idf(df_count: Column, n_docs: int) -> Column:
-    return F.log(F.lit(1.0 + n_docs) / (df_count + 1)) + 1
-
-
 @dataclass
 class TextVectors:
     """A fitted vocabulary with its weights and, after `fit_svd`, its components."""
@@ -130,16 +129,45 @@ class TextVectors:
         return self.project(weighed, "_vector", output).drop("_vector")
 
 
+def choose_terms(df: DataFrame, content: str, n_docs: int, config: VectorConfig) -> list[Row]:
+    """The `top_terms` of all texts as (term, ctf, df) rows, at most `max_features`.
+
+    Distinct word pairs outnumber everything else in a large corpus, so they are
+    not all counted. A pair is never more frequent than its words: once the
+    single words alone fill the vocabulary, only pairs of two words as frequent
+    as its last entry can enter, and the others are dropped before counting.
+    Without such a bound every term is counted.
+    """
+    words = df.select(token_list(F.col(content), config.stop_words).alias("terms"))
+    # A bounded number of rows, from the most frequent word down.
+    reach = FREQUENT_WORDS * config.max_features
+    frequent = term_counts(words).orderBy(F.desc("ctf"), "term").limit(reach).collect()
+    singles = [
+        r for r in frequent if r.df >= config.min_df and r.df <= config.max_df * n_docs
+    ][: config.max_features]
+    full = len(singles) == config.max_features
+    if not full or (len(frequent) == reach and frequent[-1].ctf == singles[-1].ctf):
+        terms = words.select(text.ngrams_1_2(F.col("terms")).alias("terms"))
+        return top_terms(prune_terms(term_counts(terms), n_docs, config), config).collect()
+    allowed = [r.term for r in frequent if r.ctf >= singles[-1].ctf]
+    pairs = words.select(frequent_pairs(F.col("terms"), allowed).alias("terms"))
+    chosen = singles + top_terms(prune_terms(term_counts(pairs), n_docs, config), config).collect()
+    return sorted(chosen, key=lambda r: (-r.ctf, r.term))[: config.max_features]
+
+
+def frequent_pairs(words: Column, allowed: list[str]) -> Column:
+    """Adjacent pairs whose two words are both allowed."""
+    known = F.transform(words, lambda w: F.when(w.isin(*allowed), w))
+    return F.filter(text.adjacent_pairs(known), lambda pair: pair.isNotNull())
+
+
 def fit_vocabulary(df: DataFrame, content: str = "content", config: VectorConfig | None = None) -> TextVectors:
     """Choose the vocabulary over all texts of `df`."""
     cfg = config or VectorConfig()
     n_docs = df.count()
-    terms = df.select(term_list(F.col(content), cfg.stop_words).alias("terms"))
-    chosen = top_terms(prune_terms(term_counts(terms), n_docs, cfg), cfg)
-    # At most `max_features` rows, itself bounded above.
-    rows = chosen.withColumn("idf", smooth_idf(F.col("df"), n_docs)).collect()
-    rows.sort(key=lambda r: r.term)
-    return TextVectors(cfg, n_docs, [r.term for r in rows], [r.idf for r in rows])
+    rows = sorted(choose_terms(df, content, n_docs, cfg), key=lambda r: r.term)
+    idf = [math.log((1 + n_docs) / (1 + r.df)) + 1 for r in rows]
+    return TextVectors(cfg, n_docs, [r.term for r in rows], idf)
 
 
 def fit_svd(model: TextVectors, weighed: DataFrame, vector: str = "tfidf") -> TextVectors:

@@ -236,9 +236,10 @@ def engagement(spark, sf):
 
 def custom_features(spark, sf):
     found = scoring.custom_features(
-        F.col("content"), F.col("mentions"), F.col("hashtags"), ScoringConfig().market_tags
+        F.col("content"), F.col("mentions"), F.col("hashtags"), ScoringConfig().market_tags, F.col("numbers")
     )
-    return fixtures.tagged(spark, sf).select("post_id", found.alias("f")).select("post_id", "f.*")
+    tagged = fixtures.tagged(spark, sf).withColumn("numbers", text.numbers(F.col("content")))
+    return tagged.select("post_id", found.alias("f")).select("post_id", "f.*")
 
 
 def composite_signal(spark, sf):
@@ -287,18 +288,16 @@ def ngrams(spark, sf):
     return _word_digest(spark, sf, textvec.term_list(F.col("content")))
 
 
-def _pruned(spark, sf):
+def doc_freq(spark, sf):
     posts = fixtures.posts(spark, sf)
     counts = textvec.term_counts(posts.select(textvec.term_list(F.col("content")).alias("terms")))
-    return textvec.prune_terms(counts, posts.count(), textvec.VectorConfig())
-
-
-def doc_freq(spark, sf):
-    return _pruned(spark, sf).select("term", "df", "ctf")
+    return textvec.prune_terms(counts, posts.count(), textvec.VectorConfig()).select("term", "df", "ctf")
 
 
 def vocabulary(spark, sf):
-    return textvec.top_terms(_pruned(spark, sf), textvec.VectorConfig()).select("term", "df", "ctf")
+    posts = fixtures.posts(spark, sf)
+    chosen = textvec.choose_terms(posts, "content", posts.count(), textvec.VectorConfig())
+    return spark.createDataFrame(chosen, "term string, ctf bigint, df bigint")
 
 
 def idf(spark, sf):

@@ -89,3 +89,14 @@ def test_feature_map(spark):
 def test_vocabulary_is_bounded():
     with pytest.raises(ValueError):
         textvec.VectorConfig(max_features=10_000)
+
+
+@pytest.mark.parametrize("size, reach", [(5, 4), (60, 4), (300, 4), (1000, 4), (5000 // 2, 4), (60, 1)])
+def test_chosen_terms_equal_counting_every_term(spark, docs, monkeypatch, size, reach):
+    monkeypatch.setattr(textvec, "FREQUENT_WORDS", reach)
+    config = textvec.VectorConfig(max_features=size)
+    n = docs.count()
+    chosen = textvec.choose_terms(docs, "content", n, config)
+    terms = docs.select(textvec.term_list(F.col("content")).alias("terms"))
+    expected = textvec.top_terms(textvec.prune_terms(textvec.term_counts(terms), n, config), config).collect()
+    assert [tuple(r) for r in chosen] == [tuple(r) for r in expected]
