@@ -25,7 +25,8 @@ def global_index(df: DataFrame, order_by: list[str], partitions: int | None = No
 
     Range bounds come from a sample, so they may differ when the plan runs
     again; the ordered rows are therefore written once to the shared scratch
-    folder, and everything else reads that table. With a unique order the ranges
+    folder, and everything else reads that table. Sampling reads the input once
+    more, so it should be a stored table, or cheap. With a unique order the ranges
     stay even, however many rows share one time. The offsets are one row per
     range partition (`partitions`), whatever the number of rows.
     """

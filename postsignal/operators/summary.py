@@ -108,6 +108,9 @@ def counts_as_map(counted: DataFrame, name: str, count: str = "n") -> Column:
     return counted.agg(F.map_from_entries(F.collect_list(F.struct(name, count)))).scalar()
 
 
+# Keys of the two answer documents are those their readers know.
+
+
 def stats_document(stats: DataFrame, top_tags: DataFrame, tag: str = "hashtag") -> DataFrame:
     """The corpus statistics as one nested JSON document.
 
@@ -116,9 +119,9 @@ def stats_document(stats: DataFrame, top_tags: DataFrame, tag: str = "hashtag")
     return stats.select(
         F.to_json(
             F.struct(
-                "total_posts",
+                F.col("total_posts").alias("total_tweets"),
                 "total_signals",
-                "recent_posts_24h",
+                F.col("recent_posts_24h").alias("recent_tweets_24h"),
                 F.struct("avg_likes", "avg_retweets", "max_likes").alias("engagement_stats"),
                 F.struct("avg_signal", "avg_sentiment", "avg_engagement").alias("signal_stats"),
                 counts_as_map(top_tags, tag).alias("top_hashtags"),
@@ -128,19 +131,24 @@ def stats_document(stats: DataFrame, top_tags: DataFrame, tag: str = "hashtag")
 
 
 def analysis_document(aggregated: DataFrame, saved: Column | None = None) -> DataFrame:
-    """An `aggregate_signals` row as the nested analysis answer."""
-    labels = [c.removesuffix("_posts") for c in aggregated.columns if c.endswith("_posts") and c != "total_posts"]
-    counts = F.struct(*[F.col(f"{v}_posts").alias(v) for v in labels])
+    """An `aggregate_signals` row as the nested analysis answer.
+
+    `saved` is the number of stored signals, all posts by default.
+    """
+    total = F.col("total_posts")
+    label_columns = [c for c in aggregated.columns if c.endswith("_posts") and c != "total_posts"]
+    distribution = F.struct(*[F.col(c).alias(c.removesuffix("_posts")) for c in label_columns])
     scalars = [c for c in aggregated.columns if not c.endswith("_posts")]
+    signals = F.struct(
+        *scalars, total.alias("total_tweets"), distribution.alias("sentiment_distribution")
+    )
     return aggregated.select(
         F.to_json(
             F.struct(
                 F.lit("success").alias("status"),
-                F.coalesce(saved if saved is not None else F.col("total_posts")).alias("posts_analyzed"),
-                F.col("total_posts").alias("total_posts_processed"),
-                F.struct(*scalars, "total_posts", counts.alias("sentiment_distribution")).alias(
-                    "aggregated_signals"
-                ),
+                (total if saved is None else saved).alias("tweets_analyzed"),
+                total.alias("total_tweets_processed"),
+                signals.alias("aggregated_signals"),
             )
         ).alias("document")
     )

@@ -42,6 +42,13 @@ def joined(name: str, by: str = "|"):
     return F.array_join(name, by).alias(name)
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """The rows as a table: range partitioning reads its input twice, so it should not be computed."""
+    path = scratch_path(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _clean(spark: SparkSession, sf: str) -> DataFrame:
     return collect.clean_posts(fixtures.tagged(spark, sf), fixtures.as_of(spark, sf))
 
@@ -521,9 +528,9 @@ def report_document(spark, sf):
     document = report.statistics(tagged, stored, fixtures.as_of(spark, sf))
     at = lambda path, kind: F.get_json_object("document", path).cast(kind)
     return document.select(
-        at("$.total_posts", "bigint").alias("total_posts"),
+        at("$.total_tweets", "bigint").alias("total_posts"),
         at("$.total_signals", "bigint").alias("total_signals"),
-        at("$.recent_posts_24h", "bigint").alias("recent_posts_24h"),
+        at("$.recent_tweets_24h", "bigint").alias("recent_posts_24h"),
         at("$.engagement_stats.max_likes", "bigint").alias("max_likes"),
         F.round(at("$.engagement_stats.avg_likes", "double"), 6).alias("avg_likes"),
         F.round(at("$.signal_stats.avg_signal", "double"), 6).alias("avg_signal"),
@@ -555,7 +562,7 @@ def random_sample(spark, sf):
 
 
 def rolling_mean(spark, sf):
-    narrow = fixtures.signals(spark, sf).select("ts", "post_id", "composite_signal")
+    narrow = _stored(fixtures.signals(spark, sf).select("ts", "post_id", "composite_signal"))
     indexed = sampling.global_index(narrow, ["ts", "post_id"])
     window = sampling.rolling_window(indexed.count)
     found = sampling.rolling_mean(indexed, "composite_signal", window)
@@ -563,14 +570,14 @@ def rolling_mean(spark, sf):
 
 
 def rolling_mean_by(spark, sf):
-    narrow = fixtures.scored(spark, sf).select("lang", "ts", "post_id", "composite_signal")
+    narrow = _stored(fixtures.scored(spark, sf).select("lang", "ts", "post_id", "composite_signal"))
     indexed = sampling.global_index(narrow, ["lang", "ts", "post_id"])
     found = sampling.rolling_mean(indexed, "composite_signal", 10, partition_by=("lang",))
     return found.select("lang", "post_id", r6("rolling_mean"))
 
 
 def _frame(spark, sf):
-    return frames.plot_frame(fixtures.signals(spark, sf), "post_id")
+    return frames.plot_frame(_stored(fixtures.signals(spark, sf)), "post_id")
 
 
 def signal_over_time(spark, sf):

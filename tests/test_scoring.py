@@ -72,6 +72,9 @@ def test_other_lexicon(spark):
     df = spark.createDataFrame([("moon soon",)], "content string")
     row = scoring.with_sentiment(df, Lexicon(("moon",), ("gloom",))).first()
     assert row.sentiment_score == 1.0
+    quoted = spark.createDataFrame([("it's a \\ b",)], "content string")
+    row = scoring.with_sentiment(quoted, Lexicon(("it's", "a \\ b", "it''s"), ())).first()
+    assert (row.bullish_hits, row.bearish_hits) == (2, 0)
     assert ScoringConfig().market_tags == ("nifty50", "sensex", "intraday", "banknifty")
 
 
@@ -101,6 +104,6 @@ def test_analysis_document(spark):
     rows = [(0.5, 1.0, 0.0, "positive"), (-0.5, -1.0, 0.0, "negative")]
     aggregated = summary.aggregate_signals(spark.createDataFrame(rows, ddl))
     answer = json.loads(summary.analysis_document(aggregated).first().document)
-    assert answer["total_posts_processed"] == 2
+    assert answer["tweets_analyzed"] == answer["total_tweets_processed"] == 2
     assert answer["aggregated_signals"]["sentiment_distribution"] == {"positive": 1, "negative": 1, "neutral": 0}
     assert answer["aggregated_signals"]["mean_signal"] == 0.0
