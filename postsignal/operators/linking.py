@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .filters import search
+from .keyed import cascade
 from .ranking import first_per_group
 
 
@@ -34,8 +35,5 @@ def search_signals(
     fields: tuple[str, ...] = ("username", "content"),
 ) -> DataFrame:
     """Signals whose post matches; posts are searched before the join."""
-    return cascade_to(signals, search(posts, query, list(fields)), key)
+    return cascade(signals, search(posts, query, list(fields)), key)
 
-
-def cascade_to(signals: DataFrame, posts: DataFrame, key: str) -> DataFrame:
-    return signals.join(posts.select(key), key, "left_semi")

@@ -1,8 +1,6 @@
 import math
 
 import pytest
-from pyspark.sql import functions as F
-
 from postsignal.functions import scoring
 from postsignal.functions.lexicon import ScoringConfig
 from postsignal.operators import summary

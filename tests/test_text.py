@@ -3,7 +3,6 @@ import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from postsignal.functions import text
 from postsignal.functions.lexicon import STOP_WORDS
