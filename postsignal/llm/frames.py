@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..session import scratch_path
 
@@ -36,7 +38,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """`mapInArrow` with a function from a batch to columns by name."""
-    wanted = _arrow_schema(df.sparkSession, schema)
+    wanted = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -49,10 +51,3 @@ def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: s
                 yield pa.RecordBatch.from_arrays(arrays, schema=wanted)
 
     return df.mapInArrow(run, schema)
-
-
-def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(ddl))
