@@ -7,10 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, linededup, simhash
+from . import bpe, decontaminate, linededup, quality, simhash
 from .frames import table
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.withColumnRenamed("id", "doc_id")
+
+
 def tokenizer() -> str:
     """The tokenizer file of the registered queries."""
     return public_tokenizers.path("word_bpe_49k.json")
@@ -42,6 +47,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality": op3_quality,
     "op4_bpe": op4_bpe,
     "op7_lines": op7_lines,
     "op8_decontaminate": op8_decontaminate,
