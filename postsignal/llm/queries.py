@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, linededup, quality, simhash
+from . import bpe, decontaminate, linededup, passages, quality, simhash
 from .frames import table
 
 
@@ -42,6 +42,16 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    freed = passages.drop_repeated_passages(docs)
+    spans = F.expr("transform(removed, s -> concat(s.start, ':', s.end))")
+    return freed.select(
+        "doc_id", "text", F.size("removed").cast("long").alias("n_removed"),
+        F.array_join(spans, ",").alias("removed"),
+    )
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -51,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
     "op7_lines": op7_lines,
     "op8_decontaminate": op8_decontaminate,
+    "op9_passages": op9_passages,
     "op10_simhash": op10_simhash,
 }
 
