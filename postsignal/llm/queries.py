@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, linededup, passages, quality, simhash
+from . import bpe, decontaminate, linededup, passages, quality, simhash, warc, wavelet
 from .frames import table
 
 
@@ -25,6 +25,15 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer()))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(warc.write(table(spark, sf_dir, "pages"))).drop("url")
+
+
+def op6_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = wavelet.write(table(spark, sf_dir, "documents"), tokenizer(), end_id=2)
+    return wavelet.read(shards).withColumnRenamed("id", "doc_id")
+
+
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     freed = linededup.drop_repeated_lines(docs, removed="removed_lines")
@@ -59,6 +68,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_bpe": op4_bpe,
+    "op5_warc": op5_warc,
+    "op6_wavelet": op6_wavelet,
     "op7_lines": op7_lines,
     "op8_decontaminate": op8_decontaminate,
     "op9_passages": op9_passages,
