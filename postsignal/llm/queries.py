@@ -7,10 +7,24 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, linededup, passages, quality, simhash, warc, wavelet
+from . import bpe, decontaminate, linededup, passages, pii, quality, simhash, vptree, warc, wavelet
 from .frames import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), *[pii.counted(k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")],
+        F.sha2(pii.described("base"), 256).alias("base_sha256"),
+        pii.described(F.array_sort(F.concat("base", "added"))).alias("spans"),
+    )
+
+
+def op2_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = vptree.usable(table(spark, sf_dir, "embeddings"))
+    return vptree.search(vectors, vectors.filter(F.col("id") % 20 == 0), k=20)
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.withColumnRenamed("id", "doc_id")
@@ -66,6 +80,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
+    "op2_vptree": op2_vptree,
     "op3_quality": op3_quality,
     "op4_bpe": op4_bpe,
     "op5_warc": op5_warc,
@@ -76,4 +92,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": op10_simhash,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_vptree": """
+with usable as (
+  select vec_id, embedding::double[] as v from embeddings
+  where vec_id is not null and embedding is not null
+    and not coalesce(list_bool_or(list_transform(embedding, lambda x: x is null or not isfinite(x))), false)
+    and list_bool_or(list_transform(embedding, lambda x: x <> 0))
+), scored as (
+  select q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v) as score
+  from usable q join usable c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0
+)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank,
+       vec_id, score
+from scored qualify rank <= 20
+""",
+}
