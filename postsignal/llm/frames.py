@@ -51,3 +51,15 @@ def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: s
                 yield pa.RecordBatch.from_arrays(arrays, schema=wanted)
 
     return df.mapInArrow(run, schema)
+
+
+def blocks(texts: list[str], most: int = 2_000_000):
+    """Consecutive runs of texts of about `most` characters, one text at least: what a task holds split at a time."""
+    start, held = 0, 0
+    for n, text in enumerate(texts):
+        if held and held + len(text) > most:
+            yield texts[start:n]
+            start, held = n, 0
+        held += len(text)
+    if texts[start:]:
+        yield texts[start:]

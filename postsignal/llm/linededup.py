@@ -9,13 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh3_64_intdigest
 
-from .bpe import blocks
-from .frames import id_and_text, map_batches, stored
+from .frames import blocks, id_and_text, map_batches, stored
 
 #: Lines of fewer words count as equal only if all words are: one edit in five words is a similarity of 0.8.
 LEAST_WORDS = 5
-#: Bits of the filter of shared keys: 8 for each key, between these powers of two (128 MB at most).
-LEAST_BITS, MOST_BITS = 20, 30
+#: Bits of the broadcast filter of shared keys: about so many for each key, and a power of two between
+#: these (128 MB at most). A fuller filter lets more lines through, which costs time but changes no result.
+BITS_PER_KEY, LEAST_BITS, MOST_BITS = 32, 20, 30
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so they have inverses modulo 2**64
 _SUBSTITUTED, _INSERTED = 1, 2
@@ -145,9 +145,11 @@ def _half_keys(docs: DataFrame) -> DataFrame:
 
 
 def _filter_of(keys: DataFrame) -> np.ndarray:
-    """A bit table that has all keys (and, by chance, others); its size is bounded."""
-    bits = min(MOST_BITS, max(LEAST_BITS, (8 * keys.count()).bit_length()))
-    place = keys.select(F.col("key").bitwiseAND(F.lit((1 << bits) - 1)).alias("p"))
+    """A bit table with two bits set for each key; few others have both. Its size is bounded."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (BITS_PER_KEY * keys.count()).bit_length()))
+    mask = F.lit((1 << bits) - 1)
+    both = F.array(F.col("key").bitwiseAND(mask), F.shiftrightunsigned("key", 33).bitwiseAND(mask))
+    place = keys.select(F.explode(both).alias("p"))
     pages = place.groupBy(F.shiftright("p", 15).alias("page")).agg(
         F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit((1 << 15) - 1))).alias("bits")
     )
@@ -158,8 +160,10 @@ def _filter_of(keys: DataFrame) -> np.ndarray:
 
 
 def _in_filter(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    place = keys & np.uint64(8 * len(table) - 1)
-    return (table[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    found = np.ones(len(keys), bool)
+    for place in (keys & np.uint64(8 * len(table) - 1), (keys >> np.uint64(33)) & np.uint64(8 * len(table) - 1)):
+        found &= (table[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return found
 
 
 def _candidates(docs: DataFrame, shared: np.ndarray) -> DataFrame:
