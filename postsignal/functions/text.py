@@ -31,13 +31,12 @@ _CONTROL = r"[\x00-\x08\x0b-\x0c\x0e-\x1f\x7f-\x{9f}]"
 
 
 def _clean_batch(texts: pa.Array) -> pa.Array:
-    # Arrow's own NFKC leaves letters decomposed, so Python's is used; it
-    # returns an ASCII text as it is.
+    # Arrow's own NFKC leaves letters decomposed, so Python's is used, on the rows
+    # that are not ASCII.
     if not pc.all(pc.string_is_ascii(texts)).as_py():
-        texts = pa.array(
-            [None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()],
-            pa.string(),
-        )
+        other = pc.fill_null(pc.invert(pc.string_is_ascii(texts)), False)
+        normal = [unicodedata.normalize("NFKC", t) for t in texts.filter(other).to_pylist()]
+        texts = pc.replace_with_mask(texts, other, pa.array(normal, texts.type))
     one_space = pc.replace_substring_regex(texts, _RUN, " ")
     return pc.utf8_trim(pc.replace_substring_regex(one_space, _CONTROL, ""), " ")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, functions as F
 
@@ -16,8 +16,16 @@ LINK_BY_ID = "https://twitter.com/i/web/status/"
 LINK_BY_USER = "https://twitter.com/{username}/status/{id}"
 
 
-def as_column(value: Column | datetime) -> Column:
-    return value if isinstance(value, Column) else F.lit(value)
+def utc(value: datetime) -> datetime:
+    """The instant of a datetime; one without a zone is UTC, whatever zone the driver is in."""
+    return value.replace(tzinfo=timezone.utc) if value.tzinfo is None else value
+
+
+def as_column(value: Column | datetime | None) -> Column:
+    """A time as a column; None is the time of the batch or query that runs."""
+    if value is None:
+        return F.current_timestamp()
+    return value if isinstance(value, Column) else F.lit(utc(value))
 
 
 def parse_iso(c: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 from functools import reduce
 from operator import and_, or_
@@ -34,7 +35,7 @@ def parse_lookback(value: str | int) -> int | None:
         return int(value)
     except ValueError:
         raise ValueError(
-            f'invalid hours parameter: {value}, use a number, 0, or "all"'
+            f"cannot read {value!r} as a look-back: give whole hours, or one of 0, all and the empty text for no limit"
         ) from None
 
 
@@ -65,8 +66,8 @@ def split_rejects(df: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
 
 
 def search(df: DataFrame, query: str, fields: list[str]) -> DataFrame:
-    """Every word of the query occurs, in any case, in at least one of the fields."""
-    words = query.lower().split()
+    """Every word and quoted phrase of the query occurs, in any case, in at least one of the fields."""
+    words = [phrase or word for _, phrase, word in re.findall(r"""(["'])(.+?)\1(?=\s|$)|(\S+)""", query.lower())]
     if not words:
         return df
     hit = lambda word: reduce(or_, [F.contains(F.lower(F.col(f)), F.lit(word)) for f in fields])

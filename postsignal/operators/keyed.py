@@ -15,18 +15,21 @@ def insert_if_absent(target: DataFrame, batch: DataFrame, key: str, order_by: li
     scanned for one column and not shuffled.
     """
     unique = first_per_group(batch, [key], order_by)
-    stored = target.select(key).join(batch.select(key), key, "left_semi")
+    # One row per key on the right, so that many copies of one text do not meet.
+    stored = target.select(key).join(batch.select(key).distinct(), key, "left_semi")
     return unique.join(stored, key, "left_anti").select(*batch.columns)
 
 
 def upsert(
     target: DataFrame, batch: DataFrame, key: str, keep_old: tuple[str, ...] = ()
 ) -> DataFrame:
-    """`target` with the rows of `batch` replacing or joining its own, by unique key.
+    """`target` with the rows of `batch` replacing or joining its own, by key.
 
-    One full outer join, so each side is shuffled once. `keep_old` columns keep
-    the target's value where it has one.
+    `target` has unique keys; of rows in `batch` that share a key, the last counts
+    (see `last_per_key`). One full outer join, so each side is shuffled once.
+    `keep_old` columns keep the target's value where it has one.
     """
+    batch = last_per_key(batch, key)
     joined = target.alias("t").join(
         batch.withColumn("_in_batch", F.lit(True)).alias("b"), key, "full_outer"
     )
@@ -42,6 +45,18 @@ def upsert(
     return joined.select(*[pick(c) for c in target.columns])
 
 
+def last_per_key(batch: DataFrame, key: str, order_by: list | None = None) -> DataFrame:
+    """One row per key: the last by the order columns, then by all other columns.
+
+    Rows are reduced map-side, so a key with very many rows is no hot group.
+    """
+    others = [c for c in batch.columns if c != key]
+    sortable = [c for c in others if "map<" not in dict(batch.dtypes)[c]]
+    order = F.struct(*(order_by or []), *sortable)
+    last = batch.groupBy(key).agg(F.max_by(F.struct(*others), order).alias("_last"))
+    return last.select(*[F.col(c) if c == key else F.col(f"_last.{c}").alias(c) for c in batch.columns])
+
+
 def cascade(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     """Children that still have a parent."""
     return children.join(parents.select(key), key, "left_semi")

@@ -51,7 +51,7 @@ def parse_limit(value: str | int | None) -> int | None:
     try:
         return int(value)
     except ValueError:
-        raise ValueError(f"invalid limit parameter: {value}, must be a number") from None
+        raise ValueError(f"cannot read {value!r} as a number of rows") from None
 
 
 def explode_present(df: DataFrame, array: Column, output: str) -> DataFrame:

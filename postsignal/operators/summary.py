@@ -7,6 +7,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, functions as F
 
 LABELS = ("positive", "negative", "neutral")
+MINIMUM_VOLUME = 2000
 
 
 def z_score(level: float = 0.95) -> float:
@@ -95,7 +96,7 @@ def corpus_stats(posts: DataFrame, signals: DataFrame, recent: Column) -> DataFr
     return post_stats.withColumn("_s", signal_stats.scalar()).select("*", "_s.*").drop("_s")
 
 
-def volume_check(posts: DataFrame, minimum: int = 2000) -> DataFrame:
+def volume_check(posts: DataFrame, minimum: int = MINIMUM_VOLUME) -> DataFrame:
     return posts.agg(
         F.count("*").alias("collected"),
         F.lit(minimum).cast("bigint").alias("minimum"),
@@ -105,7 +106,9 @@ def volume_check(posts: DataFrame, minimum: int = 2000) -> DataFrame:
 
 def counts_as_map(counted: DataFrame, name: str, count: str = "n") -> Column:
     """A name -> count table of bounded size as one map value."""
-    return counted.agg(F.map_from_entries(F.collect_list(F.struct(name, count)))).scalar()
+    entries = F.array_sort(F.collect_list(F.struct((-F.col(count)).alias("o"), name, count)))
+    pairs = F.transform(entries, lambda e: F.struct(e[name], e[count]))
+    return counted.agg(F.map_from_entries(pairs)).scalar()
 
 
 # Keys of the two answer documents are those their readers know.
@@ -125,7 +128,8 @@ def stats_document(stats: DataFrame, top_tags: DataFrame, tag: str = "hashtag")
                 F.struct("avg_likes", "avg_retweets", "max_likes").alias("engagement_stats"),
                 F.struct("avg_signal", "avg_sentiment", "avg_engagement").alias("signal_stats"),
                 counts_as_map(top_tags, tag).alias("top_hashtags"),
-            )
+            ),
+            {"ignoreNullFields": "false"},
         ).alias("document")
     )
 
@@ -149,6 +153,7 @@ def analysis_document(aggregated: DataFrame, saved: Column | None = None) -> Dat
                 (total if saved is None else saved).alias("tweets_analyzed"),
                 total.alias("total_tweets_processed"),
                 signals.alias("aggregated_signals"),
-            )
+            ),
+            {"ignoreNullFields": "false"},
         ).alias("document")
     )

@@ -11,9 +11,8 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
@@ -28,8 +27,6 @@ from ..session import scratch_path
 VOCABULARY_BOUND = 4096
 # How many times the vocabulary's size of frequent words is looked at.
 FREQUENT_WORDS = 4
-# Bound on the partial Gram matrices added up.
-GRAM_PARTITIONS = 2048
 
 
 @dataclass(frozen=True)
@@ -112,13 +109,21 @@ class TextVectors:
         """Add the component scores X·V as an array, a batch of rows per product."""
         loadings = self.loadings
 
-        @F.pandas_udf(T.ArrayType(T.DoubleType()))
-        def scores(dense: pd.Series) -> pd.Series:
-            if dense.empty:
-                return pd.Series([], dtype=object)
-            return pd.Series(list(np.stack(dense.to_numpy()) @ loadings))
-
-        return weighed.withColumn(output, scores(vector_to_array(vector)))
+        @F.arrow_udf(T.ArrayType(T.DoubleType()))
+        def scores(indices: pa.Array, values: pa.Array) -> pa.Array:
+            sizes = np.diff(indices.offsets.to_numpy())
+            parts = loadings[indices.flatten().to_numpy()] * values.flatten().to_numpy()[:, None]
+            sums = np.zeros((len(sizes), loadings.shape[1]))
+            filled = np.flatnonzero(sizes)
+            if len(filled):
+                starts = np.concatenate(([0], np.cumsum(sizes)))[filled]
+                sums[filled] = np.add.reduceat(parts, starts)
+            offsets = np.arange(len(sizes) + 1, dtype=np.int32) * loadings.shape[1]
+            return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(sums.ravel()))
+
+        # Only the non-zero cells go to Python.
+        sparse = F.unwrap_udt(F.col(vector))
+        return weighed.withColumn(output, scores(sparse["indices"], sparse["values"]))
 
     def transform(self, df: DataFrame, content: str = "content", output: str = "tfidf") -> DataFrame:
         """Add the component scores of each text; without a fit, an empty array."""
@@ -178,8 +183,6 @@ def fit_svd(model: TextVectors, weighed: DataFrame, vector: str = "tfidf") -> Te
     component is made positive, the first one on ties.
     """
     rows = MLUtils.convertVectorColumnsFromML(weighed.select(vector), vector)
-    if rows.rdd.getNumPartitions() > GRAM_PARTITIONS:
-        rows = rows.coalesce(GRAM_PARTITIONS)
     gram = RowMatrix(rows, numCols=len(model.terms)).computeGramianMatrix().toArray()
     values, vectors = np.linalg.eigh(gram)
     k = min(model.config.components, len(model.terms))
@@ -215,7 +218,9 @@ def feature_map(components: Column, count: int) -> Column:
 
 def weights_long(weighed: DataFrame, model: TextVectors, key: str, vector: str = "tfidf") -> DataFrame:
     """Non-zero weights as (key, term, weight) rows."""
-    cells = F.transform(vector_to_array(vector), lambda w, i: F.struct(i.alias("i"), w.alias("weight")))
-    kept = weighed.select(key, F.inline_outer(F.filter(cells, lambda c: c.weight != 0)))
+    sparse = F.unwrap_udt(F.col(vector))
+    cells = F.arrays_zip(sparse["indices"].alias("i"), sparse["values"].alias("weight"))
+    kept = weighed.select(key, F.inline_outer(cells).alias("i", "weight"))
     names = F.array(*[F.lit(t) for t in model.terms])
-    return kept.filter(F.col("i").isNotNull()).select(key, F.get(names, F.col("i")).alias("term"), "weight")
+    kept = kept.filter(F.col("i").isNotNull() & (F.col("weight") != 0))
+    return kept.select(key, F.get(names, F.col("i")).alias("term"), "weight")

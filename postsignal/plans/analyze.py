@@ -9,10 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .. import schema
 from ..functions.lexicon import ScoringConfig
 from ..functions.scoring import analyze_posts
+from ..functions.values import as_column
 from ..operators import filters, ranking, summary, textvec
 from ..sources.tables import StoredTable
 
 
+def signal_store(spark: SparkSession, path: str) -> StoredTable:
+    """The stored signals: one per post, each with the time it was first made."""
+    return StoredTable(spark, path, schema.SIGNALS, key="content_hash", keep_old=("processed_at",))
+
+
 def choose_posts(
     posts: DataFrame, as_of: Column | datetime, hours: str | int = "24", limit: str | int | None = None,
     key: str = "content_hash",
@@ -24,17 +30,19 @@ def choose_posts(
 
 
 def build_signals(
-    posts: DataFrame, processed_at: Column | datetime, vectors: textvec.TextVectors | None = None,
+    posts: DataFrame, processed_at: Column | datetime | None, vectors: textvec.TextVectors | None = None,
     config: ScoringConfig | None = None,
 ) -> DataFrame:
-    """One signal row per post; without fitted vectors the vector is empty."""
+    """One signal row per post; without fitted vectors the vector is empty.
+
+    `processed_at` None stamps the time of the batch or query that runs.
+    """
     scored = analyze_posts(posts, config)
     if vectors is None:
         scored = scored.withColumn("tfidf", F.array().cast("array<double>"))
     else:
         scored = vectors.transform(scored)
-    stamp = F.lit(processed_at) if isinstance(processed_at, datetime) else processed_at
-    return scored.withColumn("processed_at", stamp.cast("timestamp"))
+    return scored.withColumn("processed_at", as_column(processed_at).cast("timestamp"))
 
 
 def run_analysis(
@@ -46,12 +54,8 @@ def run_analysis(
     posts = StoredTable(spark, posts_path, schema.POSTS).read()
     chosen = choose_posts(posts, as_of, hours, limit)
     if chosen.isEmpty():
-        raise ValueError('no posts match, use hours "0" or "all" to analyse every post')
+        raise ValueError(f"nothing to analyse within hours={hours!r}; hours=\"all\" takes the whole store")
     vectors = textvec.fit(chosen, config=vector_config) if fit_vectors else None
-    table = StoredTable(spark, signals_path, schema.SIGNALS, day_of="ts")
-    gen = table.upsert(
-        build_signals(chosen, as_of, vectors), "content_hash", keep_old=("processed_at",)
-    )
-    # The rows just written for the chosen posts, so nothing is scored twice.
-    written = table.generation(gen).join(chosen.select("content_hash"), "content_hash", "left_semi")
-    return summary.aggregate_signals(written)
+    table = signal_store(spark, signals_path)
+    # The rows just written are read back, so nothing is scored twice.
+    return summary.aggregate_signals(table.generation(table.upsert(build_signals(chosen, as_of, vectors))))

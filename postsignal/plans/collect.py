@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schema
 from ..functions import text, values
-from ..operators import filters
+from ..operators import filters, keyed, summary
 from ..operators.dedupe import dedupe_by_hash
 from ..session import scratch_path
 from ..sources import run_ledger
@@ -60,35 +60,44 @@ def process_posts(raw: DataFrame, as_of: Column | datetime, order_by: list) -> t
 
 def run_collection(
     spark: SparkSession, raw: DataFrame, posts_path: str, ledger_path: str, order_by: list,
-    as_of: datetime | None = None, run_id: str | None = None,
+    as_of: datetime | None = None, run_id: str | None = None, minimum: int = summary.MINIMUM_VOLUME,
 ) -> dict:
     """Process raw posts into the post store and record the run in the ledger.
 
-    `seen` counts the unique clean posts and `inserted` those not stored before.
-    A failed run is recorded with its error and raised again. The processed
-    posts are written once, so nothing upstream runs again for the counts.
+    `seen` counts the unique clean posts and `inserted` those stored: their hash
+    was not stored before, and neither their hash nor their id came earlier. The ledger
+    lists the rejected rows by reason, and a volume below `minimum`. A failed
+    run is recorded with its error and raised again. The judged posts are
+    written once, so nothing upstream runs again for the counts.
     """
     started = as_of or _now()
     run_id = run_id or uuid.uuid4().hex
     run_ledger.record_run(spark, ledger_path, run_id, started)
     try:
-        posts, _ = process_posts(raw, started, order_by)
         staged_path = scratch_path(spark, "collected")
-        posts.write.parquet(staged_path)
-        staged = spark.read.parquet(staged_path)
+        judged = clean_posts(raw, started).withColumn("reason", filters.reject_reason())
+        judged.write.parquet(staged_path)
+        good, bad = filters.split_rejects(spark.read.parquet(staged_path).drop("reason"), filters.reject_reason())
+        posts = dedupe_by_hash(good, order_by)
         table = StoredTable(spark, posts_path, schema.POSTS)
-        gen = table.insert_if_absent(staged, "content_hash", ["content_hash"])
-        counts = {"seen": staged.count(), "inserted": table.generation(gen).count()}
+        new_ids = keyed.unique_id_guard(posts, "tweet_id", "content_hash", order_by, table.read())
+        gen = table.insert_if_absent(new_ids, "content_hash", ["content_hash"], owner=run_id)
+        counts = {"seen": posts.count(), "inserted": table.generation(gen).count()}
+        # One row per reason of a fixed list.
+        refused = bad.groupBy("reason").count().orderBy("reason").collect()
+        notes = [f"{r.reason}: {r['count']}" for r in refused]
+        if counts["seen"] < minimum:
+            notes.append(f"volume {counts['seen']} below {minimum}")
     except Exception as error:
         run_ledger.record_run(
             spark, ledger_path, run_id, started, "failed", as_of or _now(), errors=[str(error)]
         )
         raise
     run_ledger.record_run(
-        spark, ledger_path, run_id, started, "completed", as_of or _now(), **counts
+        spark, ledger_path, run_id, started, "completed", as_of or _now(), errors=notes, **counts
     )
-    return {"run_id": run_id, "generation": gen, **counts}
+    return {"run_id": run_id, "generation": gen.number, **counts}
 
 
 def _now() -> datetime:
-    return datetime.now(timezone.utc).replace(tzinfo=None)
+    return datetime.now(timezone.utc)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import scoring, text
-from ..session import ensure_utc, scratch_path, spread_small
+from ..session import ensure_utc, scratch_path
 
 TOPICS = ["nifty50", "sensex", "intraday", "banknifty"]
 
@@ -44,7 +44,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_utc(spark)
-    documents = spread_small(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars"), "doc_id")
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
     events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value", "props")
     factor = F.get_json_object("props", "$.k").cast("bigint")
     return documents.join(events, documents.doc_id == events.event_id).select(
@@ -122,15 +122,16 @@ def search_pages(source: DataFrame, size: int = 100) -> DataFrame:
     )
 
 
-_page_folders: dict[tuple[str, str], str] = {}
+_page_folders: dict[tuple, str] = {}
 
 
-def search_page_folder(spark: SparkSession, sf_dir: str) -> str:
+def search_page_folder(spark: SparkSession, sf_dir: str, pages_per_file: int = 4) -> str:
     """Folder of JSON pages, written once per session from the tables."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, pages_per_file)
     if key not in _page_folders:
         path = scratch_path(spark, "pages")
-        search_pages(posts(spark, sf_dir)).repartition(8).write.json(path)
+        pages = search_pages(posts(spark, sf_dir))
+        pages.write.option("maxRecordsPerFile", pages_per_file).json(path)
         _page_folders[key] = path
     return _page_folders[key]
 

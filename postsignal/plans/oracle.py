@@ -356,8 +356,8 @@ def statements() -> dict[str, str]:
         "search_signals": _with(
             "scored",
             f"""select post_id, sentiment_label, {_r("composite_signal")} from scored
-                where (contains(lower(username), 'support') or contains(lower(content), 'support'))
-                  and (contains(lower(username), 'bullish') or contains(lower(content), 'bullish'))""",
+                where (contains(lower(username), 'bullish but') or contains(lower(content), 'bullish but'))
+                  and (contains(lower(username), 'resistance') or contains(lower(content), 'resistance'))""",
         ),
         "facet_dates": _with(
             "posts now",
@@ -534,6 +534,56 @@ def statements() -> dict[str, str]:
             f"""select content_hash, max({"round(sentiment_score, 6)"}) as sentiment_score,
                        max(sentiment_label) as sentiment_label from scored group by content_hash""",
         ),
+        "store_insert_twice": _with(
+            "tagged now",
+            f"""select post_id, content_hash from tagged
+                qualify row_number() over (partition by content_hash order by not ({older(24)}), post_id) = 1""",
+        ),
+        "store_upsert": _with(
+            "scored now",
+            f"""select post_id, case when {recent(48)} then ts + interval 2 day else ts end as ts,
+                       round(composite_signal + case when {recent(48)} then 1 else 5 end, 6) as composite_signal,
+                       case when {older(24)} then ts else (select as_of from now) end as processed_at
+                from scored""",
+        ),
+        "store_cascade": _with(
+            "scored now",
+            f"""select post_id, cast(ts as date) as day, {_r("composite_signal")} from scored
+                where post_id % 4 = 0 or cast(ts as date) <> (select cast(as_of as date) from now)""",
+        ),
+        "collection_run": _with(
+            "raw_counters",
+            """, good as (select * from raw_counters where counted_likes is not null
+                          qualify row_number() over (partition by content_hash order by post_id) = 1),
+               kept as (select * from good
+                        qualify tweet_id is null or row_number() over (partition by tweet_id order by post_id) = 1),
+               bad as (select count(*) as n from raw_counters where counted_likes is null)
+               select 'run' as run_id, timestamp '2024-02-01' as started_at, 'completed' as status,
+                      (select count(*) from good) as seen, (select count(*) from kept) as inserted,
+                      concat_ws('|', case when (select n from bad) > 0 then 'bad likes: ' || (select n from bad) end,
+                                case when (select count(*) from good) < 2000
+                                     then 'volume ' || (select count(*) from good) || ' below 2000' end) as errors""",
+        ),
+        "analysis_document": _with(
+            "scored",
+            f""", s as (select {_aggregates()} from scored)
+                select 'success' as status, total_posts, mean_signal, confidence_interval_upper, positive_posts,
+                       negative_posts, neutral_posts from s""",
+        ),
+        "stream_into_store": _with(
+            "tagged now",
+            f"""select content_hash, bool_or({older(24)}) as from_run from tagged group by content_hash""",
+        ),
+        "stream_signals_into_store": _with(
+            "scored now",
+            f"""select content_hash, max(sentiment_label) as sentiment_label, bool_or({older(24)}) as from_run
+                from scored group by content_hash""",
+        ),
+        "stream_ledger": _with(
+            "tagged",
+            """select 'completed' as status, count(distinct content_hash) as inserted,
+                      cast(0 as bigint) as short_runs from tagged""",
+        ),
         "stream_hourly": _with(
             "posts",
             f""", paged as (select * replace (date_trunc('second', ts) as ts,

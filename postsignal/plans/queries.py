@@ -9,6 +9,7 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import scoring, text, values
 from ..functions.lexicon import ScoringConfig
@@ -20,7 +21,7 @@ from ..sources import post_files, run_ledger, search_results
 from ..sources.tables import StoredTable
 from ..streaming import streams
 from .. import schema
-from . import collect, fixtures, report
+from . import analyze, collect, fixtures, report
 
 MAX_POINTS = 300
 TOPIC_CAP = 50
@@ -121,6 +122,42 @@ def upsert_signals(spark, sf):
     return merged.select("post_id", "sentiment_label", r6("engagement_score"), r6("composite_signal"), "processed_at")
 
 
+def store_insert_twice(spark, sf):
+    """Two runs into one stored table, the second with everything."""
+    posts = _clean(spark, sf).select("post_id", "ts", "content_hash")
+    table = StoredTable(spark, scratch_path(spark, "store"), "post_id bigint, ts timestamp, content_hash string")
+    table.insert_if_absent(_older(posts, spark, sf, 24), "content_hash", ["post_id"])
+    table.insert_if_absent(posts, "content_hash", ["post_id"])
+    return table.read().select("post_id", "content_hash")
+
+
+def store_upsert(spark, sf):
+    """Stored signals replaced by a batch with repeated keys that moves them to other days."""
+    ddl = "post_id bigint, ts timestamp, composite_signal double, processed_at timestamp"
+    table = StoredTable(spark, scratch_path(spark, "store"), ddl, key="post_id", keep_old=("processed_at",))
+    base = fixtures.signals(spark, sf).select("post_id", "ts", "composite_signal", F.col("ts").alias("processed_at"))
+    shifted = lambda df, by: df.withColumn("composite_signal", F.col("composite_signal") + by)
+    older = _older(base, spark, sf, 24)
+    table.upsert(shifted(older, 5).unionByName(older), ["composite_signal"])
+    moved = _newer(base, spark, sf, 48).withColumns(
+        {"ts": F.col("ts") + F.expr("interval 2 days"), "processed_at": fixtures.as_of(spark, sf)}
+    )
+    table.upsert(shifted(moved, 1))
+    return table.read().select("post_id", ntz("ts"), r6("composite_signal"), ntz("processed_at"))
+
+
+def store_cascade(spark, sf):
+    """Signals of a whole day lose their posts, then new ones arrive."""
+    table = StoredTable(spark, scratch_path(spark, "store"), "post_id bigint, day date, composite_signal double")
+    rows = fixtures.signals(spark, sf).select("post_id", F.to_date("ts").alias("day"), "composite_signal")
+    first = F.col("post_id") % 4 != 0
+    table.insert_if_absent(rows.filter(first), "post_id", ["post_id"])
+    last = F.to_date(fixtures.as_of(spark, sf))
+    table.retain(fixtures.posts(spark, sf).filter(F.to_date("ts") != last).select("post_id"), "post_id")
+    table.insert_if_absent(rows.filter(~first), "post_id", ["post_id"])
+    return table.read().select("post_id", "day", r6("composite_signal"))
+
+
 def unique_id_guard(spark, sf):
     posts = fixtures.posts(spark, sf).select("post_id", "ts", "tweet_id")
     kept = keyed.unique_id_guard(
@@ -134,6 +171,16 @@ def cascade_signals(spark, sf):
     return keyed.cascade(fixtures.signals(spark, sf), kept, "post_id").select("post_id", r6("composite_signal"))
 
 
+def collection_run(spark, sf):
+    """A collection of raw posts, as the ledger tells it."""
+    raw = fixtures.raw_counters(fixtures.tagged(spark, sf)).withColumn("url", F.lit(None).cast("string"))
+    posts, ledger = scratch_path(spark, "posts"), scratch_path(spark, "ledger")
+    collect.run_collection(spark, raw, posts, ledger, ["post_id"], STREAM_TIME, "run")
+    return run_ledger.read_runs(spark, ledger).select(
+        "run_id", ntz("started_at"), "status", "seen", "inserted", joined("errors")
+    )
+
+
 def run_ledger_by_day(spark, sf):
     """One run per day: what it saw, what was new, why rows were refused."""
     raw = fixtures.raw_counters(fixtures.tagged(spark, sf)).withColumn("url", F.lit(None).cast("string"))
@@ -382,7 +429,7 @@ def posts_with_signal(spark, sf):
 
 
 SEARCH = "RALLY user_1"
-SIGNAL_SEARCH = "Support bullish"
+SIGNAL_SEARCH = "'bullish but' RESISTANCE"
 
 
 def search_posts(spark, sf):
@@ -539,6 +586,20 @@ def report_document(spark, sf):
     )
 
 
+def analysis_document(spark, sf):
+    """The analysis answer, read back key by key."""
+    document = summary.analysis_document(summary.aggregate_signals(fixtures.scored(spark, sf)))
+    at = lambda path, kind: F.get_json_object("document", path).cast(kind)
+    signals = "$.aggregated_signals"
+    return document.select(
+        at("$.status", "string").alias("status"),
+        at("$.tweets_analyzed", "bigint").alias("total_posts"),
+        F.round(at(f"{signals}.mean_signal", "double"), 6).alias("mean_signal"),
+        F.round(at(f"{signals}.confidence_interval_upper", "double"), 6).alias("confidence_interval_upper"),
+        *[at(f"{signals}.sentiment_distribution.{k}", "bigint").alias(f"{k}_posts") for k in summary.LABELS],
+    )
+
+
 # --- ordering, sampling, chart frames ---------------------------------------
 
 
@@ -627,10 +688,50 @@ def stream_signals(spark, sf):
     _finish(
         streams.start_signals(_pages(spark, sf), scratch_path(spark, "unique"), path, STREAM_TIME, checkpoint)
     )
-    stored = StoredTable(spark, path, schema.SIGNALS, day_of="ts").read()
+    stored = analyze.signal_store(spark, path).read()
     return stored.select("content_hash", r6("sentiment_score"), "sentiment_label")
 
 
+def _collected(spark, sf):
+    """Unique posts from before the last day, as an earlier run would store them."""
+    older = _older(fixtures.tagged(spark, sf), spark, sf, 24).withColumn("url", F.lit(None).cast("string"))
+    posts, _ = collect.process_posts(older, fixtures.as_of(spark, sf), ["post_id"])
+    return post_files.to_posts(posts.select(*StructType.fromDDL(schema.POSTS).fieldNames()))
+
+
+def stream_into_store(spark, sf):
+    """A stream with a new checkpoint over a store that a run has filled."""
+    path, checkpoint = scratch_path(spark, "unique"), scratch_path(spark, "state")
+    table = StoredTable(spark, path, schema.POSTS)
+    table.insert_if_absent(_collected(spark, sf).withColumn("url", F.lit("run")), "content_hash", ["ts"], "run")
+    _finish(streams.start_store(_pages(spark, sf), path, None, checkpoint))
+    return table.read().select("content_hash", F.coalesce(F.col("url") == "run", F.lit(False)).alias("from_run"))
+
+
+def stream_signals_into_store(spark, sf):
+    """A signal stream over stored signals: their first stamp stays, all else is new."""
+    path, checkpoint = scratch_path(spark, "signals"), scratch_path(spark, "state")
+    table = analyze.signal_store(spark, path)
+    first = datetime(2023, 1, 1)
+    table.upsert(analyze.build_signals(_collected(spark, sf), first))
+    _finish(
+        streams.start_signals(_pages(spark, sf), scratch_path(spark, "unique"), path, STREAM_TIME, checkpoint)
+    )
+    return table.read().select(
+        "content_hash", "sentiment_label", (F.col("processed_at") == values.as_column(first)).alias("from_run")
+    )
+
+
+def stream_ledger(spark, sf):
+    """What the ledger of a store stream adds up to."""
+    path, ledger, checkpoint = (scratch_path(spark, n) for n in ("unique", "ledger", "state"))
+    _finish(streams.start_store(_pages(spark, sf), path, ledger, checkpoint))
+    runs = run_ledger.read_runs(spark, ledger)
+    return runs.groupBy("status").agg(
+        F.sum("inserted").alias("inserted"), F.count_if(F.col("seen") < F.col("inserted")).alias("short_runs")
+    )
+
+
 def stream_hourly(spark, sf):
     path, checkpoint = scratch_path(spark, "hourly"), scratch_path(spark, "state")
     grouped = streams.hourly(scoring.analyze_posts(_pages(spark, sf)))
@@ -654,5 +755,7 @@ QUERIES = {
         volume_check, report_document, newest_n, list_page, systematic_sample, random_sample,
         rolling_mean, rolling_mean_by, signal_over_time, engagement_vs_sentiment,
         signal_summary_long, stream_ingest, stream_dedupe, stream_signals, stream_hourly,
+        store_insert_twice, store_upsert, store_cascade, stream_into_store, stream_signals_into_store,
+        stream_ledger, collection_run, analysis_document,
     )
 } | {"run_ledger": run_ledger_by_day}

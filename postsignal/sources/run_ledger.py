@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schema
+from ..functions.values import utc
 
 STATUSES = ("running", "completed", "failed")
 
@@ -18,7 +19,8 @@ def record_run(
 ) -> None:
     if status not in STATUSES:
         raise ValueError(f"unknown run status: {status}")
-    row = (run_id, started_at, completed_at, status, seen, inserted, errors or [])
+    ended = None if completed_at is None else utc(completed_at)
+    row = (run_id, utc(started_at), ended, status, seen, inserted, errors or [])
     one = spark.createDataFrame([row], schema.RUNS)
     one.coalesce(1).write.mode("append").parquet(path)
 

@@ -1,104 +1,118 @@
 """Stored tables on a shared file system, without a table format.
 
-Each write is a new generation folder that is never changed afterwards. A
-generation counts once Spark has committed it (its `_SUCCESS` file is there),
-so lost executors, failed jobs and replays leave readers with whole data:
-repeating a write with the same generation number replaces that one only.
+Each write is a folder of its own that is never changed afterwards, a
+generation. It counts once Spark has committed it (its `_SUCCESS` file is
+there), so lost executors, failed jobs and replays leave readers with whole data.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from ..operators import keyed
 
+#: Kinds of generation: rows added to what is there, or the whole table anew.
+ADDED, WHOLE = "added", "whole"
+_NAME = re.compile(r"gen=(\d+)-(added|whole)-([^/]+)$")
+
+
+class Generation(NamedTuple):
+    number: int
+    kind: str
+    owner: str
+
+    @property
+    def folder(self) -> str:
+        return f"gen={self.number:010d}-{self.kind}-{self.owner}"
+
 
 class StoredTable:
-    """Insert-only table; with `day_of` also an upsert table split by day.
+    """A table of generations; with `key` an upsert table.
 
-    With `day_of` (a timestamp column) each generation holds whole days, and the
-    newest generation that holds a day is that day's content. An upsert thus
-    reads and rewrites the days its batch touches, not the table.
+    Without a key the live rows are those of the newest `whole` generation and all
+    later ones. With a key they are the newest row of each key in them, and
+    `keep_old` columns keep the value of the key's oldest row: a write costs what its
+    batch costs, wherever the batch's keys were stored before, and a read groups
+    by key. `compact` folds the generations into one.
+
+    `owner` names a write: writing again under one's own name replaces that write
+    (a replayed micro-batch, a repeated run), and nothing ever replaces another's.
+    Numbers only grow. Inserts are unique if one writer inserts at a time.
     """
 
-    def __init__(self, spark: SparkSession, path: str, ddl: str, day_of: str | None = None):
-        self.spark, self.path, self.day_of = spark, path.rstrip("/"), day_of
+    def __init__(
+        self, spark: SparkSession, path: str, ddl: str, key: str | None = None, keep_old: tuple[str, ...] = ()
+    ):
+        self.spark, self.path, self.key, self.keep_old = spark, path.rstrip("/"), key, keep_old
         self.schema = StructType.fromDDL(ddl)
 
-    def _committed(self, before: int | None) -> list[int]:
-        found = (re.search(r"/gen=(\d+)/", p) for p in self._glob("gen=*/_SUCCESS"))
-        gens = sorted(int(m.group(1)) for m in found if m)
-        return [g for g in gens if before is None or g < before]
-
-    def _glob(self, pattern: str) -> list[str]:
+    def generations(self) -> list[Generation]:
+        """Committed generations in order; one entry per write, a few bytes each."""
         hadoop = self.spark._jvm.org.apache.hadoop.fs
-        target = hadoop.Path(f"{self.path}/{pattern}")
+        target = hadoop.Path(f"{self.path}/gen=*/_SUCCESS")
         fs = target.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return [str(s.getPath().toString()) for s in (fs.globStatus(target) or [])]
-
-    def next_generation(self) -> int:
-        return max(self._committed(None), default=-1) + 1
-
-    def _live_folders(self, before: int | None, days: list[str] | None) -> list[str]:
-        gens = self._committed(before)
-        if self.day_of is None:
-            return [f"{self.path}/gen={g}" for g in gens]
-        newest: dict[str, int] = {}
-        for folder in self._glob("gen=*/day=*"):
-            gen, day = re.search(r"/gen=(\d+)/day=([^/]+)$", folder).groups()
-            if int(gen) in gens and (days is None or day in days):
-                newest[day] = max(newest.get(day, -1), int(gen))
-        return [f"{self.path}/gen={g}/day={d}" for d, g in sorted(newest.items())]
-
-    def read(self, before: int | None = None, days: list[str] | None = None) -> DataFrame:
-        """Live rows; `before` hides later generations, `days` prunes the others."""
-        folders = self._live_folders(before, days)
-        if not folders:
+        names = [str(s.getPath().getParent().getName()) for s in (fs.globStatus(target) or [])]
+        found = (_NAME.match(n) for n in names)
+        return sorted(Generation(int(m[1]), m[2], m[3]) for m in found if m)
+
+    def _place(self, owner: str | None) -> tuple[int, str]:
+        """(number, owner) of a write: its own number if it was committed before, else the next."""
+        done = self.generations()
+        owner = owner or uuid.uuid4().hex
+        own = [g.number for g in done if g.owner == owner]
+        return (own[0] if own else max((g.number for g in done), default=-1) + 1), owner
+
+    def read(self, before: int | None = None) -> DataFrame:
+        """Live rows; `before` hides generations from that number on."""
+        live = [g for g in self.generations() if before is None or g.number < before]
+        wholes = [n for n, g in enumerate(live) if g.kind == WHOLE]
+        live = live[wholes[-1] :] if wholes else live
+        if not live:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*folders)
-
-    def generation(self, gen: int) -> DataFrame:
+        folders = [f"{self.path}/{g.folder}" for g in live]
+        rows = self.spark.read.schema(self.schema).parquet(*folders)
+        if self.key is None or len(live) == 1:
+            return rows
+        number = F.regexp_extract("_metadata.file_path", r"/gen=(\d+)-", 1).cast("long")
+        kept = [c for c in self.schema.fieldNames() if c != self.key]
+        newest = rows.withColumn("_gen", number).groupBy(self.key).agg(
+            F.max_by(F.struct(*kept), "_gen").alias("_row"),
+            *[F.min_by(c, "_gen").alias(f"_old_{c}") for c in self.keep_old],
+        )
+        pick = {c: F.coalesce(f"_old_{c}", f"_row.{c}") if c in self.keep_old else F.col(f"_row.{c}") for c in kept}
+        return newest.select(*[F.col(c) if c == self.key else pick[c].alias(c) for c in self.schema.fieldNames()])
+
+    def generation(self, written: Generation) -> DataFrame:
         """What one write stored."""
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/gen={gen}")
-
-    def _write(self, df: DataFrame, gen: int) -> None:
-        out = df.select(*self.schema.fieldNames())
-        if self.day_of is None:
-            writer = out.write
-        else:
-            writer = out.withColumn("day", F.to_date(self.day_of)).write.partitionBy("day")
-        writer.mode("overwrite").option("compression", "snappy").parquet(f"{self.path}/gen={gen}")
-
-    def insert_if_absent(self, batch: DataFrame, key: str, order_by: list, gen: int | None = None) -> int:
-        """Append rows whose key is not stored yet; returns the generation."""
-        gen = self.next_generation() if gen is None else gen
-        self._write(keyed.insert_if_absent(self.read(before=gen), batch, key, order_by), gen)
-        return gen
-
-    def upsert(
-        self, batch: DataFrame, key: str, keep_old: tuple[str, ...] = (), gen: int | None = None
-    ) -> int:
-        """Insert or replace by key; `keep_old` columns keep their first value.
-
-        A key must keep its day, as a stored post does. The batch's times are read
-        once more for its few distinct days.
-        """
-        gen = self.next_generation() if gen is None else gen
-        days = None
-        if self.day_of is not None:
-            # One value per calendar day the batch covers.
-            rows = batch.select(F.to_date(self.day_of).cast("string").alias("day")).distinct().collect()
-            days = [r.day for r in rows]
-        columns = self.schema.fieldNames()
-        merged = keyed.upsert(self.read(gen, days), batch.select(*columns), key, keep_old)
-        self._write(merged, gen)
-        return gen
-
-    def retain(self, parents: DataFrame, key: str, gen: int | None = None) -> int:
-        """Rewrite with only the rows whose key still has a parent."""
-        gen = self.next_generation() if gen is None else gen
-        self._write(keyed.cascade(self.read(before=gen), parents, key), gen)
-        return gen
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{written.folder}")
+
+    def _write(self, df: DataFrame, number: int, kind: str, owner: str) -> Generation:
+        made = Generation(number, kind, owner)
+        out = df.select(*self.schema.fieldNames()).write.mode("overwrite")
+        out.option("compression", "snappy").parquet(f"{self.path}/{made.folder}")
+        return made
+
+    def insert_if_absent(self, batch: DataFrame, key: str, order_by: list, owner: str | None = None) -> Generation:
+        """Add the rows (first per key) whose key is not stored yet."""
+        number, owner = self._place(owner)
+        return self._write(keyed.insert_if_absent(self.read(number), batch, key, order_by), number, ADDED, owner)
+
+    def upsert(self, batch: DataFrame, order_by: list | None = None, owner: str | None = None) -> Generation:
+        """Insert or replace by the table's key; of a batch's rows of one key the last in order counts."""
+        number, owner = self._place(owner)
+        return self._write(keyed.last_per_key(batch, self.key, order_by or []), number, ADDED, owner)
+
+    def retain(self, parents: DataFrame, key: str, owner: str | None = None) -> Generation:
+        """Keep only the rows whose key still has a parent; the rest is no longer read."""
+        number, owner = self._place(owner)
+        return self._write(keyed.cascade(self.read(number), parents, key), number, WHOLE, owner)
+
+    def compact(self, owner: str | None = None) -> Generation:
+        """Fold all live rows into one generation, so that later reads list and group less."""
+        number, owner = self._place(owner)
+        return self._write(self.read(number), number, WHOLE, owner)

@@ -6,14 +6,16 @@ per micro-batch under the batch's number, so a replayed batch replaces itself.
 
 from __future__ import annotations
 
-from datetime import datetime
+import threading
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schema
+from ..functions.values import as_column
 from ..operators import summary
-from ..plans.analyze import build_signals
+from ..plans.analyze import build_signals, signal_store
 from ..plans.collect import clean_posts
 from ..sources import run_ledger
 from ..sources.search_results import flatten_search_pages
@@ -27,8 +29,9 @@ def read_page_stream(spark: SparkSession, folder: str, files_per_batch: int | No
     return reader.json(folder)
 
 
-def ingest(pages: DataFrame, as_of: Column | datetime) -> DataFrame:
-    """Search pages to clean posts, row by row."""
+def ingest(pages: DataFrame, as_of: Column | datetime | None = None) -> DataFrame:
+    """Search pages to clean posts, row by row. Posts without a time get `as_of`, by default their batch's time."""
+    as_of = as_column(as_of)
     return clean_posts(flatten_search_pages(pages, as_of), as_of)
 
 
@@ -46,20 +49,31 @@ def dedupe_within(posts: DataFrame, delay: str = "1 day") -> DataFrame:
 def start_store(
     posts: DataFrame, table_path: str, ledger_path: str | None, checkpoint: str, **trigger
 ) -> StreamingQuery:
-    """Exact de-duplication against everything stored, with one ledger row per batch."""
+    """Exact de-duplication against everything stored, whoever stored it; a ledger run per batch.
+
+    `seen` counts the batch's different posts, `inserted` those that are new to the store.
+    """
     spark = posts.sparkSession
 
-    def store(batch: DataFrame, batch_id: int) -> None:
+    def store(batch: DataFrame, owner: str) -> None:
         table = StoredTable(spark, table_path, schema.POSTS)
-        started = datetime.now()
+        started = datetime.now(timezone.utc)
         batch.persist()
         try:
-            table.insert_if_absent(batch, "content_hash", ["ts", "tweet_id"], gen=batch_id)
+            if ledger_path:
+                run_ledger.record_run(spark, ledger_path, owner, started)
+            made = table.insert_if_absent(batch, "content_hash", ["ts", "tweet_id"], owner)
+            if ledger_path:
+                run_ledger.record_run(
+                    spark, ledger_path, owner, started, "completed", datetime.now(timezone.utc),
+                    seen=batch.select("content_hash").distinct().count(), inserted=table.generation(made).count(),
+                )
+        except Exception as error:
             if ledger_path:
                 run_ledger.record_run(
-                    spark, ledger_path, f"batch-{batch_id}", started, "completed", datetime.now(),
-                    seen=batch.count(), inserted=table.generation(batch_id).count(),
+                    spark, ledger_path, owner, started, "failed", datetime.now(timezone.utc), errors=[str(error)]
                 )
+            raise
         finally:
             batch.unpersist()
 
@@ -67,21 +81,25 @@ def start_store(
 
 
 def start_signals(
-    posts: DataFrame, posts_path: str, signals_path: str, as_of: datetime, checkpoint: str, **trigger
+    posts: DataFrame, posts_path: str, signals_path: str, as_of: datetime | None, checkpoint: str, **trigger
 ) -> StreamingQuery:
     """Store each batch's new posts, score them and upsert their signals.
 
     Only posts new to the store are scored: a later copy of a stored text keeps
-    the stored post's time and signal. Replays give the same tables.
+    the stored post's time and signal. Replays give the same tables. `as_of` None
+    stamps each batch with its own time.
     """
     spark = posts.sparkSession
 
-    def score(batch: DataFrame, batch_id: int) -> None:
+    def score(batch: DataFrame, owner: str) -> None:
         stored = StoredTable(spark, posts_path, schema.POSTS)
-        stored.insert_if_absent(batch, "content_hash", ["ts", "tweet_id"], gen=batch_id)
-        signals = StoredTable(spark, signals_path, schema.SIGNALS, day_of="ts")
-        scored = build_signals(stored.generation(batch_id), as_of)
-        signals.upsert(scored, "content_hash", keep_old=("processed_at",), gen=batch_id)
+        batch.persist()
+        try:
+            made = stored.insert_if_absent(batch, "content_hash", ["ts", "tweet_id"], owner)
+        finally:
+            batch.unpersist()
+        now = as_of or datetime.now(timezone.utc)
+        signal_store(spark, signals_path).upsert(build_signals(stored.generation(made), now), owner=owner)
 
     return _for_each(posts, score, checkpoint, trigger)
 
@@ -100,8 +118,9 @@ def start_summary(aggregated: DataFrame, path: str, checkpoint: str, mode: str =
     last one is.
     """
 
-    def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    def save(batch: DataFrame, owner: str) -> None:
+        number = owner.rpartition(".")[2]
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return _for_each(aggregated, save, checkpoint, trigger, mode)
 
@@ -117,5 +136,19 @@ def _trigger(trigger: dict) -> dict:
 
 
 def _for_each(df: DataFrame, action, checkpoint: str, trigger: dict, mode: str = "append") -> StreamingQuery:
-    writer = df.writeStream.outputMode(mode).foreachBatch(action)
-    return writer.option("checkpointLocation", checkpoint).trigger(**_trigger(trigger)).start()
+    """Run `action(batch, owner)` per micro-batch.
+
+    The owner is the query's lasting id and the batch's number: the same for a
+    replay, and another's for every other stream, new checkpoints included.
+    """
+    started, name = threading.Event(), []
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        started.wait()
+        action(batch, f"{name[0]}.{batch_id}")
+
+    writer = df.writeStream.outputMode(mode).foreachBatch(run)
+    query = writer.option("checkpointLocation", checkpoint).trigger(**_trigger(trigger)).start()
+    name.append(str(query.id))
+    started.set()
+    return query

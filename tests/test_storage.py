@@ -1,4 +1,8 @@
+import os
+import subprocess
+import sys
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -55,7 +59,7 @@ def test_collect_analyse_report(spark):
     assert (recent.total_posts, recent.positive_posts, recent.negative_posts) == (3, 2, 1)
     everything = analyze.run_analysis(spark, posts_path, signals_path, later, hours="all").first()
     assert everything.total_posts == 4
-    table = StoredTable(spark, signals_path, schema.SIGNALS, day_of="ts")
+    table = analyze.signal_store(spark, signals_path)
     stamps = {r.processed_at for r in table.read().filter(F.col("ts") >= NOW - timedelta(days=1)).collect()}
     assert stamps == {NOW}
     assert table.read().count() == 4
@@ -66,8 +70,8 @@ def test_collect_analyse_report(spark):
     assert frames["signal_over_time"].count() == 4
     assert {r.sentiment_label: r.n for r in frames["sentiment_distribution"].collect()} == {"positive": 2, "negative": 2}
 
-    gen = table.retain(posts.filter("content != 'rally'"), "content_hash")
-    assert table.generation(gen).count() == 3
+    table.retain(posts.filter("content != 'rally'"), "content_hash")
+    assert table.read().count() == 3
 
 
 def test_failed_run_is_recorded(spark):
@@ -85,17 +89,41 @@ def test_no_posts_is_an_error(spark):
         analyze.run_analysis(spark, scratch_path(spark, "none"), scratch_path(spark, "s"), NOW)
 
 
-def test_upsert_touches_only_its_days(spark):
-    path = scratch_path(spark, "signals")
-    table = StoredTable(spark, path, "k string, ts timestamp, v double", day_of="ts")
-    rows = lambda *xs: spark.createDataFrame([(k, NOW - timedelta(days=d), v) for k, d, v in xs], "k string, ts timestamp, v double")
-    table.upsert(rows(("a", 0, 1.0), ("b", 1, 1.0)), "k")
-    gen = table.upsert(rows(("a", 0, 2.0), ("c", 0, 2.0)), "k")
-    assert sorted((r.k, r.v) for r in table.generation(gen).collect()) == [("a", 2.0), ("c", 2.0)]
-    assert sorted((r.k, r.v) for r in table.read().collect()) == [("a", 2.0), ("b", 1.0), ("c", 2.0)]
-    # A replay of the same generation changes nothing.
-    table.upsert(rows(("a", 0, 2.0), ("c", 0, 2.0)), "k", gen=gen)
-    assert table.read().count() == 3
+KV = "k string, ts timestamp, v double"
+
+
+def kv(spark, *rows):
+    return spark.createDataFrame([(k, NOW - timedelta(days=d), v) for k, d, v in rows], KV)
+
+
+def held(table):
+    return sorted((r.k, r.v) for r in table.read().collect())
+
+
+def test_upsert_repeats_moves_and_replays(spark):
+    table = StoredTable(spark, scratch_path(spark, "signals"), KV, key="k", keep_old=("ts",))
+    table.upsert(kv(spark, ("a", 0, 1.0), ("b", 1, 1.0), ("a", 0, 0.5)), ["v"])
+    assert held(table) == [("a", 1.0), ("b", 1.0)]
+    again = kv(spark, ("a", 3, 2.0), ("c", 0, 2.0))
+    table.upsert(again, owner="batch")
+    assert held(table) == [("a", 2.0), ("b", 1.0), ("c", 2.0)]
+    assert {r.k: r.ts for r in table.read().collect()}["a"] == NOW
+    # A replay under its own name changes nothing, also after a later write.
+    table.upsert(kv(spark, ("c", 0, 3.0)))
+    table.upsert(again, owner="batch")
+    assert held(table) == [("a", 2.0), ("b", 1.0), ("c", 3.0)]
+    table.compact()
+    assert held(table) == [("a", 2.0), ("b", 1.0), ("c", 3.0)]
+
+
+@pytest.mark.parametrize("key", [None, "k"])
+def test_retain_deletes(spark, key):
+    table = StoredTable(spark, scratch_path(spark, "t"), KV, key=key)
+    table.insert_if_absent(kv(spark, ("a", 0, 1.0), ("b", 1, 1.0)), "k", ["k"])
+    table.retain(kv(spark, ("a", 0, 0.0)), "k")
+    assert held(table) == [("a", 1.0)]
+    table.insert_if_absent(kv(spark, ("b", 0, 2.0), ("a", 0, 9.0)), "k", ["k"])
+    assert held(table) == [("a", 1.0), ("b", 2.0)]
 
 
 def test_unfinished_generation_is_not_read(spark):
@@ -106,12 +134,30 @@ def test_unfinished_generation_is_not_read(spark):
     # What a job killed before its commit leaves behind.
     spark.conf.set("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
     try:
-        df.withColumn("k", F.lit("z")).write.parquet(f"{path}/gen=1")
+        df.withColumn("k", F.lit("z")).write.parquet(f"{path}/gen=0000000001-added-killed")
     finally:
         spark.conf.unset("mapreduce.fileoutputcommitter.marksuccessfuljobs")
     assert [r.k for r in table.read().collect()] == ["a"]
 
 
+def test_times_are_utc_on_a_driver_elsewhere(tmp_path):
+    code = f"""
+import sys; sys.path.insert(0, {str(Path(__file__).resolve().parent.parent)!r})
+from datetime import datetime
+from postsignal import build_session
+from postsignal.functions.values import as_column
+from postsignal.sources import run_ledger
+spark = build_session("utc", "local[1]", **{{"spark.ui.enabled": "false"}})
+run_ledger.record_run(spark, {str(tmp_path / "ledger")!r}, "r", datetime(2025, 1, 10), "completed", datetime(2025, 1, 11))
+rows = run_ledger.read_runs(spark, {str(tmp_path / "ledger")!r}).select("started_at", "completed_at")
+stamp = spark.range(1).select(as_column(datetime(2025, 1, 10)).cast("string")).first()[0]
+print([str(x) for x in rows.selectExpr("cast(started_at as string)", "cast(completed_at as string)").first()], stamp)
+"""
+    env = {**os.environ, "TZ": "Asia/Kolkata"}
+    out = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=120)
+    assert out.stdout.strip() == "['2025-01-10 00:00:00', '2025-01-11 00:00:00'] 2025-01-10 00:00:00", out.stderr[-800:]
+
+
 def test_post_files(spark):
     folder = scratch_path(spark, "files")
     posts, _ = collect.process_posts(raw_posts(spark, ROWS), NOW, ["seq"])

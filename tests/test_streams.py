@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from postsignal import schema, scratch_path
 from postsignal.functions.scoring import analyze_posts
 from postsignal.plans import fixtures
+from postsignal.plans.analyze import signal_store
 from postsignal.sources import run_ledger
 from postsignal.sources.tables import StoredTable
 from postsignal.streaming import streams
@@ -16,7 +17,7 @@ NOW = datetime(2024, 2, 1)
 
 @pytest.fixture(scope="module")
 def pages(spark):
-    return fixtures.search_page_folder(spark, SF_DIR)
+    return fixtures.search_page_folder(spark, SF_DIR, 1)
 
 
 def posts(spark, folder, files=1):
@@ -39,7 +40,7 @@ def test_store_dedupes_over_batches_and_keeps_a_ledger(spark, pages):
     assert table.read().count() == distinct_posts(spark)
     runs = run_ledger.read_runs(spark, ledger)
     sums = runs.agg(F.sum("seen").alias("seen"), F.sum("inserted").alias("inserted")).first()
-    assert (sums.seen, sums.inserted) == (200, distinct_posts(spark))
+    assert sums.inserted == distinct_posts(spark) <= sums.seen <= 200
     assert {r.status for r in runs.collect()} == {"completed"}
     # Nothing new: a restart from the same state adds nothing.
     finish(streams.start_store(posts(spark, pages), table_path, ledger, state))
@@ -56,7 +57,7 @@ def test_bounded_state_dedupe_over_a_long_delay(spark, pages):
 def test_signals_stream_equals_batch(spark, pages):
     path, state = scratch_path(spark, "g"), scratch_path(spark, "s")
     finish(streams.start_signals(posts(spark, pages), scratch_path(spark, "p"), path, NOW, state))
-    stored = StoredTable(spark, path, schema.SIGNALS, day_of="ts").read()
+    stored = signal_store(spark, path).read()
     batch = analyze_posts(fixtures.tagged(spark, SF_DIR)).groupBy("sentiment_label").agg(
         F.count_distinct("content").alias("n")
     )
