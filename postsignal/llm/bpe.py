@@ -8,22 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .frames import id_and_text, map_batches
 from .wordbpe import load
 
-#: Characters of text that a Python worker splits into words at a time.
-BLOCK_CHARS = 2_000_000
-
-
-def blocks(texts: list[str], most: int = BLOCK_CHARS):
-    """Consecutive runs of texts of about `most` characters, one text at least."""
-    start, held = 0, 0
-    for n, text in enumerate(texts):
-        if held and held + len(text) > most:
-            yield texts[start:n]
-            start, held = n, 0
-        held += len(text)
-    if texts[start:]:
-        yield texts[start:]
-
-
 def encode(texts: Column, path: str) -> Column:
     """Token ids (array<int>) of a text column; a null or empty text has none.
 
@@ -32,9 +16,7 @@ def encode(texts: Column, path: str) -> Column:
 
     @F.arrow_udf("array<int>")
     def ids(column: pa.Array) -> pa.Array:
-        bpe = load(path)
-        found = [pa.array(bpe.encode_batch(b), pa.list_(pa.int32())) for b in blocks(column.to_pylist())]
-        return pa.concat_arrays(found) if found else pa.array([], pa.list_(pa.int32()))
+        return load(path).encode_array(column)
 
     return ids(F.coalesce(texts.cast("string"), F.lit("")))
 
@@ -44,10 +26,9 @@ def decode(ids: Column, path: str) -> Column:
 
     @F.arrow_udf("string")
     def text(column: pa.Array) -> pa.Array:
-        bpe = load(path)
-        return pa.array([bpe.decode(row or []) for row in column.to_pylist()], pa.string())
+        return load(path).decode_array(column).cast(pa.string())
 
-    return text(ids)
+    return text(F.coalesce(ids.cast("array<int>"), F.array().cast("array<int>")))
 
 
 def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -60,12 +41,8 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
     """
 
     def rows(batch: pa.RecordBatch) -> dict:
-        coder, ids, decoded = load(path), [], []
-        for block in blocks(batch.column("text").to_pylist()):
-            coded = coder.encode_batch(block)
-            ids.append(pa.array(coded, pa.list_(pa.int32())))
-            decoded.append(pa.array(map(coder.decode, coded), pa.string()))
-        return {"id": batch.column("id"), "ids": pa.concat_arrays(ids), "decoded": pa.concat_arrays(decoded)}
+        ids = load(path).encode_array(batch.column("text"))
+        return {"id": batch.column("id"), "ids": ids, "decoded": load(path).decode_array(ids)}
 
     # One call makes both, since Spark would encode anew for each column that uses the ids.
     return map_batches(id_and_text(df, id_col, text_col), rows, "id long, ids array<int>, decoded string")

@@ -14,7 +14,6 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .bpe import blocks
 from .files import create, new_folder, open_at
 from .frames import id_and_text, stored
 from .wordbpe import load
@@ -175,30 +174,29 @@ def write(
     rows = id_and_text(df, id_col, text_col).withColumn("sig", F.xxhash64("text"))
     ordered = rows.repartitionByRange("id", "sig").sortWithinPartitions("id", "sig", "text").select("id", "text")
     folder = new_folder(df.sparkSession, "tokens")
-    tail = [] if end_id is None else [end_id]
+    tail = np.array([] if end_id is None else [end_id], np.uint32)
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, number = load(path), TaskContext.get().partitionId(), 0
-        docs, parts, held = [], [], 0
+        docs, sizes, parts, held = [], [], [], 0
 
         def close() -> pa.RecordBatch:
             address, out = create(folder, ".wvm")
             with out:
-                sizes = [len(p) for p in parts]
                 build(np.concatenate(parts), np.array([0, *accumulate(sizes)]), docs, out)
             return pa.RecordBatch.from_pylist([{"archive": address, "part": part, "number": number, "tokens": held}])
 
         for batch in batches:
-            names, done = batch.column("id").to_pylist(), 0
-            for block in blocks(batch.column("text").to_pylist()):
-                for ids in coder.encode_batch(block):
-                    if docs and held + len(ids) + len(tail) > shard_tokens:
-                        yield close()
-                        docs, parts, held, number = [], [], 0, number + 1
-                    docs.append(names[done])
-                    parts.append(np.array(ids + tail, np.uint32))
-                    held += len(parts[-1])
-                    done += 1
+            names, coded = batch.column("id").to_pylist(), coder.encode_array(batch.column("text"))
+            ends, ids = coded.offsets.to_numpy(), coded.values.to_numpy().astype(np.uint32)
+            for name, start, stop in zip(names, ends[:-1].tolist(), ends[1:].tolist()):
+                if docs and held + stop - start + len(tail) > shard_tokens:
+                    yield close()
+                    docs, sizes, parts, held, number = [], [], [], 0, number + 1
+                docs.append(name)
+                parts += [ids[start:stop], tail]
+                sizes.append(stop - start + len(tail))
+                held += sizes[-1]
         if docs:
             yield close()
 

@@ -2,6 +2,7 @@
 
 Reads a public tokenizer file (NFC, lower case, a pattern of pieces, bytes as
 characters, BPE with an end-of-word suffix) and encodes as that file prescribes.
+All different words of a block of texts are encoded together, in arrays.
 """
 
 from __future__ import annotations
@@ -10,19 +11,20 @@ import json
 import unicodedata
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: A rank that no merge has.
 NEVER = np.iinfo(np.int64).max
-NO_MERGE = (NEVER, -1)
-#: Words of more symbols are merged with a heap.
+#: Failing words of more bytes are merged one by one with a heap.
 SHORT = 48
-#: Runs and pieces remembered per Python worker before each memory is emptied.
-REMEMBERED = 300_000
-ODD_SPACE = regex.compile("[\x1c-\x1f]")
+#: Characters of text that are encoded together; bounds the arrays.
+BLOCK_CHARS = 6_000_000
+#: Python's and Arrow's white space, but not the file's.
+ODD_SPACE = "[\\x1c-\\x1f]"
 
 
 def byte_characters() -> list[str]:
@@ -32,12 +34,58 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+def has_unassigned(text: str) -> bool:
+    """Whether a text has characters that Python's Unicode tables do not know."""
+    return not text.isascii() and any(unicodedata.category(c) == "Cn" for c in set(text))
+
+
 @lru_cache(maxsize=4)
 def load(path: str) -> "WordBPE":
     """One tokenizer per Python process and file."""
     return WordBPE(path)
 
 
+class ArrayMap:
+    """A hash table from non-negative integers to integers, looked up for whole arrays."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, (4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
+        slots, left = self._slots(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[slots[left]] < 0]
+            _, first = np.unique(slots[free], return_index=True)
+            won = free[first]
+            self.keys[slots[won]], self.values[slots[won]] = keys[won], values[won]
+            left = np.setdiff1d(left, won)
+            slots[left] = (slots[left] + 1) & self.mask
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray, missing: int) -> np.ndarray:
+        slots = self._slots(keys)
+        held = self.keys[slots]
+        out = np.where(held == keys, self.values[slots], missing)
+        left = np.flatnonzero((held != keys) & (held >= 0))
+        while len(left):
+            slots[left] = (slots[left] + 1) & self.mask
+            held = self.keys[slots[left]]
+            hit = held == keys[left]
+            out[left[hit]] = self.values[slots[left[hit]]]
+            left = left[~hit & (held >= 0)]
+        return out
+
+
+def expanded(offsets: np.ndarray, values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, values) of the given rows of a ragged array, one after the other."""
+    sizes = np.diff(offsets)[rows]
+    ends = np.cumsum(sizes)
+    places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(offsets[rows] - (ends - sizes), sizes)
+    return np.concatenate(([0], ends)), values[places]
+
+
 class WordBPE:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
@@ -46,25 +94,27 @@ class WordBPE:
         kinds = [n["type"] for n in spec["normalizer"]["normalizers"]]
         if model["type"] != "BPE" or kinds != ["NFC", "Replace", "Lowercase"] or spec.get("decoder"):
             raise ValueError(f"{path} is not a BPE file with word ends")
+        self.path, self.reader = path, None
         self.end = model["end_of_word_suffix"]
         self.ids: dict[str, int] = model["vocab"]
-        split = spec["pre_tokenizer"]["pretokenizers"][0]
-        self.pieces = regex.compile(split["pattern"]["Regex"], regex.V1).findall
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.pieces = regex.compile(pattern, regex.V1).findall
+        self.pieces_and_breaks = regex.compile(f"{pattern}|\n", regex.V1).findall
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.apart = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        self.bytes = str.maketrans({chr(b): c for b, c in enumerate(byte_characters())})
         self.text_of = {**{i: t for t, i in self.ids.items()}, **{i: t for t, i in self.special.items()}}
-        self._merges([tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]])
-        self.longest = max(map(len, self.proposable))
-        self.path, self.reader = path, None
-        self.unassigned = regex.compile(r"\p{Cn}").search
-        self.known: dict[str, tuple[int, ...]] = {}  # by piece
-        self.chunks: dict[str, tuple[int, ...]] = {}  # by run without white space
+        size = max(self.text_of) + 1
+        self.names = pa.array([self.text_of.get(i, "") for i in range(size)], pa.large_string())
+        characters = byte_characters()
+        # A symbol is a byte, or 256 and a byte that ends its word.
+        self.byte_of = {c: b for b, c in enumerate(characters)}
+        self.symbol_ids = np.array([self.ids[c] for c in characters] + [self.ids[c + self.end] for c in characters])
+        self._read_merges([tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]])
 
-    def _merges(self, merges: list[tuple[str, str]]) -> None:
+    def _read_merges(self, merges: list[tuple[str, str]]) -> None:
         size = max(self.ids.values()) + 1
         self.rank = np.full(size, -1, np.int64)  # of the merge that makes a token, -1 for single bytes
-        self.left, self.right = np.arange(size), np.arange(size)
+        self.left, self.right, self.size = np.arange(size), np.arange(size), size
         self.merge: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, (a, b) in enumerate(merges):
             x, y, made = self.ids[a], self.ids[b], self.ids[a + b]
@@ -72,9 +122,8 @@ class WordBPE:
             if self.rank[made] < 0:
                 self.rank[made], self.left[made], self.right[made] = rank, x, y
         keys = np.array([x * size + y for x, y in self.merge], np.int64)
-        order = np.argsort(keys)
-        self.size, self.keys = size, keys[order]
-        self.key_ranks = np.array([r for r, _ in self.merge.values()], np.int64)[order]
+        self.ranks = ArrayMap(keys, np.array([r for r, _ in self.merge.values()], np.int64))
+        self.made = np.array([self.ids[a + b] for a, b in merges], np.int64)
         # Only tokens that their own text really merges to may be proposed, and only
         # where parts are always made before the whole is the pair test exact.
         made = np.flatnonzero(self.rank >= 0)
@@ -84,7 +133,25 @@ class WordBPE:
         whole[made] = False
         for token, fine in sorted(zip(made.tolist(), sound.tolist()), key=lambda t: self.rank[t[0]]):
             whole[token] = fine and whole[self.left[token]] and whole[self.right[token]]
-        self.proposable = {t: i for t, i in self.ids.items() if whole[i]}
+        self._grow_trie({t: i for t, i in self.ids.items() if whole[i]})
+
+    def _grow_trie(self, tokens: dict[str, int]) -> None:
+        steps: dict[int, int] = {}
+        accepts = [-1]
+        for text, token in tokens.items():
+            last = text.endswith(self.end) and len(text) > len(self.end)
+            symbols = [self.byte_of[c] for c in (text[: -len(self.end)] if last else text)]
+            symbols[-1] += 256 * last
+            node = 0
+            for s in symbols:
+                following = steps.get(512 * node + s)
+                if following is None:
+                    following = steps[512 * node + s] = len(accepts)
+                    accepts.append(-1)
+                node = following
+            accepts[node] = token
+        self.steps = ArrayMap(np.array(list(steps), np.int64), np.array(list(steps.values()), np.int64))
+        self.accepts = np.array(accepts)
 
     def compatible(self, a: np.ndarray, b: np.ndarray, before: np.ndarray | int = NEVER) -> np.ndarray:
         """Which neighbours a, b stay apart while their two texts are merged side by side.
@@ -99,9 +166,7 @@ class WordBPE:
         fine, open_ = np.ones(len(x), bool), np.arange(len(x))
         while len(open_):
             xs, ys = x[open_], y[open_]
-            keys = xs * self.size + ys
-            place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            joins = np.where(self.keys[place] == keys, self.key_ranks[place], NEVER)
+            joins = self.ranks.get(xs * self.size + ys, NEVER)
             clash = (joins < x_gone[open_]) & (joins <= y_gone[open_]) & (joins < NEVER)
             fine[open_[clash]] = False
             made_x, made_y = self.rank[xs], self.rank[ys]
@@ -115,46 +180,53 @@ class WordBPE:
             open_ = open_[go]
         return fine
 
-    def propose(self, word: str) -> list[int] | None:
-        """Longest known token first, from left to right; None if that gets stuck."""
-        tokens, start, n, table = [], 0, len(word), self.proposable
-        while start < n:
-            token = table.get(word[start:] + self.end) if n - start <= self.longest else None
-            if token is not None:
-                tokens.append(token)
-                return tokens
-            for stop in range(min(n - 1, start + self.longest), start, -1):
-                token = table.get(word[start:stop])
-                if token is not None:
-                    break
-            else:
-                return None
-            tokens.append(token)
-            start = stop
-        return tokens
-
-    def merged(self, word: str) -> tuple[int, ...]:
-        """Exact merging of one word: the lowest rank first, the leftmost of equals."""
-        tokens = [self.ids[c] for c in word[:-1]] + [self.ids[word[-1] + self.end]]
-        if len(tokens) > SHORT:
-            return self._merged_long(tokens)
-        merge = self.merge.get
-        found = [merge(pair, NO_MERGE) for pair in zip(tokens, tokens[1:])]
-        while found:
-            best = min(found)
-            if best is NO_MERGE:
-                break
-            at = found.index(best)
-            tokens[at : at + 2] = [best[1]]
-            del found[at]
-            if at:
-                found[at - 1] = merge((tokens[at - 1], tokens[at]), NO_MERGE)
-            if at < len(found):
-                found[at] = merge((tokens[at], tokens[at + 1]), NO_MERGE)
-        return tuple(tokens)
-
-    def _merged_long(self, tokens: list) -> tuple[int, ...]:
-        """The same with a heap of candidates and linked neighbours: n log n for very long words."""
+    def propose(self, symbols: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word, token) in text order: each word's longest known token first, from left to right."""
+        at, owners, tokens = start.copy(), [], []
+        open_ = np.flatnonzero(at < stop)
+        while len(open_):
+            best, best_end = np.full(len(open_), -1), at[open_]
+            place, node, walking = at[open_], np.zeros(len(open_), np.int64), np.arange(len(open_))
+            while len(walking):
+                node = self.steps.get(512 * node + symbols[place], -1)
+                alive = node >= 0
+                walking, node, place = walking[alive], node[alive], place[alive] + 1
+                token = self.accepts[node]
+                found = token >= 0
+                best[walking[found]], best_end[walking[found]] = token[found], place[found]
+                inside = place < stop[open_[walking]]
+                walking, node, place = walking[inside], node[inside], place[inside]
+            owners.append(open_)
+            tokens.append(best)
+            at[open_] = best_end
+            open_ = open_[best_end < stop[open_]]
+        owner, token = np.concatenate(owners), np.concatenate(tokens)
+        order = np.argsort(owner, kind="stable")
+        return owner[order], token[order]
+
+    def merged_together(self, offsets: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, tokens) of short words merged side by side: the lowest rank first, the leftmost of equals."""
+        sizes = np.diff(offsets)
+        grid = np.full((len(sizes), int(sizes.max()) + 1), -1, np.int64)
+        columns = np.arange(grid.shape[1])
+        grid[columns < sizes[:, None]] = self.symbol_ids[symbols]
+        open_ = np.arange(len(sizes))
+        while len(open_):
+            a, b = grid[open_, :-1], grid[open_, 1:]
+            ranks = self.ranks.get(np.where(b >= 0, a * self.size + b, -2).ravel(), NEVER).reshape(a.shape)
+            at = ranks.argmin(axis=1)
+            best = ranks[np.arange(len(open_)), at]
+            go = best < NEVER
+            open_, at, best = open_[go], at[go], best[go]
+            shifted = np.where(columns[:-1] > at[:, None], grid[open_, 1:], grid[open_, :-1])
+            shifted[np.arange(len(open_)), at] = self.made[best]
+            grid[open_, :-1] = shifted
+            grid[open_, -1] = -1
+        held = grid >= 0
+        return held.sum(axis=1), grid[held]
+
+    def merged_alone(self, tokens: list) -> list[int]:
+        """The same for one word of any length, with a heap of candidates and linked neighbours."""
         n = len(tokens)
         after, ahead = list(range(1, n + 1)), list(range(-1, n - 1))
         queue = [(self.merge[p][0], i, p) for i, p in enumerate(zip(tokens, tokens[1:])) if p in self.merge]
@@ -171,68 +243,119 @@ class WordBPE:
             for k in (ahead[i], i):
                 if k >= 0 and after[k] < n and (near := (tokens[k], tokens[after[k]])) in self.merge:
                     heappush(queue, (self.merge[near][0], k, near))
-        return tuple(t for t in tokens if t is not None)
+        return [t for t in tokens if t is not None]
 
-    def _learn(self, chunks: set[str]) -> None:
-        """Encode runs without white space that are not remembered.
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, tokens) of normalised pieces.
 
-        Their pieces are proposed, all neighbours of all proposals are verified at
-        once, and only the words that fail are merged step by step.
+        All are proposed, all neighbours of all proposals are verified at once, and
+        only the words that fail are merged step by step.
         """
-        split = {}
-        for chunk in chunks:
-            parts = self.apart.split(chunk) if "<|" in chunk else [chunk]
-            split[chunk] = [p for part in parts for p in ([part] if part in self.special else self._pieces(part))]
-        new = list({p for parts in split.values() for p in parts if p not in self.known})
-        words = [p.encode().decode("latin-1").translate(self.bytes) for p in new]
-        proposed = [self.propose(w) for w in words]
-        flat = np.fromiter(chain.from_iterable(t or () for t in proposed), np.int64)
-        owner = np.repeat(np.arange(len(proposed)), [len(t or ()) for t in proposed])
+        raw = [w.encode() for w in words]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        offsets = np.concatenate(([0], np.cumsum(sizes)))
+        symbols = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
+        symbols[offsets[1:] - 1] += 256
+        owner, token = self.propose(symbols, offsets[:-1], offsets[1:])
         inner = np.flatnonzero(owner[1:] == owner[:-1])
-        pairs, which = np.unique(flat[inner] * self.size + flat[inner + 1], return_inverse=True)
-        fits = self.compatible(pairs // self.size, pairs % self.size)[which]
-        failed = set(owner[inner[~fits]].tolist())
-        for n, (piece, word, tokens) in enumerate(zip(new, words, proposed)):
-            self.known[piece] = self.merged(word) if tokens is None or n in failed else tuple(tokens)
-        self.known.update({s: (i,) for s, i in self.special.items()})
-        for chunk, parts in split.items():
-            self.chunks[chunk] = tuple(chain.from_iterable(self.known[p] for p in parts))
+        fits = self.compatible(token[inner], token[inner + 1])
+        bad = np.zeros(len(words), bool)
+        bad[owner[inner[~fits]]] = True
+        fine = ~bad[owner]
+        owners, tokens = [owner[fine]], [token[fine]]
+        for low, high in ((0, 8), (8, 16), (16, SHORT)):  # words of like length share a grid
+            some = np.flatnonzero(bad & (sizes > low) & (sizes <= high))
+            if len(some):
+                counts, merged = self.merged_together(*expanded(offsets, symbols, some))
+                owners.append(np.repeat(some, counts))
+                tokens.append(merged)
+        for w in np.flatnonzero(bad & (sizes > SHORT)).tolist():
+            merged = self.merged_alone(self.symbol_ids[symbols[offsets[w] : offsets[w + 1]]].tolist())
+            owners.append(np.full(len(merged), w))
+            tokens.append(np.array(merged))
+        owner, token = np.concatenate(owners), np.concatenate(tokens)
+        order = np.argsort(owner, kind="stable")
+        counts = np.bincount(owner, minlength=len(words))
+        return np.concatenate(([0], np.cumsum(counts))), token[order]
+
+    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, tokens) of texts whose pieces are given in turn, a newline after each text."""
+        coded = pa.array(pieces, pa.large_string()).dictionary_encode()
+        different, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        stop = different.index("\n")
+        different[stop] = "."  # a stand-in, which gives no token below
+        special = [(n, self.special[w]) for n, w in enumerate(different) if w in self.special]
+        for n, _ in special:
+            different[n] = "."
+        offsets, tokens = self.encode_words(different)
+        for n, token in special:
+            tokens[offsets[n]] = token
+        # The newline's row loses its token.
+        tokens = np.delete(tokens, offsets[stop])
+        offsets = offsets - (np.arange(len(offsets)) > stop)
+        ends, found = expanded(offsets, tokens, which)
+        return np.concatenate(([0], ends[1:][which == stop])), found
+
+    @staticmethod
+    def _normal(text: str) -> str:
+        """NFC and lower case, character by character: a capital sigma is never a final one."""
+        return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
     def _pieces(self, text: str) -> list[str]:
-        """Normalised pieces of a text. Lower-casing goes by character: no final sigma."""
-        if text.isascii():
-            return self.pieces(text.lower())
-        if self.unassigned(text):  # the library may know characters that this Unicode version lacks
-            return self._library_pieces(text)
-        return self.pieces(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
-
-    def _library_pieces(self, text: str) -> list[str]:
+        """Pieces of a text, special tokens among them."""
+        if (parts := self.apart.split(text))[1:]:
+            return [p for n, part in enumerate(parts) for p in ([part] if n % 2 else self._pieces(part))]
+        if not has_unassigned(text):
+            return self.pieces(self._normal(text))
+        # The library may know characters that this Unicode version lacks.
         from tokenizers import Tokenizer
 
         self.reader = self.reader or Tokenizer.from_file(self.path)
-        reader = self.reader
-        raw = {c: b for b, c in enumerate(byte_characters())}
-        normal = reader.normalizer.normalize_str(text)
-        return [bytes(raw[c] for c in p).decode() for p, _ in reader.pre_tokenizer.pre_tokenize_str(normal)]
+        normal = self.reader.normalizer.normalize_str(text)
+        found = self.reader.pre_tokenizer.pre_tokenize_str(normal)
+        return [bytes(self.byte_of[c] for c in piece).decode() for piece, _ in found]
 
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        """Token ids per text; the strings of special tokens become those tokens.
+    def _encode_runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, tokens) of texts without newlines."""
+        joined = "\n".join(runs)
+        if "<|" in joined or has_unassigned(joined):
+            pieces = [p for run in runs for p in (*self._pieces(run), "\n")]
+        else:
+            pieces = [*self.pieces_and_breaks(self._normal(joined)), "\n"]
+        return self._encode_pieces(pieces)
 
-        Pieces never hold white space, so runs without it are encoded once each
-        and remembered.
-        """
-        # U+001C to U+001F split strings in Python but are no white space in the file.
-        runs = [[t] if ODD_SPACE.search(t) else t.split() for t in texts]
-        if len(self.chunks) > REMEMBERED:
-            self.chunks.clear()
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        unseen = {r for r in set(chain.from_iterable(runs)) if r not in self.chunks}
-        if unseen:
-            self._learn(unseen)
-        known = self.chunks.__getitem__
-        return [list(chain.from_iterable(map(known, run))) for run in runs]
-
-    def decode(self, ids: list[int]) -> str:
-        """The file names no decoder: tokens are joined by spaces."""
-        return " ".join(map(self.text_of.__getitem__, ids))
+    def encode_array(self, texts: pa.Array) -> pa.Array:
+        """Token ids (lists of int32) of a string array without nulls; special tokens' strings become those tokens."""
+        parts, start, held = [], 0, 0
+        lengths = pc.utf8_length(texts).to_pylist()
+        for n, length in enumerate(lengths):
+            if held and held + length > BLOCK_CHARS:
+                parts.append(self._encode_block(texts.slice(start, n - start)))
+                start, held = n, 0
+            held += length
+        parts.append(self._encode_block(texts.slice(start)))
+        return pa.concat_arrays(parts)
+
+    def _encode_block(self, texts: pa.Array) -> pa.Array:
+        """Pieces never hold white space, so every different run without it is encoded once."""
+        texts = texts.cast(pa.large_string())
+        odd = pc.match_substring_regex(texts, ODD_SPACE)
+        split = pc.utf8_split_whitespace(pc.if_else(odd, "", texts))
+        coded = split.flatten().dictionary_encode()
+        offsets, tokens = self._encode_runs(coded.dictionary.to_pylist())
+        word_ends, tokens = expanded(offsets, tokens, coded.indices.to_numpy())
+        ends = word_ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        if pc.any(odd).as_py():  # rare texts that must not be split at these characters
+            some = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+            own = [self._encode_pieces([*self._pieces(t), "\n"])[1] for t in texts.take(pa.array(some)).to_pylist()]
+            rows = np.split(tokens, ends[1:-1])
+            for n, found in zip(some.tolist(), own):
+                rows[n] = found
+            ends, tokens = np.concatenate(([0], np.cumsum(list(map(len, rows))))), np.concatenate(rows)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens, pa.int32()))
+
+    def decode_array(self, ids: pa.Array) -> pa.Array:
+        """Texts of lists of ids. The file names no decoder: tokens are joined by spaces."""
+        names = self.names.take(ids.flatten())
+        offsets = pa.array(ids.offsets.to_numpy() - ids.offsets[0].as_py(), pa.int64())
+        return pc.binary_join(pa.LargeListArray.from_arrays(offsets, names), pa.scalar(" ", pa.large_string()))
