@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
-from .frames import stored
+from .frames import free_name, stored
 
 #: Bytes of words: A-Z become a-z, digits, a-z and all of non-ASCII stay, others separate.
 _WORD_BYTES = bytes(
@@ -181,6 +181,7 @@ def is_contaminated(n_hit: Column, n_words: Column, one_in: int = 20) -> Column:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, one_in: int = 20, **options) -> DataFrame:
     """The rows of `docs` that are not contaminated, all their columns as they were."""
-    found = add_hits(docs, benchmark, **options, out="_hits")
-    n_hit = F.expr("aggregate(zip_with(_hits.starts, _hits.ends, (s, e) -> e - s), 0L, (t, n) -> t + n)")
-    return found.filter(~is_contaminated(n_hit, F.col("_hits.n_words"), one_in)).select(*[f"`{c}`" for c in docs.columns])
+    out = free_name(docs, "_hits")
+    found = add_hits(docs, benchmark, **options, out=out)
+    n_hit = F.expr(f"aggregate(zip_with({out}.starts, {out}.ends, (s, e) -> e - s), 0L, (t, n) -> t + n)")
+    return found.filter(~is_contaminated(n_hit, F.col(f"{out}.n_words"), one_in)).select(*[f"`{c}`" for c in docs.columns])

@@ -27,6 +27,14 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared scratch folder and read back: lineage ends here, and a
     lost executor costs no more than the stage at hand."""

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh3_64_intdigest
 
-from .frames import blocks, id_and_text, map_batches, stored
+from .frames import blocks, free_name, id_and_text, map_batches, stored
 
 #: Lines of fewer words count as equal only if all words are: one edit in five words is a similarity of 0.8.
 LEAST_WORDS = 5
@@ -316,10 +316,11 @@ def drop_repeated_lines(
     Texts are read and rewritten whole.
     """
     gone = stored(repeated_lines(_rows(df, id_col, text_col), near), "lines-by-document")
-    gone = gone.select(F.col("id").alias("_id"), F.col("sig").alias("_sig"), F.array_sort("lines").alias("_lines"))
+    own = [free_name(df, c) for c in ("_gone_id", "_gone_sig", "_gone_lines")]
+    gone = gone.select(*[c.alias(n) for c, n in zip((F.col("id"), F.col("sig"), F.array_sort("lines")), own)])
     text = F.col(f"`{text_col}`").cast("string")
     sig = F.xxhash64(F.coalesce(text, F.lit("")))
-    on = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_id")) & (sig == F.col("_sig"))
+    on = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(own[0])) & (sig == F.col(own[1]))
 
     @F.arrow_udf("string")
     def freed(texts: pa.Array, lines: pa.Array) -> pa.Array:
@@ -332,7 +333,8 @@ def drop_repeated_lines(
         return pa.array(out, pa.string())
 
     joined = df.join(gone, on, "left")
-    kept = [freed(text, F.col("_lines")).alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns if c != removed]
+    numbers = F.col(own[2])
+    kept = [freed(text, numbers).alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns if c != removed]
     if removed:
-        kept.append(F.coalesce(F.col("_lines"), F.array().cast("array<int>")).alias(removed))
+        kept.append(F.coalesce(numbers, F.array().cast("array<int>")).alias(removed))
     return joined.select(*kept)

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh3_128_digest
 
-from .frames import id_and_text, map_batches, stored
+from .frames import free_name, id_and_text, map_batches, stored
 
 #: Fewest words of a passage: a run of neighbouring repeated lines. Shorter repeats stay.
 LEAST_WORDS = 50
@@ -99,10 +99,11 @@ def drop_repeated_passages(
     """
     rows = id_and_text(df, id_col, text_col).withColumn("sig", F.xxhash64("text"))
     late = stored(repeated_units(rows), "passage-documents")
-    late = late.select(F.col("id").alias("_id"), F.col("sig").alias("_sig"), F.col("units").alias("_units"))
+    own = [free_name(df, c) for c in ("_late_id", "_late_sig", "_late_units", "_freed")]
+    late = late.select(*[F.col(c).alias(n) for c, n in zip(("id", "sig", "units"), own)])
     text = F.col(f"`{text_col}`").cast("string")
-    on = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_id"))
-    on &= F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_sig")
+    on = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(own[0]))
+    on &= F.xxhash64(F.coalesce(text, F.lit(""))) == F.col(own[1])
     made = "struct<text:string,removed:array<struct<start:int,end:int>>>"
     kind = pa.struct([
         ("text", pa.string()), ("removed", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
@@ -116,8 +117,8 @@ def drop_repeated_passages(
             out.append({"text": cut(t, spans) if spans else t, "removed": [{"start": a, "end": b} for a, b in spans]})
         return pa.array(out, kind)
 
-    joined = df.join(late, on, "left").withColumn("_freed", freed(text, F.col("_units")))
+    joined = df.join(late, on, "left").withColumn(own[3], freed(text, F.col(own[2])))
     kept = [
-        F.col("_freed.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns if c != removed
+        F.col(f"{own[3]}.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns if c != removed
     ]
-    return joined.select(*kept, *([F.col("_freed.removed").alias(removed)] if removed else []))
+    return joined.select(*kept, *([F.col(f"{own[3]}.removed").alias(removed)] if removed else []))
