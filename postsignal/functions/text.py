@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 from pyspark.sql import types as T
 
+# What counts as a word character, blank, control character, tag and number.
 # Java regular expressions. A word character is a letter, number or underscore;
 # combining marks do not count unless asked for.
 WORD = r"[\p{L}\p{N}_]"
@@ -27,7 +28,7 @@ _BLANK = (
 )
 # Whitespace runs that are not a single space already.
 _RUN = rf"[{_BLANK}][{_BLANK} ]*| [{_BLANK} ]+"
-_CONTROL = r"[\x00-\x08\x0b-\x0c\x0e-\x1f\x7f-\x{9f}]"
+_CONTROL = r"[\x{00}-\x{08}\x{0b}-\x{0c}\x{0e}-\x{1f}\x{7f}-\x{9f}]"
 
 
 def _clean_batch(texts: pa.Array) -> pa.Array:

@@ -6,10 +6,11 @@ from datetime import datetime, timezone
 
 from pyspark.sql import Column, functions as F
 
-ISO_DATE_TIME = (
-    r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})?)?$"
-)
-ISO_COMPACT = r"^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})(Z|[+-]\d{2}:\d{2})?$"
+# ISO-8601: a calendar or week date, then optionally any one character, a time and an offset.
+_DATE = r"(\d{4}-\d{2}-\d{2}|\d{8}|\d{4}-W\d{2}(?:-[1-7])?|\d{4}W\d{2}[1-7]?)"
+_TIME = r"(\d{2}(?::\d{2}(?::\d{2})?)?|\d{4}(?:\d{2})?)(?:[.,](\d+))?"
+_OFFSET = r"(Z|[+-]\d{2}(?::?\d{2})?)?"
+ISO = rf"^{_DATE}(?:.{_TIME}{_OFFSET})?$"
 
 # Permalink formats of the two search clients.
 LINK_BY_ID = "https://twitter.com/i/web/status/"
@@ -31,10 +32,28 @@ def as_column(value: Column | datetime | None) -> Column:
 def parse_iso(c: Column) -> Column:
     """ISO-8601 date or date-time as an instant; null when it is anything else.
 
-    Times without an offset are read in the session time zone (UTC).
+    Basic, extended and week forms, times cut after any unit, offsets with or
+    without a colon; digits beyond microseconds are cut off. Times without an
+    offset are UTC.
     """
-    spelled = F.regexp_replace(c, ISO_COMPACT, "$1-$2-$3T$4:$5:$6$7")
-    return F.try_to_timestamp(F.when(F.rlike(spelled, F.lit(ISO_DATE_TIME)), spelled))
+    part = lambda n: F.regexp_extract(c, ISO, n)
+    digits = lambda n: F.regexp_replace(part(n), "[^0-9]", "")
+    day, clock, offset = digits(1), F.rpad(digits(2), 6, "0"), digits(4)
+    year, week = F.substring(day, 1, 4).try_cast("int"), F.substring(day, 5, 2).try_cast("int")
+    weekday = F.coalesce(F.nullif(F.substring(day, 7, 1), F.lit("")).try_cast("int"), F.lit(1))
+    # Week 1 holds the fourth of January; a week the year lacks falls into another year.
+    monday = F.date_trunc("week", F.make_date(year, F.lit(1), F.lit(4)))
+    by_week = F.date_add(monday.cast("date"), (week - 1) * 7 + weekday - 1)
+    by_week = F.when((week >= 1) & (F.extract(F.lit("YEAROFWEEK"), by_week) == year), F.date_format(by_week, "yyyyMMdd"))
+    calendar = F.when(part(1).contains("W"), by_week).otherwise(day)
+    zone = F.when(offset == "", F.lit("Z")).otherwise(
+        F.concat(F.substring(part(4), 1, 1), F.substring(offset, 1, 2), F.lit(":"), F.rpad(F.substring(offset, 3, 2), 2, "0"))
+    )
+    pair = lambda text, at: F.substring(text, at, 2)
+    date = F.concat(F.substring(calendar, 1, 4), F.lit("-"), pair(calendar, 5), F.lit("-"), pair(calendar, 7))
+    time = F.concat_ws(":", pair(clock, 1), pair(clock, 3), pair(clock, 5))
+    spelled = F.concat(date, F.lit("T"), time, F.lit("."), F.rpad(F.substring(part(3), 1, 6), 6, "0"), zone)
+    return F.try_to_timestamp(F.when(F.rlike(c, F.lit(ISO)), spelled))
 
 
 def normalize_timestamp(c: Column, as_of: Column | datetime) -> Column:

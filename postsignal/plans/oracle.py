@@ -9,6 +9,7 @@ from .fixtures import CONTENT_SQL, TOPICS
 
 MAX_POINTS, TOPIC_CAP, NEWEST, SAMPLE = 300, 50, 25, 100
 MAX_FEATURES, MIN_DF, MAX_DF = 1000, 2, 0.95
+# Fixed values, as in functions/text.py.
 WORD = r"[\p{L}\p{N}_]"
 SPACE = (
     r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -579,6 +580,19 @@ def statements() -> dict[str, str]:
             f"""select content_hash, max(sentiment_label) as sentiment_label, bool_or({older(24)}) as from_run
                 from scored group by content_hash""",
         ),
+        "stream_reanalysis": _with(
+            "scored",
+            f"""select content_hash, max({"round(sentiment_score, 6)"}) as sentiment_score,
+                       max(sentiment_label) as sentiment_label from scored group by content_hash""",
+        ),
+        "svd_check": """select range as component, cast(0 as double) as residual, cast(0 as double) as overlap
+                        from range(50)""",
+        "analysis_run": _with(
+            "scored",
+            f""", firsts as (select * from scored
+                          qualify row_number() over (partition by content_hash order by post_id) = 1)
+                select {_aggregates()} from firsts""",
+        ),
         "stream_ledger": _with(
             "tagged",
             """select 'completed' as status, count(distinct content_hash) as inserted,

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -385,6 +386,19 @@ def svd_project(spark, sf):
     )
 
 
+def svd_check(spark, sf):
+    """Per component: its scores' length against its singular value, and how far loadings are from orthonormal."""
+    posts = fixtures.posts(spark, sf).select("post_id", "content")
+    model = textvec.fit(posts)
+    scores = model.transform(posts, output="components").select(F.posexplode("components").alias("component", "v"))
+    lengths = scores.groupBy("component").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("length"))
+    off = abs(model.loadings.T @ model.loadings - np.eye(len(model.singular_values))).max(axis=0)
+    rows = [(i, float(s), round(float(o), 6) + 0.0) for i, (s, o) in enumerate(zip(model.singular_values, off))]
+    known = spark.createDataFrame(rows, "component int, value double, overlap double")
+    residual = F.round(F.col("length") - F.col("value"), 6) + F.lit(0.0)
+    return lengths.join(known, "component").select(F.col("component").cast("bigint"), residual.alias("residual"), "overlap")
+
+
 # --- filters ----------------------------------------------------------------
 
 
@@ -600,6 +614,16 @@ def analysis_document(spark, sf):
     )
 
 
+def analysis_run(spark, sf):
+    """A whole analysis: stored posts scored, signals stored, their summary."""
+    posts, signals = scratch_path(spark, "posts"), scratch_path(spark, "signals")
+    raw = fixtures.tagged(spark, sf).withColumn("url", F.lit(None).cast("string"))
+    unique, _ = collect.process_posts(raw, fixtures.as_of(spark, sf), ["post_id"])
+    stored = post_files.to_posts(unique.select(*StructType.fromDDL(schema.POSTS).fieldNames()))
+    StoredTable(spark, posts, schema.POSTS).insert_if_absent(stored, "content_hash", ["ts"])
+    return _aggregated(analyze.run_analysis(spark, posts, signals, STREAM_TIME, hours="all", fit_vectors=False))
+
+
 # --- ordering, sampling, chart frames ---------------------------------------
 
 
@@ -722,6 +746,18 @@ def stream_signals_into_store(spark, sf):
     )
 
 
+def stream_reanalysis(spark, sf):
+    """A stream that scores its whole window anew, over stored posts with stale signals."""
+    posts, path, checkpoint = (scratch_path(spark, n) for n in ("posts", "signals", "state"))
+    older = _collected(spark, sf)
+    StoredTable(spark, posts, schema.POSTS).insert_if_absent(older, "content_hash", ["ts"], "run")
+    table = analyze.signal_store(spark, path)
+    table.upsert(analyze.build_signals(older, STREAM_TIME).withColumn("sentiment_score", F.lit(-9.0)))
+    stream = streams.start_signals(_pages(spark, sf), posts, path, STREAM_TIME, checkpoint, lookback_hours=24 * 60)
+    _finish(stream)
+    return table.read().select("content_hash", r6("sentiment_score"), "sentiment_label")
+
+
 def stream_ledger(spark, sf):
     """What the ledger of a store stream adds up to."""
     path, ledger, checkpoint = (scratch_path(spark, n) for n in ("unique", "ledger", "state"))
@@ -756,6 +792,6 @@ QUERIES = {
         rolling_mean, rolling_mean_by, signal_over_time, engagement_vs_sentiment,
         signal_summary_long, stream_ingest, stream_dedupe, stream_signals, stream_hourly,
         store_insert_twice, store_upsert, store_cascade, stream_into_store, stream_signals_into_store,
-        stream_ledger, collection_run, analysis_document,
+        stream_reanalysis, stream_ledger, collection_run, analysis_document, analysis_run, svd_check,
     )
 } | {"run_ledger": run_ledger_by_day}

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import schema
 from ..functions.values import as_column
 from ..operators import summary
+from ..operators.filters import since
 from ..plans.analyze import build_signals, signal_store
 from ..plans.collect import clean_posts
 from ..sources import run_ledger
@@ -81,13 +82,15 @@ def start_store(
 
 
 def start_signals(
-    posts: DataFrame, posts_path: str, signals_path: str, as_of: datetime | None, checkpoint: str, **trigger
+    posts: DataFrame, posts_path: str, signals_path: str, as_of: datetime | None, checkpoint: str,
+    lookback_hours: int | None = None, **trigger,
 ) -> StreamingQuery:
     """Store each batch's new posts, score them and upsert their signals.
 
     Only posts new to the store are scored: a later copy of a stored text keeps
-    the stored post's time and signal. Replays give the same tables. `as_of` None
-    stamps each batch with its own time.
+    the stored post's time and signal. With `lookback_hours`, every batch scores
+    the whole window before its time anew instead, whoever stored the posts.
+    Replays give the same tables. `as_of` None stamps each batch with its own time.
     """
     spark = posts.sparkSession
 
@@ -99,7 +102,11 @@ def start_signals(
         finally:
             batch.unpersist()
         now = as_of or datetime.now(timezone.utc)
-        signal_store(spark, signals_path).upsert(build_signals(stored.generation(made), now), owner=owner)
+        if lookback_hours is None:
+            chosen = stored.generation(made)
+        else:
+            chosen = stored.read().filter(since(now, lookback_hours))
+        signal_store(spark, signals_path).upsert(build_signals(chosen, now), owner=owner)
 
     return _for_each(posts, score, checkpoint, trigger)
 

@@ -1,4 +1,3 @@
-import re
 import unicodedata
 
 import pytest
@@ -18,8 +17,19 @@ def apply(spark, values, function, kind="string"):
 
 
 def expected_clean(s):
-    s = re.sub(r"\s+", " ", unicodedata.normalize("NFKC", s))
-    return re.sub(r"[\x00-\x08\x0b-\x0c\x0e-\x1f\x7f-\x9f]", "", s).strip()
+    """Character by character: blanks end a piece, other control characters (category Cc) vanish."""
+    pieces, blank = [[]], True
+    for c in unicodedata.normalize("NFKC", s):
+        if c.isspace():
+            if not blank:
+                pieces.append([])
+            blank = True
+        else:
+            blank = False
+            if unicodedata.category(c) != "Cc":
+                pieces[-1].append(c)
+    joined = " ".join("".join(p) for p in pieces)
+    return joined[len(joined) - len(joined.lstrip(" ")) :].rstrip(" ")
 
 
 @pytest.mark.parametrize(
@@ -67,9 +77,8 @@ def test_hashtags_and_marks(spark):
 
 def test_words_and_numbers(spark):
     raw = ["1,200", "1001.", "१००१ x", "3.14.15", "no", "", " a  b\tc\x1cd e "]
-    assert apply(spark, raw, text.word_count) == [len(s.split()) for s in raw]
-    found = apply(spark, raw, text.numbers)
-    assert found == [re.findall(r"\d+\.?\d*", s) for s in raw]
+    assert apply(spark, raw, text.word_count) == [1, 1, 2, 1, 1, 0, 5]
+    assert apply(spark, raw, text.numbers) == [["1", "200"], ["1001."], ["१००१"], ["3.14", "15"], [], [], []]
     assert apply(spark, ["1001.", "१००१", "1,5", "7"], text.as_number) == [1001.0, 1001.0, None, 7.0]
 
 
@@ -80,7 +89,7 @@ def test_preview_and_occurrences(spark):
 
 def test_tokens_and_pairs(spark):
     raw = ["The Bull, a b_1 été 50", "one", ""]
-    expected = [re.findall(r"\b\w\w+\b", s.lower()) for s in raw]
+    expected = [["the", "bull", "b_1", "été", "50"], ["one"], []]
     assert apply(spark, raw, text.tokens) == expected
     pairs = apply(spark, raw, lambda c: text.ngrams_1_2(text.tokens(c)))
     assert pairs == [t + [f"{a} {b}" for a, b in zip(t, t[1:])] for t in expected]

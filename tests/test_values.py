@@ -1,4 +1,4 @@
-from datetime import datetime
+from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -25,6 +25,26 @@ def test_timestamps(spark):
     ]
 
 
+def test_iso_forms(spark):
+    """All that Python's own parser takes, and nothing else of these."""
+    raw = [
+        "20251108", "2025-11-08T19", "2025-11-08T1918", "20251108T1918", "2025-11-08T19:18:00+0530",
+        "2025-11-08 19:18:00-08", "2025-W45-6", "2025W456", "2025-W45", "2020-W53-7", "2025-11-08T19:18:00.1234567",
+        "2025-11-08T191800,5Z", "2025-11-08x19:18", "2025-W53-1", "2025-13-08", "2025-11-08T25:00", "2025-11", "2025-11-08T1",
+        "2025-11-08T", "25-11-08", "2025-02-30", "2025-W00-1",
+    ]
+
+    def python(text):
+        try:
+            found = datetime.fromisoformat(text)
+        except ValueError:
+            return None
+        return found.astimezone(timezone.utc).replace(tzinfo=None) if found.tzinfo else found
+
+    got = apply(spark, raw, lambda c: values.parse_iso(c).cast("timestamp_ntz"))
+    assert dict(zip(raw, got)) == {t: python(t) for t in raw}
+
+
 def test_counts(spark):
     raw = [None, "12", " -3 ", "1.5", "n/a", "", "99999999999999999999"]
     assert apply(spark, raw, values.coerce_count) == [0, 12, -3, None, None, None, None]
