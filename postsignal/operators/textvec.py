@@ -91,8 +91,10 @@ class TextVectors:
     loadings: np.ndarray | None = None
     singular_values: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
-    def weigh(self, df: DataFrame, content: str = "content", output: str = "tfidf") -> DataFrame:
-        """Add the L2-normalised TF-IDF vector (sparse). Row by row, no shuffle."""
+    def weigh(
+        self, df: DataFrame, content: str = "content", output: str = "tfidf", words: str | None = None
+    ) -> DataFrame:
+        """Add the L2-normalised TF-IDF vector (sparse) of a text, or of its listed words. Row by row, no shuffle."""
         if not self.terms:
             raise ValueError("no term survived pruning")
         counted = CountVectorizerModel.from_vocabulary(self.terms, inputCol="_terms", outputCol="_tf")
@@ -100,7 +102,8 @@ class TextVectors:
             scalingVec=Vectors.dense(self.idf), inputCol="_tf", outputCol="_weighted"
         )
         unit = Normalizer(p=2.0, inputCol="_weighted", outputCol=output)
-        out = df.withColumn("_terms", term_list(F.col(content), self.config.stop_words))
+        terms = text.ngrams_1_2(F.col(words)) if words else term_list(F.col(content), self.config.stop_words)
+        out = df.withColumn("_terms", terms)
         for step in (counted, scaled, unit):
             out = step.transform(out)
         return out.drop("_terms", "_tf", "_weighted")
@@ -134,8 +137,15 @@ class TextVectors:
         return self.project(weighed, "_vector", output).drop("_vector")
 
 
-def choose_terms(df: DataFrame, content: str, n_docs: int, config: VectorConfig) -> list[Row]:
-    """The `top_terms` of all texts as (term, ctf, df) rows, at most `max_features`.
+def stored_words(df: DataFrame, content: str, config: VectorConfig) -> DataFrame:
+    """The word lists (`words`) of all texts, written once: every later step of a fit reads them."""
+    path = scratch_path(df.sparkSession, "words")
+    df.select(token_list(F.col(content), config.stop_words).alias("words")).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def choose_terms(words: DataFrame, n_docs: int, config: VectorConfig) -> list[Row]:
+    """The `top_terms` of all word lists as (term, ctf, df) rows, at most `max_features`.
 
     Distinct word pairs outnumber everything else in a large corpus, so they are
     not all counted. A pair is never more frequent than its words: once the
@@ -143,7 +153,7 @@ def choose_terms(df: DataFrame, content: str, n_docs: int, config: VectorConfig)
     as its last entry can enter, and the others are dropped before counting.
     Without such a bound every term is counted.
     """
-    words = df.select(token_list(F.col(content), config.stop_words).alias("terms"))
+    words = words.select(F.col("words").alias("terms"))
     # A bounded number of rows, from the most frequent word down.
     reach = FREQUENT_WORDS * config.max_features
     frequent = term_counts(words).orderBy(F.desc("ctf"), "term").limit(reach).collect()
@@ -169,8 +179,12 @@ def frequent_pairs(words: Column, allowed: list[str]) -> Column:
 def fit_vocabulary(df: DataFrame, content: str = "content", config: VectorConfig | None = None) -> TextVectors:
     """Choose the vocabulary over all texts of `df`."""
     cfg = config or VectorConfig()
-    n_docs = df.count()
-    rows = sorted(choose_terms(df, content, n_docs, cfg), key=lambda r: r.term)
+    return _fit_words(stored_words(df, content, cfg), cfg)
+
+
+def _fit_words(words: DataFrame, cfg: VectorConfig) -> TextVectors:
+    n_docs = words.count()
+    rows = sorted(choose_terms(words, n_docs, cfg), key=lambda r: r.term)
     idf = [math.log((1 + n_docs) / (1 + r.df)) + 1 for r in rows]
     return TextVectors(cfg, n_docs, [r.term for r in rows], idf)
 
@@ -198,15 +212,18 @@ def fit_svd(model: TextVectors, weighed: DataFrame, vector: str = "tfidf") -> Te
 def fit(df: DataFrame, content: str = "content", config: VectorConfig | None = None) -> TextVectors:
     """Vocabulary and components over all texts.
 
-    The sparse vectors are written once to the shared scratch folder: they are
-    far smaller than the texts, and adding up the Gram matrix reads only them.
+    Word lists and sparse vectors are written once to the shared scratch folder:
+    texts are split into words a single time, and adding up the Gram matrix reads
+    only the vectors.
     """
-    model = fit_vocabulary(df, content, config)
+    cfg = config or VectorConfig()
+    words = stored_words(df, content, cfg)
+    model = _fit_words(words, cfg)
     if not model.terms:
         model.loadings = np.zeros((0, 0))
         return model
     path = scratch_path(df.sparkSession, "vectors")
-    model.weigh(df.select(content), content, "tfidf").select("tfidf").write.parquet(path)
+    model.weigh(words, output="tfidf", words="words").select("tfidf").write.parquet(path)
     return fit_svd(model, df.sparkSession.read.parquet(path))
 
 

@@ -350,8 +350,8 @@ def doc_freq(spark, sf):
 
 
 def vocabulary(spark, sf):
-    posts = fixtures.posts(spark, sf)
-    chosen = textvec.choose_terms(posts, "content", posts.count(), textvec.VectorConfig())
+    words = textvec.stored_words(fixtures.posts(spark, sf), "content", textvec.VectorConfig())
+    chosen = textvec.choose_terms(words, words.count(), textvec.VectorConfig())
     return spark.createDataFrame(chosen, "term string, ctf bigint, df bigint")
 
 

@@ -96,7 +96,7 @@ def test_chosen_terms_equal_counting_every_term(spark, docs, monkeypatch, size,
     monkeypatch.setattr(textvec, "FREQUENT_WORDS", reach)
     config = textvec.VectorConfig(max_features=size)
     n = docs.count()
-    chosen = textvec.choose_terms(docs, "content", n, config)
+    chosen = textvec.choose_terms(textvec.stored_words(docs, "content", config), n, config)
     terms = docs.select(textvec.term_list(F.col("content")).alias("terms"))
     expected = textvec.top_terms(textvec.prune_terms(textvec.term_counts(terms), n, config), config).collect()
     assert [tuple(r) for r in chosen] == [tuple(r) for r in expected]
