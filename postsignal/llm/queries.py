@@ -22,7 +22,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = vptree.usable(table(spark, sf_dir, "embeddings"))
-    return vptree.search(vectors, vectors.filter(F.col("id") % 20 == 0), k=20)
+    return vptree.search(vptree.build(vectors), vectors.filter(F.col("id") % 20 == 0), k=20)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from .frames import stored
 
 #: Vectors of a shard, of a tree's leaf, and queries of a block. A task holds one shard and one block.
-SHARD_ROWS, LEAF, QUERY_ROWS = 20_000, 128, 8_192
+SHARD_ROWS, LEAF, QUERY_ROWS = 8_192, 128, 32_768
 #: Room for rounding in the pruning test, relative to the largest distance.
 SLACK = 1e-9
 FOUND = "query_id long, vec_id long, score double"
@@ -24,12 +25,12 @@ def usable(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding")
     return rows.filter(F.col("id").isNotNull() & F.col("vector").isNotNull() & ~bad & F.exists("vector", lambda x: x != 0))
 
 
-def inner_products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """All inner products, each added up component by component in order, so that a pair's value never
-    depends on what it is computed with."""
-    total = np.zeros((len(queries), len(vectors)))
-    for a, b in zip(queries.T, vectors.T):
-        total += a[:, None] * b[None, :]
+def inner_products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The inner product of each row of `left` with the same row of `right`, added up component by
+    component in order, so that a pair's value never depends on what else is computed."""
+    total = np.zeros(len(left))
+    for a, b in zip(left.T, right.T):
+        total += a * b
     return total
 
 
@@ -41,13 +42,22 @@ class Tree:
     distance to it, and two subtrees: rows nearer and rows farther.
     """
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, root=None):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
+        self.longest = float(np.sqrt((self.vectors**2).sum(axis=1).max()))
         squares = (self.vectors**2).sum(axis=1)
         self.radius2 = float(squares.max())
         self.points = np.hstack((self.vectors, np.sqrt(np.maximum(0, self.radius2 - squares))[:, None]))
-        self.root = self._node(np.arange(len(ids)), np.random.default_rng(len(ids)))
+        self.root = self._node(np.arange(len(ids)), np.random.default_rng(len(ids))) if root is None else root
+
+    def packed(self) -> bytes:
+        """Plain arrays, from which `unpacked` makes the tree again."""
+        return pickle.dumps((self.ids, self.vectors, self.root))
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> "Tree":
+        return cls(*pickle.loads(data))
 
     def _node(self, rows: np.ndarray, chance: np.random.Generator):
         if len(rows) <= LEAF:
@@ -67,6 +77,8 @@ class Tree:
         so the result is exact; below 1 the margin by which a subtree is ruled out
         shrinks in proportion, and some neighbours may be missed.
         """
+        if queries.shape[1] != self.vectors.shape[1]:
+            raise ValueError(f"queries have {queries.shape[1]} components, the index has {self.vectors.shape[1]}")
         self.k, self.factor = k, factor
         self.query_ids, self.queries = query_ids, queries
         self.lifted = np.hstack((queries, np.zeros((len(queries), 1))))
@@ -101,65 +113,97 @@ class Tree:
     def _compare(self, rows: np.ndarray, who: np.ndarray) -> None:
         for start in range(0, len(who), 2048):
             some = who[start : start + 2048]
-            scores = inner_products(self.queries[some], self.vectors[rows])
-            scores[self.query_ids[some][:, None] == self.ids[rows][None, :]] = -np.inf
-            scores = np.hstack((self.best[some], scores))
-            found = np.hstack((self.rows[some], np.broadcast_to(rows, (len(some), len(rows)))))
-            # Rows stand in id order, so the smaller row number wins a tie; empty places come last.
-            place = np.where(found < 0, len(self.ids), found)
-            order = np.lexsort((place, -scores), axis=1)[:, : self.k]
-            self.best[some] = np.take_along_axis(scores, order, axis=1)
-            found = np.take_along_axis(found, order, axis=1)
-            self.rows[some] = np.where(np.isneginf(self.best[some]), -1, found)
+            # A matrix product finds the pairs that can matter, with room for its rounding;
+            # only those get their exact score.
+            rough = self.queries[some] @ self.vectors[rows].T
+            room = SLACK * np.sqrt(self.lengths2[some]) * self.longest
+            query, row = np.nonzero(rough >= (self.best[some, -1] - room)[:, None])
+            query, row = some[query], rows[row]
+            other = self.query_ids[query] != self.ids[row]
+            query, row = query[other], row[other]
+            if not len(query):
+                continue
+            score = inner_products(self.queries[query], self.vectors[row])
+            touched = np.unique(query)
+            held = self.rows[touched] >= 0
+            query = np.concatenate((query, np.repeat(touched, held.sum(axis=1))))
+            row = np.concatenate((row, self.rows[touched][held]))
+            score = np.concatenate((score, self.best[touched][held]))
+            # Rows stand in id order, so the smaller row number wins a tie.
+            order = np.lexsort((row, -score, query))
+            query, row, score = query[order], row[order], score[order]
+            first = np.searchsorted(query, touched)
+            nth = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+            top = nth < self.k
+            self.rows[query[top], nth[top]], self.best[query[top], nth[top]] = row[top], score[top]
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1).astype(np.float64)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def search(
-    candidates: DataFrame, queries: DataFrame, k: int = 20, factor: float = 1.0, shard_rows: int = SHARD_ROWS,
-    query_rows: int = QUERY_ROWS,
-) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest candidates of each query, nearest first.
+def build(candidates: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """The stored index of (id, vector) rows: one row (shard, tree) per shard of about `shard_rows` vectors.
 
-    Both inputs are (id, vector) as `usable` gives them, with vectors of one
-    length. Nearness is the largest inner product in double precision; ties go to
-    the smaller id; a query does not find its own id. With fewer than k candidates
-    all are returned; empty inputs give no rows. Rows that repeat an id are
-    candidates of their own; queries that repeat an id are searched once, with
-    the smallest of their vectors.
-
-    Candidates are dealt by row hash, evenly however ids repeat, into shards of about
-    `shard_rows`. Queries are dealt into blocks, and every shard meets every block:
-    a task builds the tree of one shard and searches it for one block. Only k rows
-    per query leave a task, and they are reduced to k per query.
+    Vectors are dealt by hash, evenly. Rows that repeat both id and vector are one
+    candidate (a hot one shrinks before its shuffle); rows that repeat an id only
+    are candidates of their own. No rows give no shards.
     """
-    queries = queries.groupBy("id").agg(F.min("vector").alias("vector"))
-    queries = stored(queries, "ann-queries")
+    different = candidates.select("id", "vector").distinct()
     shards = max(1, -(-candidates.count() // shard_rows))
-    blocks = max(1, -(-queries.count() // query_rows))
-    dealt = F.pmod(F.xxhash64("id", "vector"), F.lit(shards))
-    indexed = candidates.select("id", "vector", dealt.cast("int").alias("shard"))
-    asked = queries.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    pairs = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = indexed.select("id", "vector", "shard", pairs.alias("block"))
-    right = asked.select("id", "vector", "block", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-
-    def run(index: pa.Table, wanted: pa.Table) -> pa.Table:
-        out = {"query_id": [], "vec_id": [], "score": []}
-        if index.num_rows and wanted.num_rows:
-            tree = Tree(index["id"].to_numpy(), _matrix(index["vector"].combine_chunks()))
-            ids = wanted["id"].to_numpy()
-            rows, scores = tree.search(ids, _matrix(wanted["vector"].combine_chunks()), k, factor)
-            hit = rows >= 0
-            out = {
-                "query_id": np.repeat(ids, hit.sum(axis=1)), "vec_id": tree.ids[rows[hit]], "score": scores[hit],
-            }
-        types = {"query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.float64()}
-        return pa.table({c: pa.array(v, types[c]) for c, v in out.items()})
-
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(run, FOUND)
+    dealt = different.withColumn("shard", F.pmod(F.xxhash64("id", "vector"), F.lit(shards)))
+
+    def tree(key: tuple, rows: pa.Table) -> pa.Table:
+        made = Tree(rows["id"].to_numpy(), _matrix(rows["vector"].combine_chunks()))
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "tree": pa.array([made.packed()], pa.binary())})
+
+    return stored(dealt.groupBy("shard").applyInArrow(tree, "shard long, tree binary"), "ann-index")
+
+
+def search(index: DataFrame, queries: DataFrame, k: int = 20, factor: float = 1.0, query_rows: int = QUERY_ROWS) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest candidates of each query, nearest first.
+
+    `index` is what `build` stored, `queries` are (id, vector) rows as `usable`
+    gives them, with vectors of the index' length. Nearness is the largest inner
+    product in double precision; ties go to the smaller id; a query does not
+    find its own id. With fewer than k candidates all are returned; empty inputs
+    give no rows. Queries that repeat an id are searched once, with the smallest of
+    their vectors.
+
+    Queries go in blocks of about `query_rows`, a bounded number of vectors that is
+    broadcast, and each block is one pass over the stored index, which is never
+    shuffled. A task holds one shard and one block; k rows per query and shard
+    leave it, and are reduced to k per query.
+    """
+    asked = stored(queries.groupBy("id").agg(F.min("vector").alias("vector")), "ann-queries")
+    blocks = max(1, -(-asked.count() // query_rows))
+    parts = None
+    for n in range(blocks):
+        block = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n).toArrow()
+        found = _pass(index, block["id"].to_numpy(), _matrix(block["vector"].combine_chunks()), k, factor)
+        if blocks > 1:
+            found = stored(found, "ann-found")
+        parts = found if parts is None else parts.unionByName(found)
     order = F.expr("row_number() over (partition by query_id order by score desc, vec_id)")
-    return found.withColumn("rank", order).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return parts.withColumn("rank", order).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _pass(index: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int, factor: float) -> DataFrame:
+    """Every shard's k nearest for one block of queries."""
+    shared = index.sparkSession.sparkContext.broadcast((ids, vectors))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_ids, asked = shared.value
+        for batch in batches:
+            for blob in batch.column("tree") if len(query_ids) else ():
+                tree = Tree.unpacked(blob.as_py())
+                rows, scores = tree.search(query_ids, asked, k, factor)
+                hit = rows >= 0
+                out = (np.repeat(query_ids, hit.sum(axis=1)), tree.ids[rows[hit]], scores[hit])
+                types = (pa.int64(), pa.int64(), pa.float64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(out, types)], names=["query_id", "vec_id", "score"]
+                )
+
+    return index.select("tree").mapInArrow(run, FOUND)

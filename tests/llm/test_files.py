@@ -133,18 +133,20 @@ def test_neighbours(spark):
     assert frame.count() == 899
     asked = frame.filter("id % 20 = 0")
     ids = np.array([n for n in range(900) if n != 5])
-    for shard_rows, query_rows in ((20_000, 8_192), (100, 7)):
+    for shard_rows, query_rows in ((20_000, 8_192), (100, 17)):
         found = {}
-        for r in vptree.search(frame, asked, 10, shard_rows=shard_rows, query_rows=query_rows).collect():
+        for r in vptree.search(vptree.build(frame, shard_rows), asked, 10, query_rows=query_rows).collect():
             found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
         for q in range(0, 900, 20):
-            scores = vptree.inner_products(vectors[q : q + 1], vectors[ids])[0]
+            scores = vptree.inner_products(np.repeat(vectors[q : q + 1], len(ids), axis=0), vectors[ids])
             scores[ids == q] = -np.inf
             order = np.lexsort((ids, -scores))[:10]
             assert sorted(found[q]) == [(k + 1, int(ids[n]), scores[n]) for k, n in enumerate(order)]
-    few = vptree.search(frame.filter("id < 3"), asked.filter("id = 0"), 10).collect()
+    few = vptree.search(vptree.build(frame.filter("id < 3")), asked.filter("id = 0"), 10).collect()
     assert sorted((r["rank"], r.query_id) for r in few) == [(1, 0), (2, 0)]
-    assert vptree.search(frame.limit(0), asked, 3).count() == vptree.search(frame, asked.limit(0), 3).count() == 0
-    loose = vptree.search(frame, asked, 10, factor=0.6).collect()
-    exact = {(r.query_id, r.vec_id) for r in vptree.search(frame, asked, 10).collect()}
+    index = vptree.build(frame)
+    assert vptree.search(vptree.build(frame.limit(0)), asked, 3).count() == vptree.search(index, asked.limit(0), 3).count() == 0
+    assert vptree.build(frame.unionByName(frame)).count() == index.count()
+    loose = vptree.search(index, asked, 10, factor=0.6).collect()
+    exact = {(r.query_id, r.vec_id) for r in vptree.search(index, asked, 10).collect()}
     assert len(exact & {(r.query_id, r.vec_id) for r in loose}) >= 0.6 * len(exact)
