@@ -19,7 +19,7 @@ COUNTERS = ("likes", "retweets", "replies")
 
 
 def clean_posts(raw: DataFrame, as_of: Column | datetime) -> DataFrame:
-    """Cleaned text, lists, counters, times and hash; rows empty after cleaning are dropped.
+    """Cleaned text, lists, counters, times, hash and stamp; rows empty after cleaning are dropped.
 
     Extra columns (an arrival key) pass through. Text counters are parsed,
     numeric ones truncated; an unreadable one is null (see `process_posts`).
@@ -41,6 +41,7 @@ def clean_posts(raw: DataFrame, as_of: Column | datetime) -> DataFrame:
             "ts": time(F.col("ts"), as_of),
             **{c: count(c) for c in COUNTERS},
             "content_hash": text.content_hash(F.col("content")),
+            "scraped_at": values.as_column(as_of).cast("timestamp"),
         }
     )
 

@@ -9,7 +9,7 @@ POSTS = """
     username string, ts timestamp, content string,
     likes bigint, retweets bigint, replies bigint,
     mentions array<string>, hashtags array<string>,
-    tweet_id string, url string, content_hash string
+    tweet_id string, url string, content_hash string, scraped_at timestamp
 """
 
 SIGNALS = """

@@ -11,8 +11,14 @@ from ..functions import text, values
 
 
 def read_search_pages(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON page per line; unknown keys are ignored, unreadable ones are null."""
-    return spark.read.schema(schema.SEARCH_PAGE).option("mode", "PERMISSIVE").json(path)
+    """One JSON page per line; unknown keys are ignored, and a line that is no page is kept in `unreadable`."""
+    reader = spark.read.schema(f"{schema.SEARCH_PAGE}, unreadable string")
+    return reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "unreadable").json(path)
+
+
+def unreadable_pages(pages: DataFrame) -> DataFrame:
+    """The lines that could not be read, for the run's notes. Reads the files once more for these lines only."""
+    return pages.filter(F.col("unreadable").isNotNull()).select("data", "unreadable")
 
 
 def _created(c: Column, as_of: Column | datetime) -> Column:

@@ -179,6 +179,7 @@ def test_search_pages(spark, tmp_path):
     )
     (tmp_path / "p.json").write_text(page)
     pages = search_results.read_search_pages(spark, str(tmp_path))
+    assert [r.unreadable for r in search_results.unreadable_pages(pages).collect()] == ["not json"]
     rows = search_results.flatten_search_pages(pages, NOW).orderBy("tweet_id").collect()
     assert [(r.tweet_id, r.username, r.likes, r.replies, r.content) for r in rows] == [
         ("1", "u", 3, 0, "#a @b"), ("2", "unknown", 0, 0, ""),
