@@ -104,33 +104,50 @@ def add_hits(
     rows, an empty benchmark no hits; repeated document rows give repeated
     results. All other columns of `docs` stay; one already called `out` is replaced.
 
-    What is broadcast comes from at most `block_bytes` of items (or from one
-    item, if it alone is longer). A larger benchmark is cut into blocks of whole
-    items, and each block is a pass of its own over the stored result of the
-    last. A document stays one row, so no key is hot and nothing is shuffled.
+    What is broadcast comes from at most `block_bytes` of different items (or from
+    one item, if it alone is longer), however they repeat or hash. A larger
+    benchmark is cut into blocks of whole items (see `_blocks`), and each block is
+    a pass of its own over the stored result of the last. A document stays one
+    row, so no key is hot and no document is shuffled.
     """
     items = benchmark.select(
         F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("")).alias("item"),
         F.coalesce(F.col(f"`{item_text_col}`").cast("string"), F.lit("")).alias("text"),
     )
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-2 * total // block_bytes) if total > block_bytes else 1
+    blocks = _blocks(items.filter("text != ''"), block_bytes)
     rows = docs.withColumn(out, F.lit(None).cast(HITS))
-    for n in range(blocks):
-        block = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == n)
-        scan = _scanner(docs.sparkSession, Windows(_collected(block, block_bytes), size))
+    for n, block in enumerate(blocks):
+        scan = _scanner(docs.sparkSession, Windows(sorted({(r.item, r.text) for r in block.collect()}), size))
         rows = rows.withColumn(out, scan(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), F.col(out)))
-        if n + 1 < blocks:
+        if n + 1 < len(blocks):
             rows = stored(rows, "decontaminate")
     return rows
 
 
-def _collected(block: DataFrame, limit: int) -> list[tuple[str, str]]:
-    """The items of one block on the driver, after a check of their size."""
-    held, longest = block.agg(F.sum(F.octet_length("text")), F.max(F.octet_length("text"))).first()
-    if (held or 0) > limit + (longest or 0):
-        raise ValueError(f"a block of items holds {held} bytes; choose block_bytes well above the longest item")
-    return sorted({(r.item, r.text) for r in block.collect()})
+def _blocks(items: DataFrame, limit: int) -> list[DataFrame]:
+    """The different (item, text) rows in blocks of at most `limit` bytes of text, or of one longer item.
+
+    Rows are dealt to groups by hash, and each group is cut where the running sum
+    of its bytes passes a multiple of `step`. The item that stands there may reach
+    beyond it by its own length, so `step` leaves room for the longest; items of
+    over half the limit are blocks of their own instead.
+    """
+    size = F.octet_length("text")
+    if (items.agg(F.sum(size)).first()[0] or 0) <= limit:
+        return [items]
+    items = stored(items.distinct().withColumn("size", size.cast("long")), "decontaminate-items")
+    small = f"2 * size <= {limit}"
+    total, longest = items.agg(F.sum("size"), F.max(F.expr(f"if({small}, size, 0)"))).first()
+    if total <= limit:
+        return [items]
+    groups, step = -(-total // (16 * limit)), limit - longest
+    order = "over (partition by part order by item, text"
+    before = f"coalesce(sum(if({small}, size, 0)) {order} rows between unbounded preceding and 1 preceding), 0)"
+    number = F.expr(f"if({small}, {before} div {step}, -row_number() {order}))")
+    dealt = items.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(groups)))
+    dealt = stored(dealt.select("item", "text", "part", number.alias("number")), "decontaminate-blocks")
+    names = sorted(tuple(r) for r in dealt.select("part", "number").distinct().collect())
+    return [dealt.filter((F.col("part") == part) & (F.col("number") == n)) for part, n in names]
 
 
 def _scanner(spark: SparkSession, windows: Windows):

@@ -196,6 +196,22 @@ def test_hits_equal_brute_force(spark, awkward, benchmark, block_bytes):
     assert sorted(str((r.id, r.n_words, r.n_hit, list(r.items))) for r in rows) == want
 
 
+def test_repeated_and_long_items_stay_within_a_block(spark):
+    rng = random.Random(6)
+    items = [(1, "ab c d e")] * 400 + [(n, " ".join(rng.choices("abcde", k=rng.choice([3, 5, 9, 30])))) for n in range(2, 60)]
+    items += [(60 + n, f"{n} " * 80) for n in range(6)]
+    docs = [(n, " ".join(rng.choices(["ab", *"abcde123"], k=rng.randint(0, 30)))) for n in range(60)]
+    table = spark.createDataFrame(items, "item string, text string")
+    blocks = [b.select("item", "text").collect() for b in decontaminate._blocks(table, 200)]
+    assert sorted(tuple(r) for b in blocks for r in b) == sorted({(str(i), t) for i, t in items})
+    assert all(sum(len(r.text) for r in b) <= 200 or len(b) == 1 for b in blocks)
+    assert any(len(b) > 3 for b in blocks)
+    few = items[:430]
+    frames = [spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(few, "item_id long, text string")]
+    for r in decontaminate.contamination(*frames, size=4, block_bytes=400).collect():
+        assert (r.n_words, r.n_hit, list(r.items)) == brute_hits(dict(docs)[r.id], sorted(set(few)), 4)
+
+
 def test_decontamination_edges(spark, awkward, benchmark):
     assert decontaminate.contamination(awkward.limit(0), benchmark).count() == 0
     assert not any(r.n_hit for r in decontaminate.contamination(awkward, benchmark.limit(0)).collect())
