@@ -15,6 +15,8 @@ from .frames import id_and_text
 LEAST_SCORE = 0.6
 #: Characters before and after a span in which context words count.
 BEFORE, AFTER = 40, 20
+#: No pattern matches fewer characters.
+LEAST_MATCH = 4
 
 # The patterns below match what the plain forms in their comments match, from left
 # to right without overlaps, but never scan a run of characters twice: a match may
@@ -98,18 +100,25 @@ def _findings(kind: Kind) -> str:
     """SQL: the confirmed spans of a kind in `text`, with offsets in code points.
 
     The pieces between matches (split) and the matches give all offsets by adding
-    up lengths. Texts without the hint, nearly all, cost one search.
+    up lengths, and the text around a match, other matches included: what stands
+    before is carried along, what follows is put together from as many pieces as
+    can be needed. Texts without the hint, nearly all, cost one search.
     """
     pattern, number = _quoted(kind.pattern), NAMES.index(kind.name)
     near = f"concat(' ', x.before, ' ', x.after, ' ') rlike '[^a-z](?:{kind.context})[^a-z]'"
     empty = "cast(array() as array<struct<start:int,stop:int,match:string,before:string,after:string>>)"
     start = "a.at + length(v.s[i - 1])"
     stop = f"{start} + length(v.m[i - 1])"
+    before = f"right(concat(a.tail, right(v.s[i - 1], {BEFORE})), {BEFORE})"
+    most = AFTER // LEAST_MATCH
+    pieces = f"""flatten(zip_with(slice(v.s, i + 1, {most + 1}), slice(v.m, i + 1, {most}),
+        (s, m) -> array(left(s, {AFTER}), left(m, {AFTER}))))"""
     walk = f"""aggregate(if(size(v.m) = 0, cast(array() as array<int>), sequence(1, size(v.m))),
-        named_struct('at', 0, 'spans', {empty}),
-        (a, i) -> named_struct('at', {stop}, 'spans', concat(a.spans, array(named_struct(
-            'start', {start}, 'stop', {stop}, 'match', v.m[i - 1],
-            'before', lower(right(v.s[i - 1], {BEFORE})), 'after', lower(left(v.s[i], {AFTER})))))),
+        named_struct('at', 0, 'tail', '', 'spans', {empty}),
+        (a, i) -> named_struct('at', {stop}, 'tail', right(concat({before}, right(v.m[i - 1], {BEFORE})), {BEFORE}),
+            'spans', concat(a.spans, array(named_struct(
+                'start', {start}, 'stop', {stop}, 'match', v.m[i - 1],
+                'before', lower({before}), 'after', lower(left(array_join({pieces}, ''), {AFTER})))))),
         a -> a.spans)"""
     score = f"{kind.score}D + if({near}, 0.3D, 0D)"
     found = f"""transform(filter({walk}, x -> {kind.valid}), x -> named_struct(

@@ -76,6 +76,22 @@ def test_added_findings(spark):
     assert clean[0] == "é cards <card> <card> here" and clean[4] == texts[4]
 
 
+def test_context_reaches_over_neighbouring_findings(spark):
+    texts = [
+        "call 743-555-3824 or 743-555-3825", "ssn 123-45-6789, 234-56-7890", "743-555-3824, 743-555-3825 phone",
+        "call" + " 743-555-3824" * 4, "743-555-3824 743-555-3825 é phone",
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id: r.s for r in pii.find(frame).select("id", pii.described("added").alias("s")).collect()}
+    assert [got[n] for n in range(len(texts))] == [
+        "phone:5:17,phone:21:33", "ssn:4:15,ssn:17:28", "phone:0:12,phone:14:26",
+        "phone:5:17,phone:18:30,phone:31:43",  # the fourth stands 44 characters behind the word
+        "phone:13:25",  # 'phone' ends 21 characters behind the first
+    ]
+    clean = {r.id: r.text for r in pii.redacted(frame).collect()}
+    assert clean[0] == "call <phone> or <phone>" and clean[1] == "ssn <ssn>, <ssn>"
+
+
 def test_pii_awkward_rows(spark, awkward):
     rows = pii.find(awkward).collect()
     assert len(rows) == awkward.count() and not any(r.base or r.added for r in rows)
