@@ -1,27 +1,40 @@
-"""Substring de-duplication by line hashing: passages that stand earlier anywhere are cut out."""
+"""Substring de-duplication by sentence hashing: passages that stand earlier anywhere are cut out."""
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh3_128_digest
 
 from .frames import free_name, id_and_text, map_batches, stored
 
-#: Fewest words of a passage: a run of neighbouring repeated lines. Shorter repeats stay.
+#: Fewest words of a passage: a run of neighbouring repeated sentences. Shorter repeats stay.
 LEAST_WORDS = 50
+#: Fewest words of a sentence that ends a unit: runs of one-word sentences are no evidence of a passage.
+LEAST_SENTENCE = 5
+_END = re.compile(r"(?<=[.!?…])\s+(?=\S)|(?<=[。！？])\s*(?=\S)")
 
 
 def units(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, normalised line) of the lines that have words; offsets in code points.
+    """(start, end, normalised text) of the sentences that have words; offsets in code points.
 
-    Normalised: lower-cased, white space made single blanks.
+    Lines are cut behind the sentences of LEAST_SENTENCE words or more in them; the
+    blanks that follow belong to the sentence. Where a unit ends depends on its last
+    sentence only, so a passage has the same units wherever it stands, but for the
+    sentences that its ends break. Normalised: lower-cased, white space made single blanks.
     """
     found, start = [], 0
     for line in text.split("\n"):
-        words = line.lower().split()
-        if words:
-            found.append((start, start + len(line), " ".join(words)))
+        at = before = 0
+        for stop in [*(m.end() for m in _END.finditer(line)), len(line)]:
+            if stop == len(line) or len(line[before:stop].split()) >= LEAST_SENTENCE:
+                words = line[at:stop].lower().split()
+                if words:
+                    found.append((start + at, start + stop, " ".join(words)))
+                at = stop
+            before = stop
         start += len(line) + 1
     return found
 
@@ -43,9 +56,9 @@ def _digests(docs: DataFrame) -> DataFrame:
 
 
 def repeated_units(docs: DataFrame) -> DataFrame:
-    """(id, sig, units): numbers of the lines of a document that stand earlier, in any document or its own.
+    """(id, sig, units): numbers of the sentences of a document that stand earlier, in any document or its own.
 
-    Earliest is the smallest id, then the smallest number. A very common line is
+    Earliest is the smallest id, then the smallest number. A very common one is
     counted before its shuffle; the join that follows reads stored tables, so
     that AQE can split it.
     """
@@ -58,7 +71,7 @@ def repeated_units(docs: DataFrame) -> DataFrame:
 
 
 def passages(text: str, repeated: set[int], least_words: int = LEAST_WORDS) -> list[tuple[int, int]]:
-    """[start, end) of the runs of neighbouring repeated lines with `least_words` words or more."""
+    """[start, end) of the runs of neighbouring repeated sentences with `least_words` words or more."""
     spans, run, words = [], None, 0
     for number, (start, end, line) in enumerate([*units(text), (0, 0, "")]):
         if number in repeated:
@@ -72,11 +85,15 @@ def passages(text: str, repeated: set[int], least_words: int = LEAST_WORDS) -> l
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
-    """A text without its spans and the newline that ends each (or, at the end, the one before)."""
+    """A text without its spans and the newline that ends each (or, at the end, the one before).
+
+    A span that begins or ends within a line leaves that line's newline.
+    """
     kept, at = [], 0
     for start, end in spans:
         kept.append(text[at:start])
-        at = min(len(text), end + 1)
+        whole = start == 0 or text[start - 1] == "\n"
+        at = end + (whole and text[end : end + 1] == "\n")
     rest = "".join(kept) + text[at:]
     return rest[:-1] if spans and at >= len(text) and rest.endswith("\n") else rest
 
@@ -87,10 +104,12 @@ def drop_repeated_passages(
 ) -> DataFrame:
     """`df` with passages cut that stand earlier; `removed` lists their offsets in the original text.
 
-    Lines are the units: normalised (see `units`), named by a 128-bit digest and
-    grouped over the whole table. All but the earliest of equal lines are
-    repeats, and a run of neighbouring repeats with `least_words` words or more
-    is a passage; lines without words do not end a run. `removed` (null: no such
+    Sentences are the units: cut out of lines and normalised (see `units`), named by a
+    128-bit digest and grouped over the whole table. All but the earliest of equal
+    sentences are repeats, and a run of neighbouring repeats with `least_words` words
+    or more is a passage, also where it shares lines with other text; lines without
+    words do not end a run. A sentence that a passage's end breaks stays, and does not
+    count for the bound. `removed` (null: no such
     column) holds structs of start and end, in code points of the original text.
 
     A null text stays null, an empty one empty. A null id ranks first. Rows that

@@ -113,6 +113,29 @@ def test_passages_equal_brute_force(spark):
             assert r.text == texts[r.doc_id]
 
 
+def test_passages_within_lines(spark):
+    sentence = lambda k, n=12: " ".join(f"w{k}x{i}" for i in range(n)) + "."
+    passage = " ".join(sentence(k) for k in range(5))
+    three = f"{sentence(10, 20)}\n{sentence(11, 20)}\n{sentence(12, 20)}"
+    own = lambda d: sentence(f"own{d}", 8)
+    docs = [
+        (1, f"{passage}\n{three}"),
+        (2, f"{own(2)} {passage.upper()} {own(20)}"), (3, f"{own(3)}  {passage}\n{own(30)}"),
+        (4, f"{own(4)}\n{three} {own(40)}"), (5, f"{passage} {own(5)}"),
+        (6, f"{own(6)} " + " ".join(sentence(k) for k in range(4))),  # 48 words
+        (7, "a! b! c! " * 20), (8, "b! a! c! " * 20),  # one-word sentences in another order
+    ]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = {r.doc_id: r for r in passages.drop_repeated_passages(frame).collect()}
+    want = {
+        1: docs[0][1], 2: f"{own(2)} {own(20)}", 3: f"{own(3)}  \n{own(30)}", 4: f"{own(4)}\n{own(40)}",
+        5: own(5), 6: docs[5][1], 7: docs[6][1], 8: docs[7][1],
+    }
+    assert {d: r.text for d, r in rows.items()} == want
+    (span,) = rows[2].removed
+    assert docs[1][1][span.start : span.end] == passage.upper() + " "
+
+
 def test_passage_awkward_rows(spark, awkward):
     out = passages.drop_repeated_passages(awkward, least_words=10)
     assert out.columns == [*awkward.columns, "removed"]
