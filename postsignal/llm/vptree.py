@@ -15,7 +15,7 @@ from .frames import stored
 SHARD_ROWS, LEAF, QUERY_ROWS = 8_192, 128, 32_768
 #: Room for rounding in the pruning test, relative to the largest distance.
 SLACK = 1e-9
-FOUND = "query_id long, vec_id long, score double"
+FOUND = "query_id long, vec_id long, score double, n long"
 
 
 def usable(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -42,9 +42,9 @@ class Tree:
     distance to it, and two subtrees: rows nearer and rows farther.
     """
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, root=None):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, counts: np.ndarray, root=None):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order]
+        self.ids, self.vectors, self.counts = ids[order], vectors[order], counts[order]
         self.longest = float(np.sqrt((self.vectors**2).sum(axis=1).max()))
         squares = (self.vectors**2).sum(axis=1)
         self.radius2 = float(squares.max())
@@ -53,7 +53,7 @@ class Tree:
 
     def packed(self) -> bytes:
         """Plain arrays, from which `unpacked` makes the tree again."""
-        return pickle.dumps((self.ids, self.vectors, self.root))
+        return pickle.dumps((self.ids, self.vectors, self.counts, self.root))
 
     @classmethod
     def unpacked(cls, data: bytes) -> "Tree":
@@ -146,16 +146,16 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def build(candidates: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """The stored index of (id, vector) rows: one row (shard, tree) per shard of about `shard_rows` vectors.
 
-    Vectors are dealt by hash, evenly. Rows that repeat both id and vector are one
-    candidate (a hot one shrinks before its shuffle); rows that repeat an id only
-    are candidates of their own. No rows give no shards.
+    Vectors are dealt by hash, evenly. Rows that repeat both id and vector are held
+    once, with their number (a hot one shrinks before its shuffle); rows that repeat
+    an id only are candidates of their own. No rows give no shards.
     """
-    different = candidates.select("id", "vector").distinct()
+    different = candidates.groupBy("id", "vector").agg(F.count("*").alias("n"))
     shards = max(1, -(-candidates.count() // shard_rows))
     dealt = different.withColumn("shard", F.pmod(F.xxhash64("id", "vector"), F.lit(shards)))
 
     def tree(key: tuple, rows: pa.Table) -> pa.Table:
-        made = Tree(rows["id"].to_numpy(), _matrix(rows["vector"].combine_chunks()))
+        made = Tree(rows["id"].to_numpy(), _matrix(rows["vector"].combine_chunks()), rows["n"].to_numpy())
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "tree": pa.array([made.packed()], pa.binary())})
 
     return stored(dealt.groupBy("shard").applyInArrow(tree, "shard long, tree binary"), "ann-index")
@@ -168,42 +168,53 @@ def search(index: DataFrame, queries: DataFrame, k: int = 20, factor: float = 1.
     gives them, with vectors of the index' length. Nearness is the largest inner
     product in double precision; ties go to the smaller id; a query does not
     find its own id. With fewer than k candidates all are returned; empty inputs
-    give no rows. Queries that repeat an id are searched once, with the smallest of
-    their vectors.
+    give no rows.
+
+    Every row counts: a pair of rows is in the result as often as its query and its
+    candidate repeat, and rows of one query id, whatever their vectors, share one
+    list of k. Each different (id, vector) is searched once; its number is applied
+    to the pairs found.
 
     Queries go in blocks of about `query_rows`, a bounded number of vectors that is
     broadcast, and each block is one pass over the stored index, which is never
     shuffled. A task holds one shard and one block; k rows per query and shard
     leave it, and are reduced to k per query.
     """
-    asked = stored(queries.groupBy("id").agg(F.min("vector").alias("vector")), "ann-queries")
+    asked = stored(queries.groupBy("id", "vector").agg(F.count("*").alias("n")), "ann-queries")
     blocks = max(1, -(-asked.count() // query_rows))
     parts = None
     for n in range(blocks):
-        block = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n).toArrow()
-        found = _pass(index, block["id"].to_numpy(), _matrix(block["vector"].combine_chunks()), k, factor)
+        block = asked.filter(F.pmod(F.xxhash64("id", "vector"), F.lit(blocks)) == n).toArrow()
+        vectors = _matrix(block["vector"].combine_chunks())
+        found = _pass(index, block["id"].to_numpy(), vectors, block["n"].to_numpy(), k, factor)
         if blocks > 1:
             found = stored(found, "ann-found")
         parts = found if parts is None else parts.unionByName(found)
-    order = F.expr("row_number() over (partition by query_id order by score desc, vec_id)")
-    return parts.withColumn("rank", order).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    order = "over (partition by query_id order by score desc, vec_id, n"
+    nearest = parts.withColumn("rank", F.expr(f"row_number() {order})")).filter(F.col("rank") <= k)
+    before = F.expr(f"coalesce(sum(n) {order} rows between unbounded preceding and 1 preceding), 0)")
+    ranks = F.sequence((F.col("before") + 1).cast("int"), F.least(F.col("before") + F.col("n"), F.lit(k)).cast("int"))
+    nearest = nearest.withColumn("before", before).filter(F.col("before") < k)
+    return nearest.select("query_id", F.explode(ranks).alias("rank"), "vec_id", "score")
 
 
-def _pass(index: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int, factor: float) -> DataFrame:
+def _pass(index: DataFrame, ids: np.ndarray, vectors: np.ndarray, counts: np.ndarray, k: int, factor: float) -> DataFrame:
     """Every shard's k nearest for one block of queries."""
-    shared = index.sparkSession.sparkContext.broadcast((ids, vectors))
+    shared = index.sparkSession.sparkContext.broadcast((ids, vectors, counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, asked = shared.value
+        query_ids, asked, counts = shared.value
         for batch in batches:
             for blob in batch.column("tree") if len(query_ids) else ():
                 tree = Tree.unpacked(blob.as_py())
                 rows, scores = tree.search(query_ids, asked, k, factor)
                 hit = rows >= 0
-                out = (np.repeat(query_ids, hit.sum(axis=1)), tree.ids[rows[hit]], scores[hit])
-                types = (pa.int64(), pa.int64(), pa.float64())
+                times = hit.sum(axis=1)
+                n = np.minimum(np.minimum(np.repeat(counts, times), k) * np.minimum(tree.counts[rows[hit]], k), k)
+                out = (np.repeat(query_ids, times), tree.ids[rows[hit]], scores[hit], n)
+                types = (pa.int64(), pa.int64(), pa.float64(), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(out, types)], names=["query_id", "vec_id", "score"]
+                    [pa.array(c, t) for c, t in zip(out, types)], names=["query_id", "vec_id", "score", "n"]
                 )
 
     return index.select("tree").mapInArrow(run, FOUND)

@@ -150,3 +150,20 @@ def test_neighbours(spark):
     loose = vptree.search(index, asked, 10, factor=0.6).collect()
     exact = {(r.query_id, r.vec_id) for r in vptree.search(index, asked, 10).collect()}
     assert len(exact & {(r.query_id, r.vec_id) for r in loose}) >= 0.6 * len(exact)
+
+
+def test_repeated_vectors_and_queries_count_by_row(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(n), rng.integers(-3, 4, 4).astype(float).tolist()) for n in rng.integers(0, 70, 160)]
+    rows = [r for r in rows if any(r[1])]
+    rows += [rows[0]] * 15 + [(20, [1.0, 2.0, 3.0, 1.0])] * 3 + [(20, [-1.0, 0.0, 2.0, 1.0]), (40, [1.0, 1.0, 1.0, 1.0])] * 2
+    frame = spark.createDataFrame(rows, "id long, vector array<double>")
+    asked = frame.filter("id % 20 = 0")
+    want = {}
+    for q, v in rows:
+        if q % 20 == 0:
+            want.setdefault(q, []).extend((-float(np.dot(v, w)), c) for c, w in rows if c != q)
+    want = sorted((q, n + 1, c, -s) for q, pairs in want.items() for n, (s, c) in enumerate(sorted(pairs)[:12]))
+    for shard_rows, query_rows in ((20_000, 8_192), (30, 3)):
+        got = vptree.search(vptree.build(frame, shard_rows), asked, 12, query_rows=query_rows).collect()
+        assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == want
