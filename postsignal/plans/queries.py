@@ -615,13 +615,13 @@ def analysis_document(spark, sf):
 
 
 def analysis_run(spark, sf):
-    """A whole analysis: stored posts scored, signals stored, their summary."""
+    """A whole analysis: vectors fitted, stored posts scored, signals stored, their summary."""
     posts, signals = scratch_path(spark, "posts"), scratch_path(spark, "signals")
     raw = fixtures.tagged(spark, sf).withColumn("url", F.lit(None).cast("string"))
     unique, _ = collect.process_posts(raw, fixtures.as_of(spark, sf), ["post_id"])
     stored = post_files.to_posts(unique.select(*StructType.fromDDL(schema.POSTS).fieldNames()))
     StoredTable(spark, posts, schema.POSTS).insert_if_absent(stored, "content_hash", ["ts"])
-    return _aggregated(analyze.run_analysis(spark, posts, signals, STREAM_TIME, hours="all", fit_vectors=False))
+    return _aggregated(analyze.run_analysis(spark, posts, signals, STREAM_TIME, hours="all"))
 
 
 # --- ordering, sampling, chart frames ---------------------------------------

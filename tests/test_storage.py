@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postsignal import schema, scratch_path
-from postsignal.plans import analyze, collect, report
+from postsignal.plans import analyze, collect, queries, report
 from postsignal.sources import post_files, run_ledger, search_results
 from postsignal.sources.tables import StoredTable
 
@@ -215,3 +215,11 @@ def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
         scratch_root(fake)
     conf["spark.checkpoint.dir"] = "hdfs://shared/x"
     assert scratch_root(fake) == "hdfs://shared/x"
+
+
+def test_whole_analysis_stores_vectors(spark, monkeypatch):
+    paths, run = [], analyze.run_analysis
+    monkeypatch.setattr(analyze, "run_analysis", lambda s, posts, signals, *a, **b: (paths.append(signals), run(s, posts, signals, *a, **b))[1])
+    queries.analysis_run(spark, "/root/testdata/sf0.001").collect()
+    stored = analyze.signal_store(spark, paths[0]).read()
+    assert not stored.isEmpty() and stored.filter(F.size("tfidf") == 0).isEmpty()
