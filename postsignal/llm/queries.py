@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, linededup, passages, pii, quality, simhash, vptree, warc, wavelet
+from . import bpe, decontaminate, linededup, merkle, passages, pii, quality, simhash, vptree, warc, wavelet
 from .frames import table
 
 
@@ -79,6 +79,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    grown = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.col("n_chars").cast("decimal(20,0)") + 1)
+    forged = merkle.leaf_hash(changed={"n_chars": F.coalesce(grown, F.col("n_chars").cast("decimal(20,0)"))})
+    manifest = merkle.build(docs, forged=F.when(grown.isNotNull(), forged))
+    return merkle.proofs(merkle.climb(manifest)).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_vptree": op2_vptree,
@@ -90,8 +98,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_passages": op9_passages,
     "op10_simhash": op10_simhash,
+    "op13_merkle": op13_merkle,
 }
 
+def _crc32_sql(text: str) -> str:
+    """DuckDB has no CRC-32: bit by bit over the UTF-8 bytes, each brought in at the first of its eight steps."""
+    step = "xor(c, b)"
+    return f"""xor(4294967295, list_reduce(
+      list_prepend(4294967295::bigint, flatten(list_transform(range(1, 2 * strlen({text}), 2),
+        lambda i: [('0x' || substr(hex({text}), i, 2))::bigint, 0, 0, 0, 0, 0, 0, 0]))),
+      lambda c, b: xor({step} >> 1, 3988292384 * ({step} & 1))))"""
+
+
 SQL: dict[str, str] = {
     "op2_vptree": """
 with usable as (
@@ -107,4 +125,45 @@ select query_id, cast(row_number() over (partition by query_id order by score de
        vec_id, score
 from scored qualify rank <= 20
 """,
+    "op13_merkle": """
+with recursive field as (
+  select doc_id, lang, coalesce(strlen(cast(doc_id as varchar)) || ':' || doc_id, '-') as f1,
+         coalesce(strlen(source) || ':' || source, '-') as f2, coalesce(strlen(lang) || ':' || lang, '-') as f3,
+         coalesce(strlen(cast(n_chars as varchar)) || ':' || n_chars, '-') as f4,
+         coalesce(strlen(cast(n_chars + 1 as varchar)) || ':' || (n_chars + 1), '-') as g4,
+         coalesce(strlen(text) || ':' || text, '-') as f5, {crc} % 7 = 0 as tampered
+  from documents
+), leaf as (
+  select *, row_number() over (partition by lang order by doc_id nulls first, h) - 1 as pos,
+         count(*) over (partition by lang) as n, dense_rank() over (order by lang nulls first) - 1 as tree
+  from (select doc_id, lang, sha256(f1 || f2 || f3 || f4 || f5) as h,
+               sha256(f1 || f2 || f3 || case when tampered then g4 else f4 end || f5) as shown from field)
+), node as (
+  select tree, 0 as lvl, pos, h, n from leaf
+  union all
+  select tree, lvl + 1, pos // 2, sha256(string_agg(h, '' order by pos)), (n + 1) // 2
+  from node where n > 1 group by tree, lvl, pos // 2, n
+), subroot as (
+  select tree, h, count(*) over () as n from node where n = 1
+), top as (
+  select 0 as lvl, tree as pos, h, n from subroot
+  union all
+  select lvl + 1, pos // 2, sha256(string_agg(h, '' order by pos)), (n + 1) // 2 from top where n > 1 group by lvl, pos // 2, n
+), up as (
+  select doc_id, h as leaf, tree, 0 as lvl, pos, n, shown as now, '' as proof from leaf
+  union all
+  select doc_id, leaf, u.tree, u.lvl + 1, u.pos // 2, (u.n + 1) // 2,
+         sha256(case when u.pos % 2 = 1 then s.h || now else now || coalesce(s.h, '') end), proof || coalesce(s.h, '')
+  from up u left join node s on s.tree = u.tree and s.lvl = u.lvl and s.pos = xor(u.pos, 1) where u.n > 1
+), over as (
+  select doc_id, leaf, u.tree, 0 as lvl, u.tree as pos, s.n, now, proof, s.h as subroot
+  from up u join subroot s on s.tree = u.tree where u.n = 1
+  union all
+  select doc_id, leaf, o.tree, o.lvl + 1, o.pos // 2, (o.n + 1) // 2,
+         sha256(case when o.pos % 2 = 1 then s.h || now else now || coalesce(s.h, '') end), proof || coalesce(s.h, ''), subroot
+  from over o left join top s on s.lvl = o.lvl and s.pos = xor(o.pos, 1) where o.n > 1
+)
+select doc_id, leaf, subroot, top.h as root, sha256(proof) as proof_sha256, now as folded_root, now = top.h as verified
+from over join top on top.n = 1 where over.n = 1
+""".replace("{crc}", _crc32_sql("cast(doc_id as varchar)")),
 }
