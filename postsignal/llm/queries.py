@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, linededup, merkle, passages, pii, quality, simhash, vptree, warc, wavelet
+from . import bpe, decontaminate, linededup, merkle, passages, pii, quality, setsketch, simhash, spelling, vptree, warc, wavelet
 from .frames import table
 
 
@@ -79,6 +79,22 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def _misspelt(id: Column, word: Column) -> Column:
+    """Some words of a text without one code point, as the query's definition has it."""
+    hashed = F.crc32(F.concat(id, F.lit(":"), word))
+    at = (hashed % F.length(word)).cast("int")
+    shorter = F.concat(F.substring(word, F.lit(1), at), F.substring(word, at + 2, F.length(word)))
+    return F.when(hashed % 31 == 0, shorter).otherwise(word)
+
+
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents"), change=_misspelt))
+
+
+def op12_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     grown = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.col("n_chars").cast("decimal(20,0)") + 1)
@@ -98,6 +114,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_passages": op9_passages,
     "op10_simhash": op10_simhash,
+    "op11_spelling": op11_spelling,
+    "op12_setsketch": op12_setsketch,
     "op13_merkle": op13_merkle,
 }
 
@@ -124,6 +142,59 @@ with usable as (
 select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank,
        vec_id, score
 from scored qualify rank <= 20
+""",
+    "op11_spelling": """
+with recursive run as (
+  select doc_id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as w
+  from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) as w from documents) where length(w) >= 7
+), hashed as (
+  select w, n, {crc} as h from (select doc_id, w, count(*) as n from run group by doc_id, w)
+), word as (
+  select word, cast(sum(n) as bigint) as n from (
+    select case when h % 31 = 0 then substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) else w end as word, n from hashed
+  ) where length(word) >= 7 group by word having sum(n) >= 2
+), part as (
+  select word, n, i, substr(word, 1, i - 1) as a, substr(word, i + 1) as b
+  from (select word, n, unnest(range(1, length(word) + 1)) as i from word)
+), pair as (
+  select x.word, x.n, y.word as near, y.n as near_n from part x join part y using (i, a, b) where x.word <> y.word
+  union select w.word, w.n, p.word, p.n from word w join part p on p.a || p.b = w.word
+  union select p.word, p.n, w.word, w.n from word w join part p on p.a || p.b = w.word
+), best as (
+  select word, count(*) as n_near,
+         arg_min(near, {'m': -near_n, 'w': near}) as near, max(near_n) as top_n from pair group by word
+), formed as (
+  select w.word, w.n, coalesce(n_near, 0) as n_near, case when top_n >= 10 * n then near end as form,
+         case when top_n >= 10 * n then top_n end as form_n
+  from word w left join best using (word)
+), way as (
+  select word, word as tip, 0 as step from formed
+  union all select way.word, f.form, step + 1 from way join formed f on f.word = way.tip where f.form is not null
+)
+select word, form, root, n, n_near, form_n
+from formed join (select word, arg_max(tip, step) as root from way group by word) using (word)
+""".replace("{crc}", _crc32_sql("doc_id || ':' || w")),
+    "op12_setsketch": """
+with recursive word as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w
+  from documents
+), sets as (
+  select doc_id, list_distinct(case when len(w) < 2 then w
+    else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end) as s
+  from word
+), shingle as (
+  select doc_id, len(s) as n, unnest(s) as s from sets
+), link as (
+  select a.doc_id as a, b.doc_id as b
+  from shingle a join shingle b on a.s = b.s and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach as (
+  select doc_id as a, doc_id as b from documents
+  union select r.a, l.b from reach r join link l on l.a = r.b
+)
+select doc_id, cast(len(s) as bigint) as n_shingles, component_id, doc_id = component_id as kept
+from sets join (select a, min(b) as component_id from reach group by a) on a = doc_id
 """,
     "op13_merkle": """
 with recursive field as (
