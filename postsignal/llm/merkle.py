@@ -45,7 +45,7 @@ def _appended(start: str, row: str) -> str:
 
 
 class Manifest(NamedTuple):
-    """Stored tree rows, each with node, parent, pos and siblings: `leaves` also with id, hash and forged."""
+    """Stored tree rows, each with node, parent, pos, siblings, hash and block's top: `leaves` also with id and forged."""
 
     leaves: DataFrame
     above: DataFrame
@@ -99,20 +99,18 @@ def build(
         F.lit("-").alias("tree"), F.col("tree").cast("long").alias("pos"),
         F.lit(numbered.count).cast("long").alias("n"), "hash",
     )
-    outer, root = _grown(level, F.lit("root"))
-    top = root.select(
-        F.lit("root").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).cast("long").alias("pos"),
-        F.expr("cast(array() as array<binary>)").alias("siblings"), "hash",
-    )
-    for rows in (*inner, *outer):
-        top = top.unionByName(rows.select(*top.columns))
-    return Manifest(leaves, stored(top, "merkle-above"))
+    outer, _ = _grown(level, F.lit(None).cast("string"))
+    names = ["node", "parent", "pos", "siblings", "hash", "top"]
+    above = outer[0].select(*names)
+    for rows in (*outer[1:], *inner):
+        above = above.unionByName(rows.select(*names))
+    return Manifest(leaves, stored(above, "merkle-above"))
 
 
 def _grown(level: DataFrame, above: Column) -> tuple[list[DataFrame], DataFrame]:
     """(stored levels, finished trees' `tree` and `hash`) from rows of tree, pos, n (the tree's nodes here) and hash.
 
-    `above` names the parent of a finished tree's top.
+    `above` names the parent of a finished tree's top; it is null at the end of all.
     """
     levels, finished = [], None
     while True:
@@ -167,7 +165,7 @@ def climb(manifest: Manifest) -> DataFrame:
           union all
           select c.id, c.leaf, u.parent, {_folded("c.folded", "u")}, {_appended("c.proof", "u")},
                  case when startswith(u.node, '-.0.') then u.hash else c.subroot end,
-                 case when u.parent is null then u.hash end
+                 case when u.parent is null then u.top end
           from climb c join {{above}} u on u.node = c.at
         )
         select id, leaf, subroot, root, proof, folded from climb where at is null
