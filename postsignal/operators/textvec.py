@@ -7,8 +7,9 @@ the cluster and put together again.
 
 from __future__ import annotations
 
+import json
 import math
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -16,15 +17,17 @@ from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normali
 from pyspark.ml.linalg import Vectors
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
-from pyspark.sql import Column, DataFrame, Row, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from ..functions import text
 from ..functions.lexicon import STOP_WORDS
 from ..session import scratch_path
+from . import rangefinder
 
-# Bound on the vocabulary: the Gram matrix on the driver has its square as size.
-VOCABULARY_BOUND = 4096
+# Bounds on the vocabulary: the Gram matrix on the driver has its square as size, the
+# randomised decomposition some hundred numbers per term.
+VOCABULARY_BOUND, RANDOMISED_BOUND = 4096, 1 << 18
 # How many times the vocabulary's size of frequent words is looked at.
 FREQUENT_WORDS = 4
 
@@ -36,10 +39,15 @@ class VectorConfig:
     min_df: int = 2
     max_df: float = 0.95
     stop_words: tuple[str, ...] = STOP_WORDS
+    # `gram` decomposes the Gram matrix, `randomised` looks for the range of the vectors.
+    solver: str = "gram"
 
     def __post_init__(self):
-        if not 0 < self.max_features <= VOCABULARY_BOUND:
-            raise ValueError(f"max_features must be between 1 and {VOCABULARY_BOUND}")
+        bounds = {"gram": VOCABULARY_BOUND, "randomised": RANDOMISED_BOUND}
+        if self.solver not in bounds:
+            raise ValueError(f"unknown solver: {self.solver}")
+        if not 0 < self.max_features <= bounds[self.solver]:
+            raise ValueError(f"max_features must be between 1 and {bounds[self.solver]}")
 
 
 def token_list(content: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
@@ -190,22 +198,55 @@ def _fit_words(words: DataFrame, cfg: VectorConfig) -> TextVectors:
 
 
 def fit_svd(model: TextVectors, weighed: DataFrame, vector: str = "tfidf") -> TextVectors:
-    """Exact truncated SVD through the Gram matrix of the term columns.
+    """Truncated SVD, exact through the Gram matrix of the term columns, or by the randomised range finder.
 
     The Gram matrix (terms × terms, bounded) is added up in the cluster; only
-    that small matrix is decomposed on the driver. The largest loading of each
-    component is made positive, the first one on ties.
+    that small matrix is decomposed on the driver. The randomised solver holds terms ×
+    directions instead and reads the stored vectors once per pass. The largest
+    loading of each component is made positive, the first one on ties.
     """
+    k = min(model.config.components, len(model.terms))
+    if model.config.solver == "randomised":
+        return _settle(model, *rangefinder.components(weighed, vector, len(model.terms), k))
     rows = MLUtils.convertVectorColumnsFromML(weighed.select(vector), vector)
     gram = RowMatrix(rows, numCols=len(model.terms)).computeGramianMatrix().toArray()
     values, vectors = np.linalg.eigh(gram)
-    k = min(model.config.components, len(model.terms))
     top = np.argsort(values)[::-1][:k]
-    loadings = vectors[:, top]
+    return _settle(model, vectors[:, top], np.sqrt(np.clip(values[top], 0.0, None)))
+
+
+def _settle(model: TextVectors, loadings: np.ndarray, singular_values: np.ndarray) -> TextVectors:
     strongest = np.abs(loadings).round(12).argmax(axis=0)
-    signs = np.sign(loadings[strongest, np.arange(k)])
+    signs = np.sign(loadings[strongest, np.arange(loadings.shape[1])])
     model.loadings = loadings * np.where(signs == 0, 1.0, signs)
-    model.singular_values = np.sqrt(np.clip(values[top], 0.0, None))
+    model.singular_values = singular_values
+    return model
+
+
+_TERMS = "position int, term string, idf double, loadings array<double>"
+_META = "n_docs bigint, config string, singular_values array<double>, fitted boolean"
+
+
+def save(model: TextVectors, spark: SparkSession, path: str) -> None:
+    """Store a model below a new path: a table of terms with weights and loadings, and one row about the fit."""
+    fitted = model.loadings is not None
+    loadings = model.loadings if fitted and model.terms else np.zeros((len(model.terms), 0))
+    rows = [(n, t, float(w), [float(x) for x in loadings[n]]) for n, (t, w) in enumerate(zip(model.terms, model.idf))]
+    spark.createDataFrame(rows, _TERMS).write.parquet(f"{path}/terms")
+    about = (model.n_docs, json.dumps(asdict(model.config)), [float(v) for v in model.singular_values], fitted)
+    spark.createDataFrame([about], _META).coalesce(1).write.parquet(f"{path}/fit")
+
+
+def load(spark: SparkSession, path: str) -> TextVectors:
+    """A stored model; it reads as many rows as its vocabulary has."""
+    rows = spark.read.schema(_TERMS).parquet(f"{path}/terms").orderBy("position").collect()
+    about = spark.read.schema(_META).parquet(f"{path}/fit").first()
+    config = json.loads(about.config)
+    config = VectorConfig(**{**config, "stop_words": tuple(config["stop_words"])})
+    model = TextVectors(config, about.n_docs, [r.term for r in rows], [r.idf for r in rows])
+    if about.fitted:
+        model.loadings = np.array([r.loadings for r in rows]) if rows else np.zeros((0, 0))
+    model.singular_values = np.array(about.singular_values)
     return model
 
 

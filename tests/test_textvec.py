@@ -1,12 +1,13 @@
 import re
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from postsignal.functions.lexicon import STOP_WORDS
-from postsignal.operators import textvec
+from postsignal.operators import rangefinder, textvec
 from postsignal.plans import fixtures
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -100,3 +101,70 @@ def test_chosen_terms_equal_counting_every_term(spark, docs, monkeypatch, size,
     terms = docs.select(textvec.term_list(F.col("content")).alias("terms"))
     expected = textvec.top_terms(textvec.prune_terms(textvec.term_counts(terms), n, config), config).collect()
     assert [tuple(r) for r in chosen] == [tuple(r) for r in expected]
+
+
+def test_randomised_solver_equals_the_gram_matrix(spark, docs):
+    config = textvec.VectorConfig(max_features=400, components=20)
+    model = textvec.fit_vocabulary(docs, config=config)
+    vectors = model.weigh(docs).select("tfidf").cache()
+    exact = textvec.fit_svd(model, vectors)
+    values, loadings = exact.singular_values, exact.loadings
+    found = textvec.fit_svd(replace(model, config=replace(config, solver="randomised")), vectors)
+    assert found.singular_values == pytest.approx(values, rel=1e-8)
+    apart = np.diff(values) < -1e-3  # components with a value of their own
+    settled = np.flatnonzero(np.concatenate((apart, [False])) & np.concatenate(([True], apart)))
+    assert len(settled) > 5 and np.allclose(found.loadings[:, settled], loadings[:, settled], atol=1e-5)
+    assert np.allclose(found.loadings.T @ found.loadings, np.eye(20), atol=1e-9)
+
+
+def test_randomised_solver_takes_more_terms_than_the_gram_matrix(spark):
+    docs = fixtures.posts(spark, "/root/testdata/sf0.01").select("post_id", "content")
+    config = textvec.VectorConfig(max_features=6000, components=10, solver="randomised")
+    rows = docs.collect()
+    terms, x = brute_force([r.content for r in rows], config)
+    assert len(terms) > textvec.VOCABULARY_BOUND
+    model = textvec.fit(docs, config=config)
+    assert model.terms == terms
+    assert model.singular_values == pytest.approx(np.linalg.svd(x, compute_uv=False)[:10], rel=1e-7)
+
+
+def test_randomised_solver_of_few_rows_and_terms(spark):
+    df = spark.createDataFrame([("alpha beta",), ("alpha gamma",), ("gamma delta",), ("zeta",)], "content string")
+    config = textvec.VectorConfig(max_df=1.0, solver="randomised")
+    exact = textvec.fit(df, config=replace(config, solver="gram"))
+    found = textvec.fit(df, config=config)
+    assert found.singular_values == pytest.approx(exact.singular_values)
+    assert np.allclose(np.abs(found.loadings), np.abs(exact.loadings))
+
+
+def test_product_equals_numpy(spark, docs, monkeypatch):
+    monkeypatch.setattr(rangefinder, "CELLS", 300)
+    monkeypatch.setattr(rangefinder, "BLOCK", 16)
+    config = textvec.VectorConfig(max_features=100)
+    rows = docs.orderBy("post_id").collect()
+    _, x = brute_force([r.content for r in rows], config)
+    model = textvec.fit_vocabulary(docs, config=config)
+    basis = np.random.default_rng(0).standard_normal((len(model.terms), 7))
+    got = {r.i: r.sums for r in rangefinder.product(model.weigh(docs).repartition(5), "tfidf", basis).collect()}
+    want = x.T @ (x @ basis)
+    assert all(np.allclose(got.get(i, np.zeros(7)), want[i]) for i in range(len(want)))
+
+
+@pytest.mark.parametrize("fitted", ["whole", "weights", "empty"])
+def test_a_stored_model_is_the_same(spark, docs, tmp_path, fitted):
+    config = textvec.VectorConfig(max_features=50, components=4, stop_words=("the",))
+    if fitted == "empty":
+        model = textvec.fit(spark.createDataFrame([("alpha",), ("beta",)], "content string"), config=config)
+    else:
+        model = (textvec.fit if fitted == "whole" else textvec.fit_vocabulary)(docs, config=config)
+    textvec.save(model, spark, str(tmp_path / "m"))
+    again = textvec.load(spark, str(tmp_path / "m"))
+    assert (again.config, again.n_docs, again.terms, again.idf) == (model.config, model.n_docs, model.terms, model.idf)
+    assert np.array_equal(again.singular_values, model.singular_values)
+    rows = lambda m: [r.tfidf for r in m.transform(docs).orderBy("post_id").limit(20).collect()]
+    assert rows(again) == rows(model)
+
+
+def test_unknown_solver():
+    with pytest.raises(ValueError):
+        textvec.VectorConfig(solver="magic")
