@@ -58,6 +58,13 @@ def reject_reason(counts: tuple[str, ...] = ("likes", "retweets", "replies")) ->
     return reason
 
 
+#: Every reason that `reject_reason` gives, and those of pages and posts that cannot be read at all.
+REASONS = (
+    "bad likes", "bad retweets", "bad replies", "no list", "username too long", "id too long", "url too long",
+    "unreadable page", "bad time",
+)
+
+
 def split_rejects(df: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]:
     """(good rows, bad rows with `reason`)."""
     judged = df.withColumn("reason", reason)

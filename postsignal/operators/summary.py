@@ -6,6 +6,8 @@ from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from . import moments
+
 LABELS = ("positive", "negative", "neutral")
 MINIMUM_VOLUME = 2000
 
@@ -62,6 +64,34 @@ def stored_signal_summary(signals: DataFrame, level: float = 0.95) -> DataFrame:
     )
 
 
+_MOMENTS = ("composite_signal", "sentiment_score", "engagement_score")
+
+
+def signal_parts(
+    signals: DataFrame, group_by: list | tuple = (), labels: tuple[str, ...] = LABELS, sign: int = 1
+) -> DataFrame:
+    """What `aggregate_signals` needs of some rows, as parts that `merge_signal_parts` puts together."""
+    counts = {"total_posts": F.lit(True)}
+    counts |= {f"{v}_posts": F.col("sentiment_label") == v for v in labels}
+    return moments.parts(signals, _MOMENTS, group_by, counts, sign)
+
+
+def merge_signal_parts(
+    stored: DataFrame, level: float = 0.95, group_by: tuple[str, ...] | list[str] = (), labels: tuple[str, ...] = LABELS
+) -> DataFrame:
+    """`aggregate_signals` of all rows behind the parts, without reading the rows."""
+    counted = ("total_posts", *[f"{v}_posts" for v in labels])
+    merged = moments.merge(stored, _MOMENTS, group_by, counted)
+    lower, upper = moments.interval("composite_signal", z_score(level))
+    return merged.select(
+        *group_by, F.col("composite_signal_mean").alias("mean_signal"),
+        moments.spread("composite_signal").alias("std_signal"),
+        lower.alias("confidence_interval_lower"), upper.alias("confidence_interval_upper"),
+        F.col("sentiment_score_mean").alias("mean_sentiment"), F.col("engagement_score_mean").alias("mean_engagement"),
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in counted],
+    )
+
+
 def label_counts(signals: DataFrame, label: str = "sentiment_label") -> DataFrame:
     return signals.groupBy(label).agg(F.count("*").alias("n"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -11,12 +11,46 @@ from ..functions.lexicon import ScoringConfig
 from ..functions.scoring import analyze_posts
 from ..functions.values import as_column
 from ..operators import filters, ranking, summary, textvec
-from ..sources.tables import StoredTable
+from ..sources.tables import Generation, StoredTable, post_store
 
 
 def signal_store(spark: SparkSession, path: str) -> StoredTable:
-    """The stored signals: one per post, each with the time it was first made."""
-    return StoredTable(spark, path, schema.SIGNALS, key="content_hash", keep_old=("processed_at",))
+    """The stored signals: one per post, each with the time it was first made; a folder per day of the posts."""
+    return StoredTable(
+        spark, path, schema.SIGNALS, key="content_hash", keep_old=("processed_at",), day="ts"
+    )
+
+
+def signal_moments(spark: SparkSession, path: str) -> StoredTable:
+    """The moments of the stored signals, a row or two per write."""
+    return StoredTable(spark, path, schema.SIGNAL_PARTS)
+
+
+def store_signals(
+    table: StoredTable, signals: DataFrame, owner: str | None = None, moments: StoredTable | None = None
+) -> Generation:
+    """Upsert signals and, in `moments`, what the write adds to and takes from the stored summary.
+
+    Signals of a key that is stored are taken out of the summary again. They lie in the
+    days of the batch, since a post's time stays what it was when it was stored, and only
+    these days are read. A replay under the same owner replaces both writes.
+    """
+    made = table.upsert(signals, owner=owner)
+    if moments is not None:
+        written = table.generation(made)
+        # One date per day of the batch.
+        days = [r.day for r in written.select(F.to_date("ts").alias("day")).distinct().collect()]
+        old = table.read(before=made.number, days=days)
+        gone = old.join(written.select("content_hash"), "content_hash", "left_semi")
+        change = summary.signal_parts(written).unionByName(summary.signal_parts(gone, sign=-1))
+        moments.append(change, made.owner)
+    return made
+
+
+def stored_summary(moments: StoredTable, level: float = 0.95) -> DataFrame:
+    """The summary of all stored signals from their moments: no signal is read."""
+    merged = summary.merge_signal_parts(moments.read(), level)
+    return summary.zero_for_null(merged, "mean_signal", "std_signal", "mean_sentiment", "mean_engagement")
 
 
 def choose_posts(
@@ -48,14 +82,20 @@ def build_signals(
 def run_analysis(
     spark: SparkSession, posts_path: str, signals_path: str, as_of: datetime,
     hours: str | int = "24", limit: str | int | None = None, fit_vectors: bool = True,
-    vector_config: textvec.VectorConfig | None = None,
+    vector_config: textvec.VectorConfig | None = None, moments_path: str | None = None,
 ) -> DataFrame:
-    """Score the chosen posts, upsert their signals, and return the one-row summary."""
-    posts = StoredTable(spark, posts_path, schema.POSTS).read()
+    """Score the chosen posts, upsert their signals, and return the one-row summary.
+
+    With `moments_path`, the moments of all stored signals are kept there.
+    """
+    window = filters.parse_lookback(hours)
+    posts = post_store(spark, posts_path).read(since=None if window is None else as_of - timedelta(hours=window))
     chosen = choose_posts(posts, as_of, hours, limit)
     if chosen.isEmpty():
         raise ValueError(f"nothing to analyse within hours={hours!r}; hours=\"all\" takes the whole store")
     vectors = textvec.fit(chosen, config=vector_config) if fit_vectors else None
     table = signal_store(spark, signals_path)
     # The rows just written are read back, so nothing is scored twice.
-    return summary.aggregate_signals(table.generation(table.upsert(build_signals(chosen, as_of, vectors))))
+    moments = signal_moments(spark, moments_path) if moments_path else None
+    made = store_signals(table, build_signals(chosen, as_of, vectors), moments=moments)
+    return summary.aggregate_signals(table.generation(made))

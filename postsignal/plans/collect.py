@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import uuid
 from datetime import datetime, timezone
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
-from .. import schema
 from ..functions import text, values
-from ..operators import filters, keyed, summary
+from ..operators import filters, summary
 from ..operators.dedupe import dedupe_by_hash
-from ..session import scratch_path
+from ..session import observed, scratch_path
 from ..sources import run_ledger
-from ..sources.tables import StoredTable
+from ..sources.tables import Generation, StoredTable, post_store, refused_store
 
 COUNTERS = ("likes", "retweets", "replies")
 
@@ -22,13 +22,26 @@ def clean_posts(raw: DataFrame, as_of: Column | datetime) -> DataFrame:
     """Cleaned text, lists, counters, times, hash and stamp; rows empty after cleaning are dropped.
 
     Extra columns (an arrival key) pass through. Text counters are parsed,
-    numeric ones truncated; an unreadable one is null (see `process_posts`).
+    numeric ones truncated; an unreadable one is null (see `judge_posts`).
     """
-    types = dict(raw.dtypes)
-    count = lambda c: (values.coerce_count if types[c] == "string" else values.truncate_count)(F.col(c))
-    time = values.normalize_timestamp if types["ts"] == "string" else _known_time
+    return _stamped(filters.nonempty(_cleaned(raw)), as_of)
+
+
+def judge_posts(raw: DataFrame, as_of: Column | datetime) -> DataFrame:
+    """Clean posts and, beside them, what is refused: `reason` is null for a good post.
+
+    A `refused` column, as from `examine_search_pages`, goes before the post's own
+    faults. Posts that are empty after cleaning are neither good nor refused.
+    """
+    early = F.col("refused") if "refused" in raw.columns else F.lit(None).cast("string")
+    cleaned = _cleaned(raw).filter((F.col("content") != "") | early.isNotNull())
+    judged = _stamped(cleaned, as_of)
+    return judged.withColumn("reason", F.coalesce(early, filters.reject_reason())).drop("refused")
+
+
+def _cleaned(raw: DataFrame) -> DataFrame:
     # One pass through Python cleans all four columns.
-    cleaned = raw.withColumns(
+    return raw.withColumns(
         {
             "content": text.clean_text(F.col("content")),
             "username": text.clean_text(F.coalesce("username", F.lit("unknown"))),
@@ -36,7 +49,13 @@ def clean_posts(raw: DataFrame, as_of: Column | datetime) -> DataFrame:
             "hashtags": text.clean_list(F.col("hashtags")),
         }
     )
-    return filters.nonempty(cleaned).withColumns(
+
+
+def _stamped(cleaned: DataFrame, as_of: Column | datetime) -> DataFrame:
+    types = dict(cleaned.dtypes)
+    count = lambda c: (values.coerce_count if types[c] == "string" else values.truncate_count)(F.col(c))
+    time = values.normalize_timestamp if types["ts"] == "string" else _known_time
+    return cleaned.withColumns(
         {
             "ts": time(F.col("ts"), as_of),
             **{c: count(c) for c in COUNTERS},
@@ -59,45 +78,81 @@ def process_posts(raw: DataFrame, as_of: Column | datetime, order_by: list) -> t
     return dedupe_by_hash(good, order_by), bad
 
 
+class Stored(NamedTuple):
+    """What a write did: different clean posts, those new to the store, and refused rows by reason."""
+
+    generation: Generation
+    seen: int
+    inserted: int
+    refused: dict[str, int]
+
+    @property
+    def notes(self) -> list[str]:
+        return [f"{reason}: {n}" for reason, n in sorted(self.refused.items()) if n]
+
+
+def store_judged(
+    table: StoredTable, judged: DataFrame, order_by: list, owner: str, refused: StoredTable | None = None,
+    as_of: Column | datetime | None = None,
+) -> Stored:
+    """Put judged posts into the post store, and what is refused into `refused`, both under one owner.
+
+    `judged` is read several times, so it is stored or persisted. All figures are
+    observed by the write of the posts itself: nothing is read again to count.
+    """
+    if refused is not None:
+        raw = F.coalesce("raw.line", F.to_json("raw.p")) if "raw" in judged.columns else F.to_json(F.struct("*"))
+        bad = judged.filter("reason is not null").select(
+            "reason", raw.alias("raw"), values.as_column(as_of).cast("timestamp").alias("refused_at")
+        )
+        refused.append(bad, owner)
+    reasons, seen, inserted = (Observation() for _ in range(3))
+    each = [F.count_if(F.col("reason") == reason).alias(reason) for reason in filters.REASONS]
+    watched = judged.observe(reasons, *each)
+    good = lambda df: df.filter("reason is null").drop("reason")
+    one = F.count(F.lit(1)).alias("n")
+    posts = dedupe_by_hash(good(watched), order_by).observe(seen, one)
+    made = table.insert(posts, order_by, owner, among=good(judged), watch=lambda df: df.observe(inserted, one))
+    return Stored(made, observed(seen).get("n", 0), observed(inserted).get("n", 0), observed(reasons))
+
+
 def run_collection(
     spark: SparkSession, raw: DataFrame, posts_path: str, ledger_path: str, order_by: list,
     as_of: datetime | None = None, run_id: str | None = None, minimum: int = summary.MINIMUM_VOLUME,
+    refused_path: str | None = None,
 ) -> dict:
     """Process raw posts into the post store and record the run in the ledger.
 
-    `seen` counts the unique clean posts and `inserted` those stored: their hash
-    was not stored before, and neither their hash nor their id came earlier. The ledger
-    lists the rejected rows by reason, and a volume below `minimum`. A failed
-    run is recorded with its error and raised again. The judged posts are
-    written once, so nothing upstream runs again for the counts.
+    `seen` counts the unique clean posts and `inserted` those stored: neither their hash
+    nor their id was stored before or came earlier. The ledger
+    lists the rejected rows by reason, and a volume below `minimum`; the rows
+    themselves go to `refused_path`, if given. A failed run is recorded with its
+    error and raised again. The judged posts are written once, so nothing upstream
+    runs twice.
     """
     started = as_of or _now()
     run_id = run_id or uuid.uuid4().hex
     run_ledger.record_run(spark, ledger_path, run_id, started)
     try:
         staged_path = scratch_path(spark, "collected")
-        judged = clean_posts(raw, started).withColumn("reason", filters.reject_reason())
+        judged = judge_posts(raw, started)
         judged.write.parquet(staged_path)
-        good, bad = filters.split_rejects(spark.read.parquet(staged_path).drop("reason"), filters.reject_reason())
-        posts = dedupe_by_hash(good, order_by)
-        table = StoredTable(spark, posts_path, schema.POSTS)
-        new_ids = keyed.unique_id_guard(posts, "tweet_id", "content_hash", order_by, table.read())
-        gen = table.insert_if_absent(new_ids, "content_hash", ["content_hash"], owner=run_id)
-        counts = {"seen": posts.count(), "inserted": table.generation(gen).count()}
-        # One row per reason of a fixed list.
-        refused = bad.groupBy("reason").count().orderBy("reason").collect()
-        notes = [f"{r.reason}: {r['count']}" for r in refused]
-        if counts["seen"] < minimum:
-            notes.append(f"volume {counts['seen']} below {minimum}")
+        refused = refused_store(spark, refused_path) if refused_path else None
+        staged = spark.read.schema(judged.schema).parquet(staged_path)
+        stored = store_judged(post_store(spark, posts_path), staged, order_by, run_id, refused, started)
+        notes = stored.notes
+        if stored.seen < minimum:
+            notes.append(f"volume {stored.seen} below {minimum}")
     except Exception as error:
         run_ledger.record_run(
             spark, ledger_path, run_id, started, "failed", as_of or _now(), errors=[str(error)]
         )
         raise
+    counts = {"seen": stored.seen, "inserted": stored.inserted}
     run_ledger.record_run(
         spark, ledger_path, run_id, started, "completed", as_of or _now(), errors=notes, **counts
     )
-    return {"run_id": run_id, "generation": gen.number, **counts}
+    return {"run_id": run_id, "generation": stored.generation.number, **counts}
 
 
 def _now() -> datetime:

@@ -86,8 +86,13 @@ def as_of(spark: SparkSession, sf_dir: str) -> Column:
     return matched.agg(F.max("ts")).scalar()
 
 
-def search_pages(source: DataFrame, size: int = 100) -> DataFrame:
-    """Posts as search-result pages of `size` posts, in the order of their ids."""
+def search_pages(
+    source: DataFrame, size: int = 100, id: Column | None = None, created: Column | None = None
+) -> DataFrame:
+    """Posts as search-result pages of `size` posts, in the order of their ids.
+
+    `id` and `created` stand for the post's number and time, if given.
+    """
     number = F.substring_index("username", "_", -1)
     user = F.struct(
         number.alias("id"), F.col("username"), F.concat(F.lit("Name "), number).alias("name")
@@ -101,11 +106,11 @@ def search_pages(source: DataFrame, size: int = 100) -> DataFrame:
         ),
     )
     post = F.struct(
-        F.col("post_id").cast("string").alias("id"),
+        (F.col("post_id").cast("string") if id is None else id).alias("id"),
         F.col("content").alias("text"),
         number.alias("author_id"),
         "lang",
-        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"),
+        (iso_time() if created is None else created).alias("created_at"),
         metrics.alias("public_metrics"),
     )
     listed = F.when(~number.endswith("0"), user)
@@ -122,6 +127,46 @@ def search_pages(source: DataFrame, size: int = 100) -> DataFrame:
     )
 
 
+def iso_time() -> Column:
+    return F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def damaged_pages(source: DataFrame) -> DataFrame:
+    """Lines of pages with unreadable counters and times, over-long names and ids, and lines that break off."""
+    every = lambda n: F.col("post_id") % n == 0
+    bad = source.withColumns(
+        {
+            "likes": F.when(every(17), F.lit("n/a")).otherwise(F.col("likes").cast("string")),
+            "username": F.when(
+                every(37), F.concat(F.repeat(F.lit("x"), F.lit(300)), F.lit("_90000"), F.substring_index("username", "_", -1))
+            ).otherwise(F.col("username")),
+        }
+    )
+    number = F.col("post_id").cast("string")
+    pages = search_pages(
+        bad, id=F.when(every(29), F.repeat(number, F.lit(300))).otherwise(number),
+        created=F.when(every(31), F.lit("soon")).otherwise(iso_time()),
+    )
+    line = F.to_json(F.struct("data", "includes", "meta", "errors"))
+    broken = F.regexp_extract("meta.next_token", r"(\d+)", 1).cast("bigint") % 3 == 2
+    return pages.select(F.explode(F.when(broken, F.array(line, F.substring(line, 1, 60))).otherwise(F.array(line))).alias("value"))
+
+
+#: Days of posts in one wave of pages, waves, and how many waves late some posts are.
+WAVE_DAYS, WAVES, LATE_WAVES = 6, 5, 2
+
+
+def wave_folder(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of JSON pages that arrive in waves by their posts' days, one file each; some posts come two waves late."""
+    path, source = scratch_path(spark, "waves"), posts(spark, sf_dir)
+    first = source.agg(F.min("ts")).scalar().cast("date")
+    wave = F.floor(F.date_diff(F.to_date("ts"), first) / WAVE_DAYS) + F.when(F.col("post_id") % 13 == 0, LATE_WAVES).otherwise(0)
+    sorted_out = source.withColumn("wave", F.least(wave, F.lit(WAVES - 1)))
+    for n in range(WAVES):
+        search_pages(sorted_out.filter(F.col("wave") == n)).coalesce(1).write.mode("append").json(path)
+    return path
+
+
 _page_folders: dict[tuple, str] = {}
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from statistics import NormalDist
 
 from ..functions.lexicon import BEARISH, BULLISH, MARKET_TAGS, STOP_WORDS
-from .fixtures import CONTENT_SQL, TOPICS
+from .fixtures import CONTENT_SQL, LATE_WAVES, TOPICS, WAVE_DAYS, WAVES
 
 MAX_POINTS, TOPIC_CAP, NEWEST, SAMPLE = 300, 50, 25, 100
 MAX_FEATURES, MIN_DF, MAX_DF = 1000, 2, 0.95
@@ -84,6 +84,12 @@ CTES = {
     "raw_counters": """
         select *, case when post_id % 17 = 0 then null when post_id % 19 = 0 then 0 else likes end as counted_likes
         from tagged""",
+    "damaged": """
+        select *, case when post_id % 31 = 0 then 'bad time'
+                       when post_id % 17 = 0 and post_id % 23 <> 0 then 'bad likes'
+                       when post_id % 37 = 0 and username not like '%0' then 'username too long'
+                       when post_id % 29 = 0 then 'id too long' end as reason
+        from tagged""",
     "docs": f"""
         select post_id,
                list_filter(regexp_extract_all(lower(content), '{WORD}{{2,}}'),
@@ -114,6 +120,7 @@ CTES = {
 
 # Which other common tables each one reads.
 NEEDS = {
+    "damaged": ["tagged"],
     "now": ["posts"],
     "tagged": ["posts"],
     "hits": ["tagged"],
@@ -175,6 +182,21 @@ def _aggregates(null_as_zero: bool = False) -> str:
     )
 
 
+# Posts as search pages show them.
+_PAGED = """, paged as (select * replace (date_trunc('second', ts) as ts,
+                      case when post_id % 23 = 0 then 0 else likes end as likes,
+                      case when post_id % 23 = 0 then 0 else retweets end as retweets,
+                      case when post_id % 23 = 0 then 0 else replies end as replies) from posts)"""
+# The wave a post comes in, and the watermark that it meets: the newest time of all waves before.
+_WAVES = f"""wave as (
+      select *, least({WAVES - 1}, date_diff('day', (select min(cast(ts as date)) from paged), cast(ts as date)) // {WAVE_DAYS}
+                      + case when post_id % 13 = 0 then {LATE_WAVES} else 0 end) as wave from scored
+    ), waves as (
+      select w.*, m.mark, coalesce(date_trunc('hour', ts) + interval 1 hour <= m.mark, false) as late
+      from wave w join (select a.wave, max(b.ts) - interval 1 hour as mark
+                        from (select distinct wave from wave) a left join wave b on b.wave < a.wave group by a.wave) m
+        on m.wave = w.wave
+    )"""
 HOURS = "(select as_of from now) - interval {} hour"
 LINK_ID = "concat('https://twitter.com/i/web/status/', {})"
 LINK_USER = "'https://twitter.com/' || username || '/status/' || {}"
@@ -333,6 +355,18 @@ def statements() -> dict[str, str]:
                  norms as (select post_id, sqrt(sum(w * w)) as norm from parts group by post_id)
                select post_id, term, round(w / norm, 6) as weight from parts join norms using (post_id)""",
         ),
+        "gram_cells": _with(
+            "weights",
+            """, parts as (select post_id, term, tf * idf as w from doc_terms join weights using (term)),
+                 norms as (select post_id, sqrt(sum(w * w)) as norm from parts group by post_id),
+                 unit as (select post_id, term, w / norm as w from parts join norms using (post_id))
+               select a.term, b.term as other, round(sum(a.w * b.w), 6) as w
+               from unit a join unit b on a.post_id = b.post_id and a.term <= b.term group by 1, 2""",
+        ),
+        "stream_signal_vectors": _with(
+            "tagged",
+            """select distinct content_hash, cast(50 as bigint) as n_values, cast(0 as double) as off from tagged""",
+        ),
         "nonempty": _with(
             "posts", f"select post_id, length({_clean('content')}) as n_chars from posts where n_chars % 9 <> 0"
         ),
@@ -598,13 +632,51 @@ def statements() -> dict[str, str]:
             """select 'completed' as status, count(distinct content_hash) as inserted,
                       cast(0 as bigint) as short_runs from tagged""",
         ),
+        "stream_rejects": _with(
+            "tagged damaged",
+            """, pages as (select distinct post_id // 100 as page from damaged)
+               select reason, count(*) as n from damaged where reason is not null group by reason
+               union all select 'unreadable page', count(*) from pages where page % 3 = 1 having count(*) > 0
+               union all select 'stored', count(distinct content_hash) from damaged where reason is null""",
+        ),
+        "stream_id_guard": _with(
+            "tagged now",
+            f"""select tweet_id, case when tweet_id is null then content_hash end as text_hash,
+                       bool_or({older(24)}) as from_run from tagged group by 1, 2""",
+        ),
+        "stream_signals_ledger": _with(
+            "tagged damaged",
+            """, pages as (select distinct post_id // 100 as page from damaged)
+               select reason as what, count(*) as n from damaged where reason is not null group by reason
+               union all select 'unreadable page', count(*) from pages where page % 3 = 1 having count(*) > 0
+               union all select 'completed', count(distinct content_hash) from damaged where reason is null""",
+        ),
+        "stream_dedupe_within": _with(
+            "tagged",
+            f"""select content_hash, max(length({_clean("content")})) as n_chars from tagged group by content_hash""",
+        ),
+        "stream_windows": _with(
+            "posts",
+            f"""{_PAGED}, {_stack("tagged hits scores features scored", "paged")}, {_WAVES}
+                select date_trunc('hour', ts) as window_start, {_aggregates()} from waves
+                where not late and date_trunc('hour', ts) + interval 1 hour <= (select max(ts) - interval 1 hour from waves)
+                group by 1""",
+        ),
+        "stream_late": _with(
+            "posts",
+            f"""{_PAGED}, {_stack("tagged hits scores features scored", "paged")}, {_WAVES}
+                select content_hash, ts, date_trunc('hour', ts) + interval 1 hour as window_end, mark as watermark,
+                       {_r("composite_signal")} from waves where late""",
+        ),
+        "stored_summary_kept": _with(
+            "scored",
+            f""", last as (select * replace (composite_signal * case when post_id % 3 = 1 then 1 else 2 end
+                                             as composite_signal) from scored)
+                select {_aggregates()} from last""",
+        ),
         "stream_hourly": _with(
             "posts",
-            f""", paged as (select * replace (date_trunc('second', ts) as ts,
-                      case when post_id % 23 = 0 then 0 else likes end as likes,
-                      case when post_id % 23 = 0 then 0 else retweets end as retweets,
-                      case when post_id % 23 = 0 then 0 else replies end as replies) from posts),
-                {_stack("tagged hits scores features scored", "paged")}
+            f"""{_PAGED}, {_stack("tagged hits scores features scored", "paged")}
                 select date_trunc('hour', ts) as hour, {_aggregates()} from scored group by 1""",
         ),
     }

@@ -15,12 +15,12 @@ from pyspark.sql.types import StructType
 from ..functions import scoring, text, values
 from ..functions.lexicon import ScoringConfig
 from ..operators import (
-    dedupe, filters, frames, keyed, linking, ranking, sampling, summary, textvec,
+    dedupe, filters, frames, keyed, linking, rangefinder, ranking, sampling, summary, textvec,
 )
 from ..session import scratch_path
 from ..sources import post_files, run_ledger, search_results
-from ..sources.tables import StoredTable
-from ..streaming import streams
+from ..sources.tables import StoredTable, post_store, refused_store
+from ..streaming import streams, windows
 from .. import schema
 from . import analyze, collect, fixtures, report
 
@@ -399,6 +399,47 @@ def svd_check(spark, sf):
     return lengths.join(known, "component").select(F.col("component").cast("bigint"), residual.alias("residual"), "overlap")
 
 
+def gram_cells(spark, sf):
+    """Every pair of terms that share a text: the sum of the products of their weights."""
+    posts = fixtures.posts(spark, sf).select("post_id", "content")
+    model = textvec.fit_vocabulary(posts)
+    vectors = _stored(model.weigh(posts).select("tfidf"))
+    sums = rangefinder.product(vectors, "tfidf", np.eye(len(model.terms)))
+    cells = sums.select("i", F.posexplode("sums").alias("j", "w")).filter((F.col("i") <= F.col("j")) & (F.col("w") != 0))
+    names = F.lit(model.terms)
+    return cells.select(F.get(names, F.col("i")).alias("term"), F.get(names, F.col("j")).alias("other"), r6("w"))
+
+
+def svd_randomised(spark, sf):
+    """Singular values by the range finder beside those of the Gram matrix."""
+    posts = fixtures.posts(spark, sf).select("post_id", "content")
+    model = textvec.fit_vocabulary(posts)
+    vectors = _stored(model.weigh(posts).select("tfidf"))
+    exact = textvec.fit_svd(model, vectors).singular_values
+    _, found = rangefinder.components(vectors, "tfidf", len(model.terms), len(exact))
+    rows = [(i, round(float(v), 6), round(float(v - e), 6) + 0.0) for i, (v, e) in enumerate(zip(found, exact))]
+    return spark.createDataFrame(rows, "component bigint, singular_value double, off double")
+
+
+def stream_signal_vectors(spark, sf):
+    """Vectors of a signal stream under a stored model, and how far they are from those of a batch."""
+    posts = _clean(spark, sf).select("content", "content_hash")
+    path = scratch_path(spark, "model")
+    fitted = textvec.fit(posts)
+    textvec.save(fitted, spark, path)
+    signals = scratch_path(spark, "signals")
+    _finish(
+        streams.start_signals(
+            _pages(spark, sf), scratch_path(spark, "unique"), signals, STREAM_TIME, scratch_path(spark, "state"),
+            vectors=textvec.load(spark, path),
+        )
+    )
+    batch = fitted.transform(posts.dropDuplicates(["content_hash"]), output="expected").select("content_hash", "expected")
+    both = analyze.signal_store(spark, signals).read().join(batch, "content_hash")
+    off = F.array_max(F.zip_with("tfidf", "expected", lambda a, b: F.abs(a - b)))
+    return both.select("content_hash", F.size("tfidf").cast("bigint").alias("n_values"), F.round(off, 6).alias("off"))
+
+
 # --- filters ----------------------------------------------------------------
 
 
@@ -617,10 +658,10 @@ def analysis_document(spark, sf):
 def analysis_run(spark, sf):
     """A whole analysis: vectors fitted, stored posts scored, signals stored, their summary."""
     posts, signals = scratch_path(spark, "posts"), scratch_path(spark, "signals")
-    raw = fixtures.tagged(spark, sf).withColumn("url", F.lit(None).cast("string"))
+    raw = _numbered(fixtures.tagged(spark, sf)).withColumn("url", F.lit(None).cast("string"))
     unique, _ = collect.process_posts(raw, fixtures.as_of(spark, sf), ["post_id"])
     stored = post_files.to_posts(unique.select(*StructType.fromDDL(schema.POSTS).fieldNames()))
-    StoredTable(spark, posts, schema.POSTS).insert_if_absent(stored, "content_hash", ["ts"])
+    post_store(spark, posts).insert(stored, ["ts"])
     return _aggregated(analyze.run_analysis(spark, posts, signals, STREAM_TIME, hours="all"))
 
 
@@ -685,7 +726,7 @@ def signal_summary_long(spark, sf):
 
 def _pages(spark, sf):
     folder = fixtures.search_page_folder(spark, sf)
-    return streams.ingest(streams.read_page_stream(spark, folder, files_per_batch=3), STREAM_TIME)
+    return streams.ingest(search_results.read_page_stream(spark, folder, files_per_batch=3), STREAM_TIME)
 
 
 def _finish(query):
@@ -703,7 +744,7 @@ def stream_ingest(spark, sf):
 def stream_dedupe(spark, sf):
     path, checkpoint = scratch_path(spark, "unique"), scratch_path(spark, "state")
     _finish(streams.start_store(_pages(spark, sf), path, None, checkpoint))
-    stored = StoredTable(spark, path, schema.POSTS).read()
+    stored = post_store(spark, path).read()
     return stored.select("content_hash", F.length("content").cast("bigint").alias("n_chars"))
 
 
@@ -716,9 +757,15 @@ def stream_signals(spark, sf):
     return stored.select("content_hash", r6("sentiment_score"), "sentiment_label")
 
 
-def _collected(spark, sf):
+def _numbered(posts):
+    """Posts under ids of their own."""
+    return posts.withColumn("tweet_id", F.col("post_id").cast("string"))
+
+
+def _collected(spark, sf, tagged=None):
     """Unique posts from before the last day, as an earlier run would store them."""
-    older = _older(fixtures.tagged(spark, sf), spark, sf, 24).withColumn("url", F.lit(None).cast("string"))
+    tagged = _numbered(fixtures.tagged(spark, sf)) if tagged is None else tagged
+    older = _older(tagged, spark, sf, 24).withColumn("url", F.lit(None).cast("string"))
     posts, _ = collect.process_posts(older, fixtures.as_of(spark, sf), ["post_id"])
     return post_files.to_posts(posts.select(*StructType.fromDDL(schema.POSTS).fieldNames()))
 
@@ -726,8 +773,8 @@ def _collected(spark, sf):
 def stream_into_store(spark, sf):
     """A stream with a new checkpoint over a store that a run has filled."""
     path, checkpoint = scratch_path(spark, "unique"), scratch_path(spark, "state")
-    table = StoredTable(spark, path, schema.POSTS)
-    table.insert_if_absent(_collected(spark, sf).withColumn("url", F.lit("run")), "content_hash", ["ts"], "run")
+    table = post_store(spark, path)
+    table.insert(_collected(spark, sf).withColumn("url", F.lit("run")), ["ts"], "run")
     _finish(streams.start_store(_pages(spark, sf), path, None, checkpoint))
     return table.read().select("content_hash", F.coalesce(F.col("url") == "run", F.lit(False)).alias("from_run"))
 
@@ -750,7 +797,7 @@ def stream_reanalysis(spark, sf):
     """A stream that scores its whole window anew, over stored posts with stale signals."""
     posts, path, checkpoint = (scratch_path(spark, n) for n in ("posts", "signals", "state"))
     older = _collected(spark, sf)
-    StoredTable(spark, posts, schema.POSTS).insert_if_absent(older, "content_hash", ["ts"], "run")
+    post_store(spark, posts).insert(older, ["ts"], "run")
     table = analyze.signal_store(spark, path)
     table.upsert(analyze.build_signals(older, STREAM_TIME).withColumn("sentiment_score", F.lit(-9.0)))
     stream = streams.start_signals(_pages(spark, sf), posts, path, STREAM_TIME, checkpoint, lookback_hours=24 * 60)
@@ -768,6 +815,89 @@ def stream_ledger(spark, sf):
     )
 
 
+def _page_stream(spark, pages):
+    """Judged posts of pages that are written as lines of text or as JSON rows."""
+    folder = scratch_path(spark, "pages")
+    writer = pages.write.option("maxRecordsPerFile", 4)
+    (writer.text if pages.columns == ["value"] else writer.json)(folder)
+    return streams.examine(search_results.read_page_stream(spark, folder, files_per_batch=3), STREAM_TIME)
+
+
+def stream_rejects(spark, sf):
+    """What a stream of damaged pages refuses, by reason, and how many posts it stores."""
+    path, bad, checkpoint = (scratch_path(spark, n) for n in ("unique", "refused", "state"))
+    stream = _page_stream(spark, fixtures.damaged_pages(fixtures.posts(spark, sf)))
+    _finish(streams.start_store(stream, path, None, checkpoint, refused_path=bad))
+    refused = refused_store(spark, bad).read().select("reason")
+    stored = post_store(spark, path).read().select(F.lit("stored").alias("reason"))
+    return refused.unionByName(stored).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def stream_id_guard(spark, sf):
+    """A stream whose posts share ids, over a store that has taken some of them."""
+    path, checkpoint = scratch_path(spark, "unique"), scratch_path(spark, "state")
+    table = post_store(spark, path)
+    older = _collected(spark, sf, fixtures.tagged(spark, sf)).withColumn("url", F.lit("run"))
+    table.insert(older, ["ts", "content_hash"], "run")
+    pages = fixtures.search_pages(fixtures.posts(spark, sf), id=F.col("tweet_id"))
+    _finish(streams.start_store(_page_stream(spark, pages), path, None, checkpoint))
+    return table.read().select(
+        "tweet_id", F.when(F.col("tweet_id").isNull(), F.col("content_hash")).alias("text_hash"),
+        F.coalesce(F.col("url") == "run", F.lit(False)).alias("from_run"),
+    )
+
+
+def stream_signals_ledger(spark, sf):
+    """What the ledger of a signal stream adds up to, refused posts included."""
+    posts, path, ledger, checkpoint = (scratch_path(spark, n) for n in ("unique", "signals", "ledger", "state"))
+    stream = _page_stream(spark, fixtures.damaged_pages(fixtures.posts(spark, sf)))
+    _finish(streams.start_signals(stream, posts, path, STREAM_TIME, checkpoint, ledger_path=ledger))
+    runs = run_ledger.read_runs(spark, ledger)
+    notes = runs.select("inserted", F.explode_outer("errors").alias("note"))
+    reason = F.regexp_extract("note", "^(.*): ", 1)
+    by_reason = notes.filter("note is not null").groupBy(reason.alias("what")).agg(
+        F.sum(F.regexp_extract("note", r"(\d+)$", 1).cast("bigint")).alias("n")
+    )
+    return by_reason.unionByName(runs.groupBy(F.col("status").alias("what")).agg(F.sum("inserted").alias("n")))
+
+
+def stream_dedupe_within(spark, sf):
+    """First posts by hash with bounded state; the delay is longer than the data, so the result is exact."""
+    path, checkpoint = scratch_path(spark, "unique"), scratch_path(spark, "state")
+    _finish(streams.start_unique(_pages(spark, sf), path, checkpoint, "60 days"))
+    return spark.read.parquet(path).select("content_hash", F.length("content").cast("bigint").alias("n_chars"))
+
+
+def _windows(spark, sf):
+    pages = search_results.read_page_stream(spark, fixtures.wave_folder(spark, sf), files_per_batch=1)
+    path, checkpoint = scratch_path(spark, "windows"), scratch_path(spark, "state")
+    _finish(windows.start_windows(scoring.analyze_posts(streams.ingest(pages, STREAM_TIME)), path, checkpoint))
+    return windows.WindowFolder(spark, path)
+
+
+def stream_windows(spark, sf):
+    """Hours that a stream has closed, in append form."""
+    return _aggregated(_windows(spark, sf).closed(), ntz("window_start"))
+
+
+def stream_late(spark, sf):
+    """Posts that came after their hour was closed."""
+    late = _windows(spark, sf).late_rows()
+    return late.select("content_hash", ntz("ts"), ntz("window_end"), ntz("watermark"), r6("composite_signal"))
+
+
+def stored_summary_kept(spark, sf):
+    """Stored signals, half of them replaced by a second write, summed up from the kept moments."""
+    path, moments = scratch_path(spark, "signals"), scratch_path(spark, "moments")
+    table, kept = analyze.signal_store(spark, path), analyze.signal_moments(spark, moments)
+    posts = _clean(spark, sf).withColumn("content_hash", F.concat("content_hash", F.lit("-"), F.col("post_id").cast("string")))
+    scored = analyze.build_signals(posts, STREAM_TIME)
+    analyze.store_signals(table, scored.filter("post_id % 3 <> 0"), "first", kept)
+    doubled = scored.withColumn("composite_signal", F.col("composite_signal") * 2)
+    analyze.store_signals(table, doubled.filter("post_id % 3 <> 1"), "second", kept)
+    return _aggregated(analyze.stored_summary(kept))
+
+
 def stream_hourly(spark, sf):
     path, checkpoint = scratch_path(spark, "hourly"), scratch_path(spark, "state")
     grouped = streams.hourly(scoring.analyze_posts(_pages(spark, sf)))
@@ -792,6 +922,7 @@ QUERIES = {
         rolling_mean, rolling_mean_by, signal_over_time, engagement_vs_sentiment,
         signal_summary_long, stream_ingest, stream_dedupe, stream_signals, stream_hourly,
         store_insert_twice, store_upsert, store_cascade, stream_into_store, stream_signals_into_store,
-        stream_reanalysis, stream_ledger, collection_run, analysis_document, analysis_run, svd_check,
+        stream_reanalysis, stream_ledger, stream_rejects, stream_id_guard, stream_signals_ledger, stream_dedupe_within,
+        stream_windows, stream_late, stored_summary_kept, collection_run, analysis_document, analysis_run, svd_check, gram_cells, svd_randomised, stream_signal_vectors,
     )
 } | {"run_ledger": run_ledger_by_day}

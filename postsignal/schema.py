@@ -27,11 +27,28 @@ RUNS = """
     seen bigint, inserted bigint, errors array<string>
 """
 
-# One page of search results, as returned by the search API.
+# Moments of signals per write, and per window: see operators/moments.py.
+SIGNAL_PARTS = """
+    total_posts bigint, positive_posts bigint, negative_posts bigint, neutral_posts bigint,
+    composite_signal_n bigint, composite_signal_mean double, composite_signal_m2 double,
+    sentiment_score_n bigint, sentiment_score_mean double, sentiment_score_m2 double,
+    engagement_score_n bigint, engagement_score_mean double, engagement_score_m2 double, sign int
+"""
+
+LATE_SIGNALS = """
+    content_hash string, ts timestamp, sentiment_score double, sentiment_label string,
+    engagement_score double, composite_signal double
+"""
+
+# What was refused: a post as JSON or the line of a page, and why.
+REFUSED = "reason string, raw string, refused_at timestamp"
+
+# One page of search results, as returned by the search API. Counters are read as
+# text, so that an unreadable one refuses its post and not the page.
 SEARCH_PAGE = """
     data array<struct<
         id: string, text: string, author_id: string, lang: string, created_at: string,
-        public_metrics: struct<like_count: bigint, retweet_count: bigint, reply_count: bigint>>>,
+        public_metrics: struct<like_count: string, retweet_count: string, reply_count: string>>>,
     includes struct<users: array<struct<id: string, username: string, name: string>>>,
     meta struct<next_token: string>,
     errors array<struct<message: string>>

@@ -12,8 +12,20 @@ from ..functions import text, values
 
 def read_search_pages(spark: SparkSession, path: str) -> DataFrame:
     """One JSON page per line; unknown keys are ignored, and a line that is no page is kept in `unreadable`."""
-    reader = spark.read.schema(f"{schema.SEARCH_PAGE}, unreadable string")
-    return reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "unreadable").json(path)
+    return _tolerant(spark.read).json(path)
+
+
+def read_page_stream(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
+    """The pages of a folder as a stream, read as `read_search_pages` reads them."""
+    reader = _tolerant(spark.readStream)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.json(folder)
+
+
+def _tolerant(reader):
+    reader = reader.schema(f"{schema.SEARCH_PAGE}, unreadable string")
+    return reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "unreadable")
 
 
 def unreadable_pages(pages: DataFrame) -> DataFrame:
@@ -31,13 +43,33 @@ def flatten_search_pages(pages: DataFrame, as_of: Column | datetime) -> DataFram
 
     The lookup stays inside the row, so nothing is shuffled. A page that also
     carries `errors` still yields its posts. A post whose time is present but
-    unreadable is dropped; a missing time becomes `as_of`.
+    unreadable is dropped; a missing time becomes `as_of`. Counters read as text
+    are null where they are unreadable.
     """
-    post = pages.select(F.explode("data").alias("p"), F.col("includes.users").alias("users"))
+    flat = examine_search_pages(pages, as_of).filter(F.col("refused").isNull()).drop("raw", "refused")
+    text_read = [c for c, kind in flat.dtypes if kind == "string" and c in ("likes", "retweets", "replies")]
+    return flat.withColumns({c: values.coerce_count(F.col(c)) for c in text_read})
+
+
+def examine_search_pages(pages: DataFrame, as_of: Column | datetime) -> DataFrame:
+    """As `flatten_search_pages`, with all that was read: `refused` says why a row is no post.
+
+    `raw` is the post or the line as it was read. Counters keep the type they were read in.
+    """
+    line = F.col("unreadable") if "unreadable" in pages.columns else F.lit(None).cast("string")
+    post = pages.select(
+        F.explode_outer(F.when(line.isNull(), F.col("data"))).alias("p"), F.col("includes.users").alias("users"),
+        line.alias("line"),
+    ).filter(F.col("p").isNotNull() | F.col("line").isNotNull())
     author = F.get(F.filter("users", lambda u: u.id == F.col("p.author_id")), 0)
-    metric = lambda name: F.coalesce(F.col(f"p.public_metrics.{name}"), F.lit(0).cast("bigint"))
+
+
+    def metric(name: str) -> Column:
+        read = F.col(f"p.public_metrics.{name}")
+        return F.coalesce(read, F.lit("0").cast(dict(post.select(read).dtypes)[name]))
+
     content = F.coalesce(F.col("p.text"), F.lit(""))
-    return post.select(
+    flat = post.select(
         F.coalesce(author.username, F.lit("unknown")).alias("username"),
         _created(F.col("p.created_at"), as_of).alias("ts"),
         content.alias("content"),
@@ -49,7 +81,10 @@ def flatten_search_pages(pages: DataFrame, as_of: Column | datetime) -> DataFram
         F.col("p.id").alias("tweet_id"),
         values.link_by_id(F.col("p.id")).alias("url"),
         text.content_hash(content).alias("content_hash"),
-    ).filter(F.col("ts").isNotNull())
+        F.struct("line", "p").alias("raw"),
+    )
+    why = F.when(F.col("raw.line").isNotNull(), F.lit("unreadable page")).when(F.col("ts").isNull(), F.lit("bad time"))
+    return flat.withColumn("refused", why)
 
 
 def normalize_alt_posts(raw: DataFrame, as_of: Column | datetime) -> DataFrame:

@@ -7,27 +7,23 @@ per micro-batch under the batch's number, so a replayed batch replaces itself.
 from __future__ import annotations
 
 import threading
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from .. import schema
 from ..functions.values import as_column
 from ..operators import summary
-from ..operators.filters import since
-from ..plans.analyze import build_signals, signal_store
-from ..plans.collect import clean_posts
+from ..operators.filters import reject_reason
+from ..operators.textvec import TextVectors
+from ..plans.analyze import build_signals, signal_moments, signal_store, store_signals
+from ..plans.collect import Stored, clean_posts, judge_posts, store_judged
 from ..sources import run_ledger
-from ..sources.search_results import flatten_search_pages
-from ..sources.tables import StoredTable
+from ..sources.search_results import examine_search_pages, flatten_search_pages, read_page_stream
+from ..sources.tables import post_store, refused_store
 
-
-def read_page_stream(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
-    reader = spark.readStream.schema(schema.SEARCH_PAGE)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.json(folder)
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def ingest(pages: DataFrame, as_of: Column | datetime | None = None) -> DataFrame:
@@ -36,6 +32,12 @@ def ingest(pages: DataFrame, as_of: Column | datetime | None = None) -> DataFram
     return clean_posts(flatten_search_pages(pages, as_of), as_of)
 
 
+def examine(pages: DataFrame, as_of: Column | datetime | None = None) -> DataFrame:
+    """Search pages to judged posts: with `reason` null for good ones, else with what was read in `raw`."""
+    as_of = as_column(as_of)
+    return judge_posts(examine_search_pages(pages, as_of), as_of)
+
+
 def start_ingest(posts: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Append clean posts to a Parquet folder."""
     writer = posts.writeStream.format("parquet").option("path", path)
@@ -47,68 +49,111 @@ def dedupe_within(posts: DataFrame, delay: str = "1 day") -> DataFrame:
     return posts.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["content_hash"])
 
 
+def start_unique(posts: DataFrame, path: str, checkpoint: str, delay: str = "1 day", **trigger) -> StreamingQuery:
+    """Append the first post of every hash within `delay` of event time to a Parquet folder.
+
+    The hashes are held by Spark's RocksDB state store, on the executors' disks and
+    with its changes in the checkpoint folder, and are evicted behind the watermark:
+    what is held grows with the posts of twice the `delay`, not with the stream. Posts older
+    than the watermark are dropped; `state_report` counts them.
+    """
+    spark = posts.sparkSession
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)  # a query keeps what it was started with
+    try:
+        return start_ingest(dedupe_within(posts, delay), path, checkpoint, **trigger)
+    finally:
+        spark.conf.unset(STATE_STORE) if before is None else spark.conf.set(STATE_STORE, before)
+
+
+def state_report(query: StreamingQuery) -> list[dict]:
+    """Per micro-batch: state rows held, bytes held, and rows dropped behind the watermark."""
+    return [
+        {
+            "batch": p["batchId"], "held": s["numRowsTotal"], "bytes": s["memoryUsedBytes"],
+            "dropped": s["numRowsDroppedByWatermark"],
+        }
+        for p in query.recentProgress for s in p["stateOperators"]
+    ]
+
+
 def start_store(
-    posts: DataFrame, table_path: str, ledger_path: str | None, checkpoint: str, **trigger
+    posts: DataFrame, table_path: str, ledger_path: str | None, checkpoint: str, refused_path: str | None = None,
+    **trigger,
 ) -> StreamingQuery:
-    """Exact de-duplication against everything stored, whoever stored it; a ledger run per batch.
+    """Store what is new in every batch, whoever stored the rest; a ledger run per batch.
 
-    `seen` counts the batch's different posts, `inserted` those that are new to the store.
+    A post is new if neither its hash nor its id is stored or came earlier in
+    the batch. `posts` come from `examine` or `ingest`. Every batch has two sinks: good posts go
+    to the store, refused posts and pages with their reason to `refused_path`. `seen` counts
+    the batch's different good posts, `inserted` those stored, and the run's notes
+    list the refused by reason.
     """
     spark = posts.sparkSession
 
-    def store(batch: DataFrame, owner: str) -> None:
-        table = StoredTable(spark, table_path, schema.POSTS)
-        started = datetime.now(timezone.utc)
-        batch.persist()
-        try:
-            if ledger_path:
-                run_ledger.record_run(spark, ledger_path, owner, started)
-            made = table.insert_if_absent(batch, "content_hash", ["ts", "tweet_id"], owner)
-            if ledger_path:
-                run_ledger.record_run(
-                    spark, ledger_path, owner, started, "completed", datetime.now(timezone.utc),
-                    seen=batch.select("content_hash").distinct().count(), inserted=table.generation(made).count(),
-                )
-        except Exception as error:
-            if ledger_path:
-                run_ledger.record_run(
-                    spark, ledger_path, owner, started, "failed", datetime.now(timezone.utc), errors=[str(error)]
-                )
-            raise
-        finally:
-            batch.unpersist()
+    def store(batch: DataFrame, owner: str) -> Stored:
+        refused = refused_store(spark, refused_path) if refused_path else None
+        return store_judged(post_store(spark, table_path), _judged(batch), ["ts", "tweet_id"], owner, refused)
 
-    return _for_each(posts, store, checkpoint, trigger)
+    return for_each(posts, _recorded(spark, store, ledger_path), checkpoint, trigger)
 
 
 def start_signals(
     posts: DataFrame, posts_path: str, signals_path: str, as_of: datetime | None, checkpoint: str,
-    lookback_hours: int | None = None, **trigger,
+    lookback_hours: int | None = None, ledger_path: str | None = None, refused_path: str | None = None,
+    vectors: TextVectors | None = None, moments_path: str | None = None, **trigger,
 ) -> StreamingQuery:
-    """Store each batch's new posts, score them and upsert their signals.
+    """Store each batch's new posts as `start_store` does, score them and upsert their signals.
 
     Only posts new to the store are scored: a later copy of a stored text keeps
     the stored post's time and signal. With `lookback_hours`, every batch scores
-    the whole window before its time anew instead, whoever stored the posts.
-    Replays give the same tables. `as_of` None stamps each batch with its own time.
+    the whole window before its time anew instead, whoever stored the posts; only
+    the window's days are read. Replays give the same tables. `as_of` None stamps each
+    batch with its own time. `vectors` is a fitted model (see `textvec.load`); without one,
+    vectors are empty. With `moments_path`, the moments of all stored signals are kept there.
     """
     spark = posts.sparkSession
 
-    def score(batch: DataFrame, owner: str) -> None:
-        stored = StoredTable(spark, posts_path, schema.POSTS)
+    def score(batch: DataFrame, owner: str) -> Stored:
+        table = post_store(spark, posts_path)
+        refused = refused_store(spark, refused_path) if refused_path else None
+        stored = store_judged(table, _judged(batch), ["ts", "tweet_id"], owner, refused)
+        now = as_of or datetime.now(timezone.utc)
+        if lookback_hours is None:
+            chosen = table.generation(stored.generation)
+        else:
+            chosen = table.read(since=now - timedelta(hours=lookback_hours))
+        moments = signal_moments(spark, moments_path) if moments_path else None
+        store_signals(signal_store(spark, signals_path), build_signals(chosen, now, vectors), owner, moments)
+        return stored
+
+    return for_each(posts, _recorded(spark, score, ledger_path), checkpoint, trigger)
+
+
+def _judged(batch: DataFrame) -> DataFrame:
+    return batch if "reason" in batch.columns else batch.withColumn("reason", reject_reason())
+
+
+def _recorded(spark: SparkSession, action, ledger_path: str | None):
+    """The action on a persisted batch, with a ledger run: running, then completed or failed."""
+
+    def run(batch: DataFrame, owner: str) -> None:
+        started = datetime.now(timezone.utc)
+        note = lambda *state, **more: ledger_path and run_ledger.record_run(
+            spark, ledger_path, owner, started, *state, **more
+        )
+        note()
         batch.persist()
         try:
-            made = stored.insert_if_absent(batch, "content_hash", ["ts", "tweet_id"], owner)
+            done = action(batch, owner)
+        except Exception as error:
+            note("failed", datetime.now(timezone.utc), errors=[str(error)])
+            raise
         finally:
             batch.unpersist()
-        now = as_of or datetime.now(timezone.utc)
-        if lookback_hours is None:
-            chosen = stored.generation(made)
-        else:
-            chosen = stored.read().filter(since(now, lookback_hours))
-        signal_store(spark, signals_path).upsert(build_signals(chosen, now), owner=owner)
+        note("completed", datetime.now(timezone.utc), seen=done.seen, inserted=done.inserted, errors=done.notes)
 
-    return _for_each(posts, score, checkpoint, trigger)
+    return run
 
 
 def hourly(signals: DataFrame, delay: str = "1 hour", width: str = "1 hour") -> DataFrame:
@@ -129,7 +174,7 @@ def start_summary(aggregated: DataFrame, path: str, checkpoint: str, mode: str =
         number = owner.rpartition(".")[2]
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return _for_each(aggregated, save, checkpoint, trigger, mode)
+    return for_each(aggregated, save, checkpoint, trigger, mode)
 
 
 def last_summary(spark: SparkSession, path: str) -> DataFrame:
@@ -142,7 +187,7 @@ def _trigger(trigger: dict) -> dict:
     return trigger or {"availableNow": True}
 
 
-def _for_each(df: DataFrame, action, checkpoint: str, trigger: dict, mode: str = "append") -> StreamingQuery:
+def for_each(df: DataFrame, action, checkpoint: str, trigger: dict, mode: str = "append") -> StreamingQuery:
     """Run `action(batch, owner)` per micro-batch.
 
     The owner is the query's lasting id and the batch's number: the same for a

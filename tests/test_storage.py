@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from postsignal import schema, scratch_path
 from postsignal.plans import analyze, collect, queries, report
 from postsignal.sources import post_files, run_ledger, search_results
-from postsignal.sources.tables import StoredTable
+from postsignal.sources.tables import StoredTable, post_store
 
 NOW = datetime(2025, 1, 10)
 
@@ -64,7 +64,7 @@ def test_collect_analyse_report(spark):
     assert stamps == {NOW}
     assert table.read().count() == 4
 
-    posts = StoredTable(spark, posts_path, schema.POSTS).read()
+    posts = post_store(spark, posts_path).read()
     assert '"total_signals":4' in report.statistics(posts, table.read(), NOW).first().document
     frames = report.chart_frames(posts, table.read())
     assert frames["signal_over_time"].count() == 4

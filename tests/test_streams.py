@@ -1,15 +1,23 @@
+import json
+import os
+import re
+from collections import Counter
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from postsignal import schema, scratch_path
 from postsignal.functions.scoring import analyze_posts
+from postsignal.operators import textvec
+from postsignal.operators.summary import stored_signal_summary
 from postsignal.plans import fixtures
-from postsignal.plans.analyze import signal_store
-from postsignal.sources import run_ledger
-from postsignal.sources.tables import StoredTable
-from postsignal.streaming import streams
+from postsignal.plans.analyze import signal_moments, signal_store, stored_summary
+from postsignal.sources import run_ledger, search_results
+from postsignal.sources.tables import post_store, refused_store
+from postsignal.streaming import streams, windows
 
 SF_DIR = "/root/testdata/sf0.001"
 NOW = datetime(2024, 2, 1)
@@ -21,7 +29,7 @@ def pages(spark):
 
 
 def posts(spark, folder, files=1):
-    return streams.ingest(streams.read_page_stream(spark, folder, files), NOW)
+    return streams.ingest(search_results.read_page_stream(spark, folder, files), NOW)
 
 
 def finish(query):
@@ -36,7 +44,7 @@ def distinct_posts(spark):
 def test_store_dedupes_over_batches_and_keeps_a_ledger(spark, pages):
     table_path, ledger, state = (scratch_path(spark, n) for n in ("t", "l", "s"))
     finish(streams.start_store(posts(spark, pages), table_path, ledger, state))
-    table = StoredTable(spark, table_path, schema.POSTS)
+    table = post_store(spark, table_path)
     assert table.read().count() == distinct_posts(spark)
     runs = run_ledger.read_runs(spark, ledger)
     sums = runs.agg(F.sum("seen").alias("seen"), F.sum("inserted").alias("inserted")).first()
@@ -78,3 +86,186 @@ def test_append_mode_emits_closed_windows_once(spark, pages):
     assert len(hours) == len(set(hours))
     assert complete.count() - 3 <= len(hours) < complete.count()
     assert max(hours) <= newest - timedelta(hours=1)
+
+
+LINES = [
+    '{"data":[{"id":"1","text":"buy #nifty50","author_id":"7","created_at":"2024-01-05T10:00:00Z",'
+    '"public_metrics":{"like_count":3}},'
+    '{"id":"2","text":"sell it","created_at":"2024-01-05T10:00:00Z","public_metrics":{"like_count":"n/a"}},'
+    '{"id":"3","text":"hold","created_at":"soon"},{"id":"4","text":" \\t ","created_at":"2024-01-05T10:00:00Z"}],'
+    '"includes":{"users":[{"id":"7","username":"u"}]}}',
+    "not json",
+    '{"data":[{"id":"1","text":"another text","created_at":"2024-01-05T11:00:00Z"},'
+    '{"id":"5","text":"buy  #nifty50","created_at":"2024-01-05T11:00:00Z"},'
+    '{"id":"6","text":"fine","created_at":"2024-01-05T12:00:00Z"}]}',
+]
+
+
+def started(spark, tmp_path, lines, **more):
+    """A store stream over pages, one file each: (posts, refused, runs)."""
+    folder = tmp_path / "pages"
+    folder.mkdir(exist_ok=True)
+    for n, line in enumerate(lines):
+        (folder / f"{len(list(folder.iterdir()))}-{n}.json").write_text(line + "\n")
+    stream = streams.examine(search_results.read_page_stream(spark, str(folder), 1), NOW)
+    paths = [str(tmp_path / n) for n in ("posts", "ledger", "state", "refused")]
+    finish(streams.start_store(stream, *paths, **more))
+    refused = refused_store(spark, paths[3]).read().collect()
+    return post_store(spark, paths[0]), refused, run_ledger.read_runs(spark, paths[1]).collect()
+
+
+def test_refused_posts_and_pages_are_kept_with_their_reason(spark, tmp_path):
+    table, refused, runs = started(spark, tmp_path, LINES[:2])
+    assert [r.content for r in table.read().collect()] == ["buy #nifty50"]
+    assert sorted((r.reason, ("n/a" in r.raw, "soon" in r.raw, r.raw == "not json")) for r in refused) == [
+        ("bad likes", (True, False, False)), ("bad time", (False, True, False)), ("unreadable page", (False, False, True)),
+    ]
+    assert sorted((r.seen, r.inserted, tuple(r.errors)) for r in runs) == [
+        (0, 0, ("unreadable page: 1",)), (1, 1, ("bad likes: 1", "bad time: 1")),
+    ]
+    # A restart from the same state adds nothing; a new state writes the refused rows of its own batches.
+    again = started(spark, tmp_path, [])
+    assert len(again[1]) == 3 and table.read().count() == 1
+
+
+def test_ids_and_hashes_are_unique_over_batches(spark, tmp_path):
+    table, _, runs = started(spark, tmp_path, [LINES[0], LINES[2]])
+    kept = {(r.tweet_id, r.content) for r in table.read().collect()}
+    # Either page may come first: id 1 has one text, and the text of both pages has one id.
+    assert len({i for i, _ in kept}) == len({c for _, c in kept}) == len(kept)
+    assert ("6", "fine") in kept and len(kept) in (2, 3)
+    assert sum(r.inserted for r in runs) == len(kept)
+
+
+def test_a_text_that_is_stored_takes_no_id(spark, tmp_path):
+    table = post_store(spark, str(tmp_path / "t"))
+    row = lambda i, c: (i, c, c)
+    posts = lambda *rows: conform(spark.createDataFrame([row(*r) for r in rows], "tweet_id string, content string, content_hash string"))
+    table.insert(posts(("1", "a"), (None, "b"), (None, "c")), ["content"])
+    table.insert(posts(("2", "a"), ("2", "d"), ("1", "e"), (None, "f"), (None, "b")), ["content"])
+    assert sorted((r.content, r.tweet_id) for r in table.read().collect()) == [
+        ("a", "1"), ("b", None), ("c", None), ("d", "2"), ("f", None),
+    ]
+
+
+def conform(df):
+    """The rows with all columns of posts, null where they have none."""
+    fields = StructType.fromDDL(schema.POSTS).fields
+    return df.select(*[F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_second_batch_reads_only_its_parts_of_the_stored_values(spark, tmp_path):
+    table = post_store(spark, str(tmp_path / "t"))
+    names = [f"text {n}" for n in range(400)]
+    one = lambda texts: conform(spark.createDataFrame([(t, t) for t in texts], "content string, content_hash string"))
+    table.insert(one(names), ["content"])
+    taken = table.taken("content_hash", one(["text 7", "new"]))
+    assert [r.content_hash for r in taken.collect()] == ["text 7"]
+    files = spark.read.parquet(f"{table.path}/values").select("value", "of", "part").filter("of = 'content_hash'")
+    parts = {r.part for r in files.filter("value in ('text 7')").collect()}
+    pushed = re.search(r"PartitionFilters: \[[^\n]*part#\d+ (IN|=) [^\n]*", plan_of(taken)).group(0)
+    assert len(parts) == 1 and f"{parts.pop()}" in pushed
+    assert files.select("part").distinct().count() > 2
+
+
+def test_a_look_back_reads_the_days_it_needs(spark, tmp_path):
+    table = post_store(spark, str(tmp_path / "t"))
+    rows = [(f"t{n}", f"t{n}", NOW - timedelta(hours=12 * n + 1)) for n in range(60)]
+    table.insert(conform(spark.createDataFrame(rows, "content string, content_hash string, ts timestamp")), ["ts"])
+    recent = table.read(since=NOW - timedelta(hours=24))
+    assert sorted(r.content for r in recent.collect()) == ["t0", "t1"]
+    plan = plan_of(recent)
+    assert re.search(r"PartitionFilters: \[[^\]]*_day#\d+ >= ", plan)
+    days = [p.name for p in (tmp_path / "t").glob("gen=*/_day=*")]
+    assert len(days) == 30 and len({d for d in days if d >= f"_day={(NOW - timedelta(hours=24)).date()}"}) == 1
+
+
+def test_state_is_bounded_and_late_posts_are_counted(spark, tmp_path):
+    """Posts of ten days, one file a day: a hash is held for the delay of two days, and the watermark is as far behind."""
+    folder = tmp_path / "posts"
+    folder.mkdir()
+    ddl = "content string, content_hash string, ts timestamp"
+    for day in range(10):
+        at = lambda hour: (NOW + timedelta(days=day, hours=hour)).isoformat()
+        texts = [f"{day}-{n}" for n in range(20)] + ["every day"]
+        lines = [json.dumps({"content": t, "content_hash": t, "ts": at(n % 20)}) for n, t in enumerate(texts)]
+        if day == 9:
+            lines.append(json.dumps({"content": "late", "content_hash": "late", "ts": NOW.isoformat()}))
+        (folder / f"{day}.json").write_text("\n".join(lines))
+        os.utime(folder / f"{day}.json", (1000 + day, 1000 + day))
+    stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).json(str(folder))
+    path = str(tmp_path / "unique")
+    query = streams.start_unique(stream, path, str(tmp_path / "state"), "2 days")
+    finish(query)
+    assert spark.conf.get(streams.STATE_STORE, None) is None
+    report = streams.state_report(query)
+    assert max(r["held"] for r in report) <= 5 * 21 and sum(r["dropped"] for r in report) == 1
+    got = Counter(r.content for r in spark.read.parquet(path).collect())
+    assert sum(n for t, n in got.items() if t != "every day") == 200 and "late" not in got
+    assert 2 <= got["every day"] < 10
+
+
+def test_closed_windows_and_late_rows(spark, tmp_path):
+    """Windows appear once, when the newest time is an hour behind their end; later rows of theirs are kept apart."""
+    folder = tmp_path / "signals"
+    folder.mkdir()
+    ddl = schema.LATE_SIGNALS
+    waves = [[("a", 0), ("b", 30)], [("c", 50), ("d", 130)], [("e", 59), ("f", 70)], [], [("g", 500)]]
+    for n, wave in enumerate(waves):
+        rows = [
+            {"content_hash": h, "ts": (NOW + timedelta(minutes=m)).isoformat(), "sentiment_score": 1.0, "sentiment_label": "positive",
+             "engagement_score": 0.5, "composite_signal": m / 100}
+            for h, m in wave
+        ]
+        (folder / f"{n}.json").write_text("\n".join(map(json.dumps, rows)))
+        os.utime(folder / f"{n}.json", (1000 + n, 1000 + n))
+    stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).json(str(folder))
+    path, state = str(tmp_path / "windows"), str(tmp_path / "state")
+    finish(windows.start_windows(stream, path, state))
+    found = windows.WindowFolder(spark, path)
+    closed = {r.window_start: (r.total_posts, round(r.mean_signal, 6), round(r.std_signal, 6)) for r in found.closed().collect()}
+    # 130 minutes close the first hour; e comes after that, f does not.
+    assert closed == {
+        NOW: (3, round((0 + 0.3 + 0.5) / 3, 6), round(float(np.std([0, 0.3, 0.5])), 6)),
+        NOW + timedelta(hours=1): (1, 0.7, 0.0), NOW + timedelta(hours=2): (1, 1.3, 0.0),
+    }
+    assert [(r.content_hash, r.window_end, r.watermark) for r in found.late_rows().collect()] == [
+        ("e", NOW + timedelta(hours=1), NOW + timedelta(minutes=70))
+    ]
+    finish(windows.start_windows(stream, path, state))
+    assert found.closed().count() == 3 and found.late_rows().count() == 1
+
+
+def test_signal_stream_keeps_a_ledger_vectors_and_moments(spark, pages, tmp_path):
+    model = textvec.fit(fixtures.posts(spark, SF_DIR), config=textvec.VectorConfig(max_features=40, components=3))
+    textvec.save(model, spark, str(tmp_path / "model"))
+    paths = {n: str(tmp_path / n) for n in ("posts", "signals", "state", "ledger", "moments")}
+    query = streams.start_signals(
+        posts(spark, pages, 8), paths["posts"], paths["signals"], NOW, paths["state"], ledger_path=paths["ledger"],
+        vectors=textvec.load(spark, str(tmp_path / "model")), moments_path=paths["moments"],
+    )
+    finish(query)
+    stored = signal_store(spark, paths["signals"]).read()
+    assert {r.n for r in stored.select(F.size("tfidf").alias("n")).distinct().collect()} == {3}
+    runs = run_ledger.read_runs(spark, paths["ledger"])
+    assert {r.status for r in runs.collect()} == {"completed"}
+    assert runs.agg(F.sum("inserted")).first()[0] == stored.count()
+    kept = stored_summary(signal_moments(spark, paths["moments"])).first().asDict()
+    assert kept == pytest.approx(stored_signal_summary(stored).first().asDict())
+
+
+def test_a_failing_batch_is_recorded(spark, tmp_path):
+    (tmp_path / "pages").mkdir()
+    (tmp_path / "pages" / "1.json").write_text(LINES[0])
+    stream = streams.examine(search_results.read_page_stream(spark, str(tmp_path / "pages")), NOW)
+    (tmp_path / "posts").write_text("a file where the store should be")
+    ledger = str(tmp_path / "ledger")
+    query = streams.start_store(stream, str(tmp_path / "posts"), ledger, str(tmp_path / "state"))
+    with pytest.raises(Exception):
+        query.awaitTermination()
+    run = run_ledger.read_runs(spark, ledger).first()
+    assert run.status == "failed" and run.errors
