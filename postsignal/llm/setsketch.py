@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +22,17 @@ BASE, RATE, TOP = 1.09, 20.0, 255
 LEAST = 80
 #: A pair is confirmed unless its registers are this many standard errors less likely at 0.8 than at their best.
 SIGMAS = 6
-#: Rounds of stars per level, members of other classes that are compared one by one, and levels of bands.
-TURNS, FEW, LEVELS = 3, 32, 3
+#: Rounds of stars per level, and levels of bands.
+TURNS, LEVELS = 2, 3
+#: Members of a bucket up to which they are compared one by one, and in blocks.
+FEW, MANY = 8, 16_384
+#: Sets on the two sides of a block, and shingles of a side.
+OUTER, INNER, WEIGHT = 256, 1024, 250_000
 
 _FACTORS = np.random.default_rng(12).integers(0, 1 << 32, REGISTERS, np.uint32) | np.uint32(1)
 _CHUNK = 512
+#: Similarities at which a likelihood is looked at.
+POINTS = 41
 
 
 def shingles(text: str, words: int = 2) -> np.ndarray:
@@ -77,7 +82,7 @@ def estimate(a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndar
     above, below = (a > b).sum(axis=1)[:, None], (a < b).sum(axis=1)[:, None]
     size_a, size_b = sizes_a[:, None].astype(float), sizes_b[:, None].astype(float)
     highest = np.minimum(size_a, size_b) / np.maximum(size_a, size_b)
-    grid = np.linspace(0, 1, 101)[None, :] * highest
+    grid = np.linspace(0, 1, POINTS)[None, :] * highest
     each = _log_likelihood(above, below, size_a, size_b, grid)
     best = each.argmax(axis=1)
     limit = _log_likelihood(above, below, size_a, size_b, np.minimum(LEAST / 100, highest))[:, 0]
@@ -112,7 +117,7 @@ class _Confirmed:
     def __init__(self, nodes: DataFrame, docs: DataFrame, words: int):
         self.nodes, self.words = nodes, words
         self.texts = docs.select(F.col("row").alias("node"), "text")
-        self.links: list[DataFrame] = []
+        self.roots: DataFrame | None = None
 
     def add(self, pairs: DataFrame) -> None:
         """Keep those of the pairs (a, b) that are links."""
@@ -120,20 +125,59 @@ class _Confirmed:
         known = stored(pairs, "sketch-pairs").join(end("a"), "a").join(end("b"), "b")
         likely = stored(map_batches(known, _likely, "a long, b long"), "sketch-likely")
         ends = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
+        sets = self._sets(ends)
+        side = lambda c: sets.select(F.col("node").alias(c), F.col("hashes").alias(f"set_{c}"))
+        both = likely.join(side("a"), "a").join(side("b"), "b")
+        self._join(stored(map_batches(both, _verified, "a long, b long"), "sketch-links"))
+
+    def add_blocks(self, members: DataFrame) -> None:
+        """Compare the members of open buckets outside their largest class with all of that class, and with each other.
+
+        The buckets of a class are taken together, so that copies that share many bands
+        are compared once. Both sides are cut into blocks, and a task compares two blocks
+        in arrays: by likelihood, then over the full sets. What it returns are links
+        of different classes, one for a set and another class, never the pairs.
+        """
+        rows = members.select("main", "node", "root", (F.col("root") != F.col("main")).alias("out")).distinct()
+        rows = stored(rows.join(self.nodes.select("node", "n"), "node"), "sketch-sides")
+        size = lambda which, most: F.greatest(
+            F.ceil(F.count_if(which) / most), F.ceil(F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0)) / WEIGHT), F.lit(1)
+        ).cast("int")
+        cuts = rows.groupBy("main").agg(size(F.col("out"), OUTER).alias("outer"), size(F.lit(True), INNER).alias("inner"))
+        cut = rows.join(stored(cuts, "sketch-cuts"), "main")
+        part = lambda name: F.pmod(F.xxhash64("node"), F.col(name)).cast("int")
+        every = lambda name: F.sequence(F.lit(0), F.col(name) - 1)
+        left = cut.filter("out").select("main", "node", "root", "out", F.lit(True).alias("query"), part("outer").alias("i"), F.explode(every("inner")).alias("j"))
+        right = cut.select("main", "node", "root", "out", F.lit(False).alias("query"), F.explode(every("outer")).alias("i"), part("inner").alias("j"))
+        sets = self._sets(rows.select("node").distinct()).join(self.nodes.select("node", "regs"), "node")
+        dealt = left.unionByName(right).join(sets, "node")
+        found = dealt.groupBy("main", "i", "j").applyInArrow(_block, "a long, b long")
+        self._join(stored(found, "sketch-links"))
+
+    def _sets(self, ends: DataFrame) -> DataFrame:
+        """(node, hashes) of the full sets of these nodes, stored."""
         words = self.words
 
         def hashed(batch: pa.RecordBatch) -> dict:
             found = [shingles(t, words).tobytes() for t in batch.column("text").to_pylist()]
             return {"node": batch.column("node"), "hashes": found}
 
-        sets = stored(map_batches(self.texts.join(ends, "node", "left_semi"), hashed, "node long, hashes binary"), "sketch-sets")
-        side = lambda c: sets.select(F.col("node").alias(c), F.col("hashes").alias(f"set_{c}"))
-        both = likely.join(side("a"), "a").join(side("b"), "b")
-        self.links.append(stored(map_batches(both, _verified, "a long, b long"), "sketch-links"))
+        texts = self.texts.join(ends, "node", "left_semi")
+        return stored(map_batches(texts, hashed, "node long, hashes binary"), "sketch-sets")
 
-    def roots(self) -> DataFrame:
-        """(node, root) of all linked nodes."""
-        return components(reduce(DataFrame.unionByName, self.links))
+    def _join(self, links: DataFrame) -> None:
+        """Put classes together along new links; `roots` (node, root) has all linked nodes."""
+        if self.roots is None:
+            self.roots = stored(components(links), "sketch-roots")
+            return
+        for c in "ab":
+            known = self.roots.select(F.col("node").alias(c), F.col("root").alias("top"))
+            links = links.join(known, c, "left").withColumn(c, F.coalesce("top", c)).drop("top")
+        moved = stored(components(links.filter("a != b")), "sketch-moved")
+        up = moved.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        old = self.roots.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        new = moved.join(self.roots.select("node"), "node", "left_anti").select("node", "root")
+        self.roots = stored(old.unionByName(new), "sketch-roots")
 
 
 def _likely(batch: pa.RecordBatch) -> dict:
@@ -153,6 +197,57 @@ def _verified(batch: pa.RecordBatch) -> dict:
     return {c: batch.column(c).filter(pa.array(keep, pa.bool_())) for c in "ab"}
 
 
+def _block(rows: pa.Table) -> pa.Table:
+    """Links of the block's queries with its other rows of another class."""
+    query = rows.column("query").to_numpy()
+    number, root, out = (rows.column(c).to_numpy() for c in ("node", "root", "out"))
+    regs = np.frombuffer(b"".join(rows.column("regs").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+    sets = [np.frombuffer(h, np.uint64) for h in rows.column("hashes").to_pylist()]
+    size = np.array([len(h) for h in sets])
+    one, other = np.flatnonzero(query), np.flatnonzero(~query)
+    pairs = []
+    for start in range(0, len(one), 16):
+        rows_a = one[start : start + 16]
+        a, b = np.repeat(rows_a, len(other)), np.tile(other, len(rows_a))
+        # Two members outside the largest class meet twice.
+        open_ = (root[a] != root[b]) & (~out[b] | (number[a] < number[b]))
+        open_ &= 100 * np.minimum(size[a], size[b]) >= LEAST * np.maximum(size[a], size[b])
+        a, b = a[open_], b[open_]
+        if len(a):
+            best, lead = estimate(regs[a], regs[b], size[a], size[b])
+            near = (best * 100 >= LEAST) | (2 * lead <= SIGMAS**2)
+            pairs.append((a[near], b[near]))
+    a, b = (np.concatenate([p[k] for p in pairs]) if pairs else np.zeros(0, int) for k in (0, 1))
+    if len(a):
+        both = _intersections(sets, one, other)[np.searchsorted(one, a), np.searchsorted(other, b)]
+        link = 100 * both >= LEAST * (size[a] + size[b] - both)
+        a, b = a[link], b[link]
+        # One link for a set and another class is enough for the classes.
+        _, kept = np.unique(np.stack([a, root[b]]), axis=1, return_index=True)
+        a, b = a[kept], b[kept]
+    return pa.table({"a": pa.array(number[a], pa.int64()), "b": pa.array(number[b], pa.int64())})
+
+
+def _intersections(sets: list[np.ndarray], one: np.ndarray, other: np.ndarray, columns: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of two lists of sets, by products of their incidence with some elements at a time."""
+    known = np.unique(np.concatenate([sets[i] for i in one]))
+    counts = np.zeros((len(one), len(other)), np.float64)
+    for start in range(0, len(known), columns):
+        part = known[start : start + columns]
+
+        def incidence(which: np.ndarray) -> np.ndarray:
+            out = np.zeros((len(which), len(part)), np.float32)
+            for row, i in enumerate(which):
+                own = sets[i]
+                own = own[np.searchsorted(own, part[0]) : np.searchsorted(own, part[-1], "right")]
+                at = np.searchsorted(part, own)
+                out[row, at[part[at] == own]] = 1
+            return out
+
+        counts += incidence(one) @ incidence(other).T
+    return counts.astype(np.int64)
+
+
 def _shared(keys: DataFrame) -> DataFrame:
     """Rows whose key another row has too, stored."""
     twice = keys.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
@@ -160,7 +255,7 @@ def _shared(keys: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Members of buckets that hold several classes, with their class, the bucket's largest class and how many are outside it."""
+    """Members of buckets that hold several classes, with their class, the bucket's largest class and its size."""
     if roots is None:
         named = members.withColumn("root", F.col("node"))
     else:
@@ -168,25 +263,26 @@ def _open(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     named = stored(named, "sketch-named")
     sizes = named.groupBy("key", "root").agg(F.count("*").alias("m"))
     buckets = sizes.groupBy("key").agg(
-        F.max_by("root", F.struct("m", "root")).alias("main"), (F.sum("m") - F.max("m")).alias("outside")
+        F.max_by("root", F.struct("m", "root")).alias("main"), F.count("*").alias("classes"), F.sum("m").alias("size")
     )
-    return stored(named.join(buckets.filter("outside > 0"), "key"), "sketch-open")
+    return stored(named.join(buckets.filter("classes > 1").drop("classes"), "key"), "sketch-open")
 
 
 def _stars(members: DataFrame, turn: int) -> DataFrame:
-    """Every member with its bucket's hub, another one in every turn and bucket."""
-    drawn = F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("draw"), "node", "root", "n")).alias("hub")
+    """Every member with its bucket's hub: the first in an order drawn for the turn.
+
+    The order is the same in all buckets, so that sets that share many buckets have few hubs.
+    """
+    drawn = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "root", "n")).alias("hub")
     met = members.join(members.groupBy("key").agg(drawn), "key").filter(F.col("root") != F.col("hub.root"))
     return _pairs(met.filter(_fits("n", "hub.n")), "node", "hub.node")
 
 
 def _crossed(members: DataFrame) -> DataFrame:
-    """Every member outside its bucket's largest class with all members of other classes."""
-    side = lambda c: members.select("key", *[F.col(x).alias(f"{x}_{c}") for x in ("node", "n", "root", "main")])
-    met = side("o").filter("root_o != main_o").join(side("y"), "key").filter(
-        (F.col("root_o") != F.col("root_y")) & ((F.col("root_y") == F.col("main_y")) | (F.col("node_o") < F.col("node_y")))
-    )
-    return _pairs(met.filter(_fits("n_o", "n_y")), "node_o", "node_y")
+    """Every two members of different classes of a bucket: for buckets of `FEW` members at most."""
+    side = lambda c: members.select("key", *[F.col(x).alias(f"{x}_{c}") for x in ("node", "n", "root")])
+    met = side("x").join(side("y"), "key").filter((F.col("node_x") < F.col("node_y")) & (F.col("root_x") != F.col("root_y")))
+    return _pairs(met.filter(_fits("n_x", "n_y")), "node_x", "node_y")
 
 
 def _pairs(met: DataFrame, a: str, b: str) -> DataFrame:
@@ -208,34 +304,33 @@ def _classes(nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame | None:
     """(node, root) of all linked distinct sets; None if no two share a band.
 
     Sets meet in the buckets of equal bands. No bucket is compared in all pairs:
-    in every turn its members meet one hub, drawn anew for every bucket, so that
-    copies soon are one class. Then only pairs of different classes are open. A
-    bucket with few members outside its largest class compares these with all
-    others. A bucket with more is dealt anew by a second band that must agree as
-    well: sets that share little but a common passage part there, near ones share many bands.
-    After the last level what is still open is compared.
+    first its members meet one hub, drawn anew in every turn, so that most copies are
+    one class. Then only pairs of different classes are open. Buckets of
+    few members compare these one by one, larger ones in blocks (see
+    `_Confirmed.add_blocks`). A bucket of more than `MANY` is dealt anew by a second band that must
+    agree as well: sets that share little but a common passage part there, near ones
+    share many bands. On the last level blocks take all.
     """
-    confirmed, roots = _Confirmed(nodes, docs, words), None
+    confirmed = _Confirmed(nodes, docs, words)
     each = nodes.select("node", "n", "regs", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
     members = _shared(each.select(F.xxhash64("band", _band()).alias("key"), "band", "node", "n"))
     for level in range(1, LEVELS + 1):
-        left = _open(members, roots)
+        left = _open(members, confirmed.roots)
         for turn in range(TURNS):
             if left.isEmpty():
                 break
             confirmed.add(_stars(left, turn))
-            roots = stored(confirmed.roots(), "sketch-roots")
-            left = _open(members, roots)
+            left = _open(members, confirmed.roots)
         if left.isEmpty():
             break
-        many = F.col("outside") > FEW if level < LEVELS else F.lit(False)
-        confirmed.add(_crossed(left.filter(~many)))
-        members = left.filter(many)
-        if members.isEmpty():
+        most = MANY if level < LEVELS else F.col("size")
+        confirmed.add(_crossed(left.filter(F.col("size") <= FEW)))
+        confirmed.add_blocks(left.filter((F.col("size") > FEW) & (F.col("size") <= most)))
+        many = left.filter((F.col("size") > FEW) & (F.col("size") > most))
+        if many.isEmpty():
             break
-        members = _shared(_keys(members, nodes))
-        roots = stored(confirmed.roots(), "sketch-roots")
-    return confirmed.roots() if confirmed.links else None
+        members = _shared(_keys(many, nodes))
+    return confirmed.roots
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 2) -> DataFrame:

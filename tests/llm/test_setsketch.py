@@ -73,10 +73,11 @@ def test_classes(spark, texts):
 
 
 def test_classes_of_large_buckets(spark, texts, monkeypatch):
-    """Bands of one register gather much that is not near, and buckets count as large from three members on."""
+    """Bands of one register gather much that is not near; buckets are split from 20 members on, and blocks are small."""
     monkeypatch.setattr(setsketch, "ROWS", 1)
-    monkeypatch.setattr(setsketch, "FEW", 2)
     monkeypatch.setattr(setsketch, "TURNS", 1)
+    for name, value in (("FEW", 2), ("MANY", 20), ("OUTER", 8), ("INNER", 16)):
+        monkeypatch.setattr(setsketch, name, value)
     assert found(table(spark, texts)) == brute(texts)
 
 
