@@ -30,11 +30,9 @@ def top_per_group(df: DataFrame, keys: list, order_by: list, n: int, lanes: int
     return _ranked(_ranked(laned, [*keys, "_lane"], order_by, n).drop("_lane"), keys, order_by, n)
 
 
-def newest(df: DataFrame, n: int, ts: str = "ts", key: str = "content_hash", lanes: int = LANES) -> DataFrame:
-    """The newest n rows. Lanes bound what the last task sees to n rows each."""
-    order = [F.desc(ts), F.asc(key)]
-    laned = df.withColumn("_lane", F.spark_partition_id() % lanes)
-    return _ranked(laned, ["_lane"], order, n).drop("_lane").orderBy(*order).limit(n)
+def newest(df: DataFrame, n: int, ts: str = "ts", key: str = "content_hash") -> DataFrame:
+    """The newest n rows: every task keeps a heap of n."""
+    return df.orderBy(F.desc(ts), F.asc(key)).limit(n)
 
 
 def page(df: DataFrame, order_by: list[Column], number: int, size: int) -> DataFrame:
@@ -110,10 +108,9 @@ def select_topics(
     """Per topic, the posts of its first non-empty tier; tiers include earlier ones.
 
     `recent` filters the result, or with `recency_first` also what counts as
-    non-empty. The tier table has one row per topic.
+    non-empty. The tier table has one row per topic; Spark broadcasts it if it is small.
     """
     pool = matched.filter(recent) if recent is not None and recency_first else matched
     best = pool.groupBy("topic").agg(F.min("tier").alias("_best"))
     chosen = matched if recent is None else matched.filter(recent)
-    # `best` holds one row per topic of a short parameter list.
-    return chosen.join(F.broadcast(best), "topic").filter(F.col("tier") <= F.col("_best")).drop("_best")
+    return chosen.join(best, "topic").filter(F.col("tier") <= F.col("_best")).drop("_best")

@@ -30,6 +30,9 @@ from . import rangefinder
 VOCABULARY_BOUND, RANDOMISED_BOUND = 4096, 1 << 18
 # How many times the vocabulary's size of frequent words is looked at.
 FREQUENT_WORDS = 4
+# Terms that a sketch of frequent terms tracks; a term it has lost is at most this share of
+# all terms, which is what Spark's sketch of that size guarantees.
+TRACKED = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -60,18 +63,20 @@ def term_list(content: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Colu
     return text.ngrams_1_2(token_list(content, stop_words))
 
 
-def term_counts(terms: DataFrame, column: str = "terms") -> DataFrame:
-    """Per term its total count `ctf` and document count `df`.
+def term_counts(terms: DataFrame, column: str = "terms", among: DataFrame | None = None) -> DataFrame:
+    """Per term its total count `ctf` and document count `df`; of all terms, or of a bounded table `among`.
 
     Each document contributes its terms and, after them, its distinct terms, so
     both counts come from one aggregation by term and no (document, term) shuffle.
     """
     seen = F.concat(column, F.array_distinct(column))
+    # The outer form does not compute the term list twice to test its size.
+    each = terms.select(F.size(column).alias("_n"), F.posexplode_outer(seen).alias("_pos", "term"))
+    each = each.filter(F.col("term").isNotNull())
+    if among is not None:
+        each = each.join(F.broadcast(among), "term", "left_semi")
     return (
-        # The outer form does not compute the term list twice to test its size.
-        terms.select(F.size(column).alias("_n"), F.posexplode_outer(seen).alias("_pos", "term"))
-        .filter(F.col("term").isNotNull())
-        .groupBy("term")
+        each.groupBy("term")
         .agg(
             F.count_if(F.col("_pos") < F.col("_n")).alias("ctf"),
             F.count_if(F.col("_pos") >= F.col("_n")).alias("df"),
@@ -159,7 +164,8 @@ def choose_terms(words: DataFrame, n_docs: int, config: VectorConfig) -> list[Ro
     not all counted. A pair is never more frequent than its words: once the
     single words alone fill the vocabulary, only pairs of two words as frequent
     as its last entry can enter, and the others are dropped before counting.
-    Without such a bound every term is counted.
+    Without such a bound, a sketch finds the frequent terms (see `heavy_terms`), and
+    only where that cannot prove its result every term is counted.
     """
     words = words.select(F.col("words").alias("terms"))
     # A bounded number of rows, from the most frequent word down.
@@ -171,13 +177,34 @@ def choose_terms(words: DataFrame, n_docs: int, config: VectorConfig) -> list[Ro
     full = len(singles) == config.max_features
     if not full or (len(frequent) == reach and frequent[-1].ctf == singles[-1].ctf):
         terms = words.select(text.ngrams_1_2(F.col("terms")).alias("terms"))
-        return top_terms(prune_terms(term_counts(terms), n_docs, config), config).collect()
+        heavy = heavy_terms(terms, n_docs, config)
+        return heavy if heavy is not None else top_terms(prune_terms(term_counts(terms), n_docs, config), config).collect()
     allowed = [r.term for r in frequent if r.ctf >= singles[-1].ctf]
     pairs = words.select(frequent_pairs(F.col("terms"), allowed).alias("terms"))
     chosen = singles + top_terms(prune_terms(term_counts(pairs), n_docs, config), config).collect()
     return sorted(chosen, key=lambda r: (-r.ctf, r.term))[: config.max_features]
 
 
+def heavy_terms(terms: DataFrame, n_docs: int, config: VectorConfig) -> list[Row] | None:
+    """The `top_terms` of all term lists by a sketch of frequent items; None where it cannot prove them.
+
+    Every task keeps the counts of at most `TRACKED` terms, and the sketches merge, so the
+    distinct terms, which outnumber all else, are not shuffled. A term that the merged sketch
+    does not hold is no more frequent than its error bound. The terms that it holds
+    are counted exactly; if the last one chosen is above the bound, no other belongs among them.
+    """
+    each = terms.select(F.explode_outer("terms").alias("term")).filter(F.col("term").isNotNull())
+    # At most TRACKED terms and their counts reach the driver.
+    found = each.agg(F.count("*").alias("n"), F.expr(f"approx_top_k(term, {TRACKED}, {TRACKED})").alias("top")).first()
+    held = terms.sparkSession.createDataFrame([(item.item,) for item in found.top or []], "term string")
+    counted = sorted(term_counts(terms, among=held).collect(), key=lambda r: (-r.ctf, r.term))
+    chosen = [r for r in counted if r.df >= config.min_df and r.df <= config.max_df * n_docs][: config.max_features]
+    slots = 1 << math.ceil(math.log2(TRACKED / 0.75))
+    above = len(chosen) == config.max_features and chosen[-1].ctf > 3.5 * found.n / slots
+    # Or the sketch has lost nothing.
+    return chosen if above or sum(r.ctf for r in counted) == found.n else None
+
+
 def frequent_pairs(words: Column, allowed: list[str]) -> Column:
     """Adjacent pairs whose two words are both allowed."""
     known = F.transform(words, lambda w: F.when(w.isin(*allowed), w))

@@ -152,15 +152,16 @@ def damaged_pages(source: DataFrame) -> DataFrame:
     return pages.select(F.explode(F.when(broken, F.array(line, F.substring(line, 1, 60))).otherwise(F.array(line))).alias("value"))
 
 
-#: Days of posts in one wave of pages, waves, and how many waves late some posts are.
-WAVE_DAYS, WAVES, LATE_WAVES = 6, 5, 2
+#: Hours of posts in one wave of pages, waves, and how many waves late some posts are.
+WAVE_HOURS, WAVES, LATE_WAVES = 12, 6, 2
 
 
 def wave_folder(spark: SparkSession, sf_dir: str) -> str:
-    """Folder of JSON pages that arrive in waves by their posts' days, one file each; some posts come two waves late."""
+    """Folder of JSON pages that arrive in waves by their posts' hours, one file each; some posts come two waves late."""
     path, source = scratch_path(spark, "waves"), posts(spark, sf_dir)
     first = source.agg(F.min("ts")).scalar().cast("date")
-    wave = F.floor(F.date_diff(F.to_date("ts"), first) / WAVE_DAYS) + F.when(F.col("post_id") % 13 == 0, LATE_WAVES).otherwise(0)
+    hours = F.date_diff(F.to_date("ts"), first) * 24 + F.hour("ts")
+    wave = F.floor(hours / WAVE_HOURS) + F.when(F.col("post_id") % 13 == 0, LATE_WAVES).otherwise(0)
     sorted_out = source.withColumn("wave", F.least(wave, F.lit(WAVES - 1)))
     for n in range(WAVES):
         search_pages(sorted_out.filter(F.col("wave") == n)).coalesce(1).write.mode("append").json(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from statistics import NormalDist
 
 from ..functions.lexicon import BEARISH, BULLISH, MARKET_TAGS, STOP_WORDS
-from .fixtures import CONTENT_SQL, LATE_WAVES, TOPICS, WAVE_DAYS, WAVES
+from .fixtures import CONTENT_SQL, LATE_WAVES, TOPICS, WAVE_HOURS, WAVES
 
 MAX_POINTS, TOPIC_CAP, NEWEST, SAMPLE = 300, 50, 25, 100
 MAX_FEATURES, MIN_DF, MAX_DF = 1000, 2, 0.95
@@ -189,7 +189,7 @@ _PAGED = """, paged as (select * replace (date_trunc('second', ts) as ts,
                       case when post_id % 23 = 0 then 0 else replies end as replies) from posts)"""
 # The wave a post comes in, and the watermark that it meets: the newest time of all waves before.
 _WAVES = f"""wave as (
-      select *, least({WAVES - 1}, date_diff('day', (select min(cast(ts as date)) from paged), cast(ts as date)) // {WAVE_DAYS}
+      select *, least({WAVES - 1}, date_diff('hour', (select cast(min(cast(ts as date)) as timestamp) from paged), ts) // {WAVE_HOURS}
                       + case when post_id % 13 = 0 then {LATE_WAVES} else 0 end) as wave from scored
     ), waves as (
       select w.*, m.mark, coalesce(date_trunc('hour', ts) + interval 1 hour <= m.mark, false) as late
@@ -619,6 +619,44 @@ def statements() -> dict[str, str]:
             f"""select content_hash, max({"round(sentiment_score, 6)"}) as sentiment_score,
                        max(sentiment_label) as sentiment_label from scored group by content_hash""",
         ),
+        "stream_reanalysis_window": _with(
+            "scored now",
+            f""", stored as (select * from scored where {older(24)}
+                           qualify row_number() over (partition by content_hash order by post_id) = 1),
+                 fresh as (select content_hash, max(sentiment_score) as sentiment_score, max(sentiment_label) as sentiment_label
+                           from scored where content_hash not in (select content_hash from stored) group by content_hash)
+               select content_hash, sentiment_label,
+                      round(case when ts >= timestamp '2024-02-01' - interval 30 day then sentiment_score else -9 end, 6)
+                        as sentiment_score
+               from stored union all select content_hash, sentiment_label, round(sentiment_score, 6) from fresh""",
+        ),
+        "stream_signal_scores": _with(
+            "posts",
+            f"""{_PAGED}, {_stack("tagged hits scores features scored", "paged")}
+                select cast(post_id as varchar) as tweet_id, {_r("sentiment_score")}, sentiment_label,
+                       {_r("engagement_score")}, {_r("composite_signal")}, length({_clean("content")}) as text_length,
+                       word_count, hashtag_count, mention_count, number_count, has_market_hashtag
+                from scored qualify row_number() over (
+                  partition by content_hash order by ts, cast(post_id as varchar)) = 1""",
+        ),
+        "chart_frames": _with(
+            "sampled",
+            f""", w as (select *, case when new_n > 100 then least(100, new_n // 10) end as width from sampled),
+                 s as (select avg(composite_signal) as m, {Z95!r} * stddev_pop(composite_signal) / sqrt(count(*)) as e,
+                              avg(sentiment_score) as ms, avg(engagement_score) as me, count(*) as n from scored)
+               select chart, point, round(cast(value as double), 6) as value from (
+                 select 'signal' as chart, cast(post_id as varchar) as point, composite_signal as value from w
+                 union all select 'mean', cast(post_id as varchar),
+                   case when new_idx >= width - 1 then (select avg(o.composite_signal) from sampled o
+                     where o.new_idx between w.new_idx - w.width + 1 and w.new_idx) end from w
+                 union all select 'labels', sentiment_label, count(*) from scored group by sentiment_label
+                 union all select 'engagement', cast(post_id as varchar), engagement_score from w
+                 union all select 'summary', 'mean_signal', m from s union all select 'summary', 'error_low', e from s
+                 union all select 'summary', 'error_high', e from s union all select 'summary', 'mean_signal', m from s
+                 union all select 'summary', 'mean_sentiment', ms from s
+                 union all select 'summary', 'mean_engagement', me from s
+                 union all select 'summary', 'total_posts', n from s)""",
+        ),
         "svd_check": """select range as component, cast(0 as double) as residual, cast(0 as double) as overlap
                         from range(50)""",
         "analysis_run": _with(

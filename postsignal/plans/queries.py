@@ -7,6 +7,7 @@ without zone, so results compare exactly with the SQL in `oracle.py`.
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -805,6 +806,54 @@ def stream_reanalysis(spark, sf):
     return table.read().select("content_hash", r6("sentiment_score"), "sentiment_label")
 
 
+def stream_reanalysis_window(spark, sf):
+    """A stream that scores the posts of some days anew: stored ones from before the second day keep their stale signals."""
+    posts, path, checkpoint = (scratch_path(spark, n) for n in ("posts", "signals", "state"))
+    older = _collected(spark, sf)
+    post_store(spark, posts).insert(older, ["ts"], "run")
+    table = analyze.signal_store(spark, path)
+    table.upsert(analyze.build_signals(older, STREAM_TIME).withColumn("sentiment_score", F.lit(-9.0)))
+    stream = streams.start_signals(_pages(spark, sf), posts, path, STREAM_TIME, checkpoint, lookback_hours=24 * 30)
+    _finish(stream)
+    return table.read().select("content_hash", r6("sentiment_score"), "sentiment_label")
+
+
+def stream_signal_scores(spark, sf):
+    """All scores of a signal stream that takes its pages in one batch."""
+    path, checkpoint = scratch_path(spark, "signals"), scratch_path(spark, "state")
+    pages = search_results.read_page_stream(spark, fixtures.search_page_folder(spark, sf))
+    posts = scratch_path(spark, "unique")
+    _finish(streams.start_signals(streams.examine(pages, STREAM_TIME), posts, path, STREAM_TIME, checkpoint))
+    ids = post_store(spark, posts).read().select("content_hash", "tweet_id")
+    features = ("text_length", "word_count", "hashtag_count", "mention_count", "number_count", "has_market_hashtag")
+    return analyze.signal_store(spark, path).read().join(ids, "content_hash").select(
+        "tweet_id", r6("sentiment_score"), "sentiment_label", r6("engagement_score"), r6("composite_signal"),
+        *[F.col(f"custom_features.{c}").alias(c) for c in features],
+    )
+
+
+def chart_frames(spark, sf):
+    """The four charts' data from stored posts and signals, as points of a series."""
+    tagged = _numbered(fixtures.tagged(spark, sf)).withColumn("content_hash", F.col("post_id").cast("string"))
+    made = report.chart_frames(
+        tagged, fixtures.signals(spark, sf).withColumn("content_hash", F.col("post_id").cast("string")), max_points=MAX_POINTS
+    )
+    point = lambda frame, chart, name, value: frame.select(
+        F.lit(chart).alias("chart"), F.col(name).cast("string").alias("point"), F.round(F.col(value).cast("double"), 6).alias("value")
+    )
+    over_time = made["signal_over_time"]
+    return reduce(
+        DataFrame.unionByName,
+        [
+            point(over_time, "signal", "content_hash", "composite_signal"),
+            point(over_time, "mean", "content_hash", "rolling_mean"),
+            point(made["sentiment_distribution"], "labels", "sentiment_label", "n"),
+            point(made["engagement_vs_sentiment"], "engagement", "content_hash", "engagement_score"),
+            point(made["signal_aggregation"].filter("panel <> 'labels'"), "summary", "metric", "value"),
+        ],
+    )
+
+
 def stream_ledger(spark, sf):
     """What the ledger of a store stream adds up to."""
     path, ledger, checkpoint = (scratch_path(spark, n) for n in ("unique", "ledger", "state"))
@@ -923,6 +972,6 @@ QUERIES = {
         signal_summary_long, stream_ingest, stream_dedupe, stream_signals, stream_hourly,
         store_insert_twice, store_upsert, store_cascade, stream_into_store, stream_signals_into_store,
         stream_reanalysis, stream_ledger, stream_rejects, stream_id_guard, stream_signals_ledger, stream_dedupe_within,
-        stream_windows, stream_late, stored_summary_kept, collection_run, analysis_document, analysis_run, svd_check, gram_cells, svd_randomised, stream_signal_vectors,
+        stream_windows, stream_late, stream_reanalysis_window, stream_signal_scores, chart_frames, stored_summary_kept, collection_run, analysis_document, analysis_run, svd_check, gram_cells, svd_randomised, stream_signal_vectors,
     )
 } | {"run_ledger": run_ledger_by_day}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from postsignal import schema, scratch_path
 from postsignal.plans import analyze, collect, queries, report
-from postsignal.sources import post_files, run_ledger, search_results
+from postsignal.sources import post_files, run_ledger, search_results, tables
 from postsignal.sources.tables import StoredTable, post_store
 
 NOW = datetime(2025, 1, 10)
@@ -223,3 +223,32 @@ def test_whole_analysis_stores_vectors(spark, monkeypatch):
     queries.analysis_run(spark, "/root/testdata/sf0.001").collect()
     stored = analyze.signal_store(spark, paths[0]).read()
     assert not stored.isEmpty() and stored.filter(F.size("tfidf") == 0).isEmpty()
+
+
+def test_a_run_over_pages_notes_what_it_refuses_and_counts_without_a_job(spark, tmp_path):
+    (tmp_path / "pages").mkdir()
+    (tmp_path / "pages" / "p.json").write_text(
+        '{"data":[{"id":"1","text":"buy","created_at":"2025-01-09T00:00:00Z","public_metrics":{"like_count":"x"}},'
+        '{"id":"2","text":"buy","created_at":"2025-01-09T00:00:00Z"},{"id":"2","text":"sell","created_at":"2025-01-09T01:00:00Z"}]}\n'
+        "broken off\n"
+    )
+    pages = search_results.read_search_pages(spark, str(tmp_path / "pages"))
+    raw = search_results.examine_search_pages(pages, NOW)
+    posts, ledger, refused = (str(tmp_path / n) for n in ("posts", "ledger", "refused"))
+    done = collect.run_collection(spark, raw, posts, ledger, ["ts", "tweet_id"], NOW, "r", refused_path=refused)
+    assert (done["seen"], done["inserted"]) == (2, 1)
+    run = run_ledger.read_runs(spark, ledger).first()
+    assert run.errors == ["bad likes: 1", "unreadable page: 1", "volume 2 below 2000"]
+    kept = {r.reason: r.raw for r in tables.refused_store(spark, refused).read().collect()}
+    assert kept["unreadable page"] == "broken off" and '"like_count":"x"' in kept["bad likes"]
+
+
+def test_counts_come_from_the_write_itself(spark, tmp_path, monkeypatch):
+    judged = collect.judge_posts(raw_posts(spark, ROWS), NOW).cache()
+    table = tables.post_store(spark, str(tmp_path / "posts"))
+    counted = []
+    monkeypatch.setattr(type(judged), "count", lambda self: counted.append(self))
+    stored = collect.store_judged(table, judged, ["seq"], "r")
+    assert (stored.seen, stored.inserted, stored.notes) == (3, 3, ["bad likes: 1"]) and not counted
+    again = collect.store_judged(table, judged.limit(0), ["seq"], "nothing")
+    assert (again.seen, again.inserted, again.notes) == (0, 0, [])

@@ -168,3 +168,15 @@ def test_a_stored_model_is_the_same(spark, docs, tmp_path, fitted):
 def test_unknown_solver():
     with pytest.raises(ValueError):
         textvec.VectorConfig(solver="magic")
+
+
+@pytest.mark.parametrize("tracked, proven", [(1 << 16, True), (4096, True), (64, False)])
+def test_a_sketch_proves_its_terms_or_gives_none(spark, docs, monkeypatch, tracked, proven):
+    monkeypatch.setattr(textvec, "TRACKED", tracked)
+    config = textvec.VectorConfig(max_features=20, max_df=1.0)
+    terms = docs.select(textvec.term_list(F.col("content")).alias("terms")).cache()
+    n = terms.count()
+    expected = textvec.top_terms(textvec.prune_terms(textvec.term_counts(terms), n, config), config).collect()
+    heavy = textvec.heavy_terms(terms, n, config)
+    assert (heavy is not None) == proven
+    assert heavy is None or [tuple(r) for r in heavy] == [tuple(r) for r in expected]
