@@ -16,6 +16,8 @@ FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: Binary levels that one stored row spans: a row holds the siblings up to the next stored level.
 STRIDE = 8
 WIDTH = 1 << STRIDE
+#: Rows above the leaves, of some 400 bytes each, that are broadcast.
+MOST_BROADCAST = 100_000
 ROW_LIMIT = "spark.sql.cteRecursionRowLimit"
 
 _STEPS = ", ".join(str(n) for n in range(STRIDE))
@@ -153,9 +155,13 @@ def climb(manifest: Manifest) -> DataFrame:
     A recursive query takes all leaves from row to parent row at once, appends the
     row's siblings and folds the leaf (its forged hash, where it has one) with
     them. It ends at the root after as many steps as there are stored levels.
-    Rows above the leaves are a 255th of them.
+    Rows above the leaves are a 255th of them: up to `MOST_BROADCAST` rows, at most some 50 MB, are
+    sent to all tasks, more are joined by their name, where AQE splits the rows that most
+    leaves pass.
     """
-    spark = manifest.leaves.sparkSession
+    spark, above = manifest.leaves.sparkSession, manifest.above
+    if above.count() <= MOST_BROADCAST:
+        above = F.broadcast(above)
     steps = spark.sql(
         f"""
         with recursive climb (id, leaf, at, folded, proof, subroot, root) as (
@@ -170,7 +176,7 @@ def climb(manifest: Manifest) -> DataFrame:
         )
         select id, leaf, subroot, root, proof, folded from climb where at is null
         """,
-        leaves=manifest.leaves, above=manifest.above,
+        leaves=manifest.leaves, above=above,
     )
     with _unlimited(spark):
         return stored(steps, "merkle-climb")
