@@ -150,11 +150,15 @@ class TextVectors:
         return self.project(weighed, "_vector", output).drop("_vector")
 
 
-def stored_words(df: DataFrame, content: str, config: VectorConfig) -> DataFrame:
-    """The word lists (`words`) of all texts, written once: every later step of a fit reads them."""
+def stored_words(df: DataFrame, content: str, config: VectorConfig, keep: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """The word lists (`words`) of all texts, written once: every later step of a fit reads them.
+
+    `keep` columns go with them, so that texts need not be split again for their vectors.
+    """
     path = scratch_path(df.sparkSession, "words")
-    df.select(token_list(F.col(content), config.stop_words).alias("words")).write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    made = df.select(*keep, token_list(F.col(content), config.stop_words).alias("words"))
+    made.write.parquet(path)
+    return df.sparkSession.read.schema(made.schema).parquet(path)
 
 
 def choose_terms(words: DataFrame, n_docs: int, config: VectorConfig) -> list[Row]:
@@ -284,15 +288,32 @@ def fit(df: DataFrame, content: str = "content", config: VectorConfig | None = N
     texts are split into words a single time, and adding up the Gram matrix reads
     only the vectors.
     """
+    return fit_transform(df, [], content, config)[0]
+
+
+def fit_weigh(
+    df: DataFrame, keep: list[str], content: str = "content", config: VectorConfig | None = None, output: str = "tfidf"
+) -> tuple[TextVectors, DataFrame]:
+    """A fitted vocabulary and the sparse vectors (with the `keep` columns) of the same texts, split into words once."""
     cfg = config or VectorConfig()
-    words = stored_words(df, content, cfg)
+    words = stored_words(df, content, cfg, keep)
     model = _fit_words(words, cfg)
+    return model, model.weigh(words, output=output, words="words").select(*keep, output) if model.terms else words.select(*keep)
+
+
+def fit_transform(
+    df: DataFrame, keep: list[str], content: str = "content", config: VectorConfig | None = None, output: str = "tfidf"
+) -> tuple[TextVectors, DataFrame]:
+    """A fitted model and the component scores (with the `keep` columns) of the same texts, from their stored vectors."""
+    model, weighed = fit_weigh(df, keep, content, config, "_vector")
     if not model.terms:
         model.loadings = np.zeros((0, 0))
-        return model
+        return model, model.transform(weighed, output=output)
     path = scratch_path(df.sparkSession, "vectors")
-    model.weigh(words, output="tfidf", words="words").select("tfidf").write.parquet(path)
-    return fit_svd(model, df.sparkSession.read.parquet(path))
+    weighed.write.parquet(path)
+    vectors = df.sparkSession.read.schema(weighed.schema).parquet(path)
+    fit_svd(model, vectors, "_vector")
+    return model, model.project(vectors, "_vector", output).drop("_vector")
 
 
 def feature_map(components: Column, count: int) -> Column:

@@ -76,7 +76,11 @@ def build_signals(
         scored = scored.withColumn("tfidf", F.array().cast("array<double>"))
     else:
         scored = vectors.transform(scored)
-    return scored.withColumn("processed_at", as_column(processed_at).cast("timestamp"))
+    return _processed(scored, processed_at)
+
+
+def _processed(scored: DataFrame, at: Column | datetime | None) -> DataFrame:
+    return scored.withColumn("processed_at", as_column(at).cast("timestamp"))
 
 
 def run_analysis(
@@ -93,9 +97,14 @@ def run_analysis(
     chosen = choose_posts(posts, as_of, hours, limit)
     if chosen.isEmpty():
         raise ValueError(f"nothing to analyse within hours={hours!r}; hours=\"all\" takes the whole store")
-    vectors = textvec.fit(chosen, config=vector_config) if fit_vectors else None
+    if fit_vectors:
+        # Chosen and split into words once; the vectors carry all that scoring needs.
+        _, vectors = textvec.fit_transform(chosen, chosen.columns, config=vector_config)
+        signals = _processed(analyze_posts(vectors), as_of)
+    else:
+        signals = build_signals(chosen, as_of)
     table = signal_store(spark, signals_path)
     # The rows just written are read back, so nothing is scored twice.
     moments = signal_moments(spark, moments_path) if moments_path else None
-    made = store_signals(table, build_signals(chosen, as_of, vectors), moments=moments)
+    made = store_signals(table, signals, moments=moments)
     return summary.aggregate_signals(table.generation(made))

@@ -364,8 +364,8 @@ def idf(spark, sf):
 
 def tfidf(spark, sf):
     posts = fixtures.posts(spark, sf).select("post_id", "content")
-    model = textvec.fit_vocabulary(posts)
-    return textvec.weights_long(model.weigh(posts), model, "post_id").select("post_id", "term", r6("weight"))
+    model, weighed = textvec.fit_weigh(posts, ["post_id"])
+    return textvec.weights_long(weighed, model, "post_id").select("post_id", "term", r6("weight"))
 
 
 def svd_singular_values(spark, sf):
@@ -378,8 +378,7 @@ def svd_singular_values(spark, sf):
 
 def svd_project(spark, sf):
     posts = fixtures.posts(spark, sf).select("post_id", "content")
-    model = textvec.fit(posts)
-    scored = model.transform(posts, output="components")
+    model, scored = textvec.fit_transform(posts, ["post_id"], output="components")
     named = textvec.feature_map(F.col("components"), len(model.singular_values))
     cells = scored.select("post_id", F.explode_outer(named).alias("feature", "value"))
     return cells.filter(F.col("feature").isNotNull()).select(
