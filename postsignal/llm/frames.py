@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..session import scratch_path
 
+#: Numbers about documents up to which a table of them is broadcast: some 100 MB at most.
+MOST_BROADCAST = 1_000_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -44,6 +49,19 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def beside(docs: DataFrame, table: DataFrame, keys: list[str], how: str, weight: Column | None = None) -> DataFrame:
+    """Join texts with a stored table of some documents by null-safe keys, which `docs` keeps.
+
+    A table of at most `MOST_BROADCAST` rows (or sum of `weight`, where rows are lists) is sent to the
+    texts, so that these are not shuffled; a larger one is joined by its keys.
+    """
+    size = table.agg(F.count("*") if weight is None else F.sum(weight)).first()[0] or 0
+    names = [free_name(docs, f"_{k}_") for k in keys]
+    named = table.withColumnsRenamed(dict(zip(keys, names)))
+    on = reduce(and_, [F.col(f"`{k}`").eqNullSafe(F.col(n)) for k, n in zip(keys, names)])
+    return docs.join(F.broadcast(named) if size <= MOST_BROADCAST else named, on, how).drop(*names)
+
+
 def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """`mapInArrow` with a function from a batch to columns by name."""
     wanted = to_arrow_schema(StructType.fromDDL(schema))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
 from .components import components
-from .frames import id_and_text, map_batches, stored
+from .frames import beside, id_and_text, map_batches, stored
 
 #: Bands of a sketch, and registers of a band: of two sets with a similarity of 0.8
 #: none of the bands agrees with a chance of 1 in 70 million.
@@ -121,11 +121,12 @@ class _Confirmed:
 
     def add(self, pairs: DataFrame) -> None:
         """Keep those of the pairs (a, b) that are links."""
-        end = lambda c: self.nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("regs").alias(f"regs_{c}"))
-        known = stored(pairs, "sketch-pairs").join(end("a"), "a").join(end("b"), "b")
+        pairs = stored(pairs, "sketch-pairs")
+        met = stored(beside(self.nodes, _ends(pairs), ["node"], "inner"), "sketch-met")
+        end = lambda c: met.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("regs").alias(f"regs_{c}"))
+        known = pairs.join(end("a"), "a").join(end("b"), "b")
         likely = stored(map_batches(known, _likely, "a long, b long"), "sketch-likely")
-        ends = likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct()
-        sets = self._sets(ends)
+        sets = self._sets(_ends(likely))
         side = lambda c: sets.select(F.col("node").alias(c), F.col("hashes").alias(f"set_{c}"))
         both = likely.join(side("a"), "a").join(side("b"), "b")
         self._join(stored(map_batches(both, _verified, "a long, b long"), "sketch-links"))
@@ -149,7 +150,8 @@ class _Confirmed:
         every = lambda name: F.sequence(F.lit(0), F.col(name) - 1)
         left = cut.filter("out").select("main", "node", "root", "out", F.lit(True).alias("query"), part("outer").alias("i"), F.explode(every("inner")).alias("j"))
         right = cut.select("main", "node", "root", "out", F.lit(False).alias("query"), F.explode(every("outer")).alias("i"), part("inner").alias("j"))
-        sets = self._sets(rows.select("node").distinct()).join(self.nodes.select("node", "regs"), "node")
+        these = stored(rows.select("node").distinct(), "sketch-ends")
+        sets = self._sets(these).join(beside(self.nodes.select("node", "regs"), these, ["node"], "inner"), "node")
         dealt = left.unionByName(right).join(sets, "node")
         found = dealt.groupBy("main", "i", "j").applyInArrow(_block, "a long, b long")
         self._join(stored(found, "sketch-links"))
@@ -162,7 +164,7 @@ class _Confirmed:
             found = [shingles(t, words).tobytes() for t in batch.column("text").to_pylist()]
             return {"node": batch.column("node"), "hashes": found}
 
-        texts = self.texts.join(ends, "node", "left_semi")
+        texts = beside(self.texts, ends, ["node"], "inner")
         return stored(map_batches(texts, hashed, "node long, hashes binary"), "sketch-sets")
 
     def _join(self, links: DataFrame) -> None:
@@ -180,6 +182,12 @@ class _Confirmed:
         self.roots = stored(old.unionByName(new), "sketch-roots")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The different nodes of pairs, stored."""
+    both = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    return stored(both.distinct(), "sketch-ends")
+
+
 def _likely(batch: pa.RecordBatch) -> dict:
     rows = lambda c: np.frombuffer(b"".join(batch.column(f"regs_{c}").to_pylist()), np.uint8).reshape(-1, REGISTERS)
     size = lambda c: batch.column(f"n_{c}").to_numpy()
