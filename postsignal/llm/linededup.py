@@ -9,18 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh3_64_intdigest
 
-from .frames import blocks, free_name, id_and_text, map_batches, stored
+from .frames import beside, blocks, free_name, id_and_text, map_batches, stored
 
 #: Lines of fewer words count as equal only if all words are: one edit in five words is a similarity of 0.8.
 LEAST_WORDS = 5
-#: Bits of the broadcast filter of shared keys: about so many for each key, and a power of two between
-#: these (128 MB at most). A fuller filter lets more lines through, which costs time but changes no result.
-BITS_PER_KEY, LEAST_BITS, MOST_BITS = 32, 20, 30
-
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so they have inverses modulo 2**64
 _SUBSTITUTED, _INSERTED = 1, 2
 _SUB, _BASE, _LONGER = 0, 1, 2
-LINE = "id long, sig long, line int, ha long, hb long, n int"
+LINE = "id long, sig long, line int, ha long, hb long, k0 long, k1 long, k2 long, k3 long"
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -116,82 +112,58 @@ def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _all_lines(docs: DataFrame) -> DataFrame:
+    """Every line with words: its place, its name (ha, hb) and its half keys (k0 to k3; null where it takes no part)."""
+
     def rows(batch: pa.RecordBatch) -> dict:
-        out = {c: [] for c in ("id", "sig", "line", "ha", "hb", "n")}
+        out = {c: [] for c in ("id", "sig", "line", "ha", "hb", "k0", "k1", "k2", "k3")}
         for place, number, hashes in _hashed(batch):
             ha, hb = hashes.names()
-            for c, values in (("line", number), ("ha", ha), ("hb", hb), ("n", hashes.n)):
-                out[c].append(values)
+            for c, values in (("line", number), ("ha", ha), ("hb", hb)):
+                out[c].append(pa.array(values))
+            for k, at, keys in hashes.half_keys():
+                values, absent = np.zeros(len(place), np.int64), np.ones(len(place), bool)
+                values[at], absent[at] = keys.view(np.int64), False
+                out[f"k{k}"].append(pa.array(values, mask=absent))
             for c in ("id", "sig"):
                 out[c].append(batch.column(c).take(pa.array(place)))
-        return {
-            c: pa.concat_arrays(v) if c in ("id", "sig") else np.concatenate(v) for c, v in out.items()
-        }
+        return {c: pa.concat_arrays(v) for c, v in out.items()}
 
     return map_batches(docs, rows, LINE)
 
 
-def _half_keys(docs: DataFrame) -> DataFrame:
-    def rows(batch: pa.RecordBatch) -> dict:
-        keys, names = [], []
-        for _, _, hashes in _hashed(batch):
-            own = hashes.names()[0]
-            for _, at, found in hashes.half_keys():
-                keys.append(found.view(np.int64))
-                names.append(own[at])
-        return {"key": np.concatenate(keys), "ha": np.concatenate(names)}
-
-    return map_batches(docs, rows, "key long, ha long")
-
-
-def _filter_of(keys: DataFrame) -> np.ndarray:
-    """A bit table with two bits set for each key; few others have both. Its size is bounded."""
-    bits = min(MOST_BITS, max(LEAST_BITS, (BITS_PER_KEY * keys.count()).bit_length()))
-    mask = F.lit((1 << bits) - 1)
-    both = F.array(F.col("key").bitwiseAND(mask), F.shiftrightunsigned("key", 33).bitwiseAND(mask))
-    place = keys.select(F.explode(both).alias("p"))
-    pages = place.groupBy(F.shiftright("p", 15).alias("page")).agg(
-        F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit((1 << 15) - 1))).alias("bits")
-    )
-    table = np.zeros(1 << (bits - 3), np.uint8)
-    for row in pages.toLocalIterator():
-        table[row.page * 4096 : (row.page + 1) * 4096] = np.frombuffer(row.bits, np.uint8)
-    return table
-
-
-def _in_filter(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    found = np.ones(len(keys), bool)
-    for place in (keys & np.uint64(8 * len(table) - 1), (keys >> np.uint64(33)) & np.uint64(8 * len(table) - 1)):
-        found &= (table[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
-    return found
-
-
-def _candidates(docs: DataFrame, shared: np.ndarray) -> DataFrame:
+def _candidates(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """Distinct lines that share a half with another: first place, word hashes, and which halves (bits)."""
-    table = docs.sparkSession.sparkContext.broadcast(shared)
+    each = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"k{k}").alias("key")) for k in range(4)])
+    keyed = distinct.select("ha", "hb", F.explode(each).alias("e")).select("ha", "hb", "e.k", "e.key").filter("key is not null")
+    names = keyed.groupBy("key").agg(F.min("ha").alias("low"), F.max("ha").alias("high"))
+    shared = stored(names.filter("low != high").select("key"), "lines-shared")
+    halves = keyed.join(shared, "key", "left_semi").groupBy("ha", "hb").agg(
+        F.expr("bit_or(shiftleft(1, k))").alias("halves")
+    )
+    halves = stored(halves, "lines-halves")
+    found = halves.join(distinct.select("ha", "hb", "first"), ["ha", "hb"])
+    wanted = found.groupBy(F.col("first.id").alias("id"), F.col("first.sig").alias("sig")).agg(
+        F.collect_list(F.struct(F.col("first.line").alias("line"), "ha", "hb", "halves")).alias("chosen")
+    )
+    read = beside(docs, stored(wanted, "lines-wanted"), ["id", "sig"], "inner", F.size("chosen"))
 
     def rows(batch: pa.RecordBatch) -> dict:
         out = {c: [] for c in ("id", "sig", "line", "ha", "hb", "words", "halves")}
-        for place, number, hashes in _hashed(batch):
-            flags = np.zeros(len(place), np.int32)
-            for k, at, keys in hashes.half_keys():
-                flags[at[_in_filter(table.value, keys)]] |= 1 << k
-            found = np.flatnonzero(flags)
-            ha, hb = hashes.names()
-            out["line"] += number[found].tolist()
-            out["ha"] += ha[found].tolist()
-            out["hb"] += hb[found].tolist()
-            out["halves"] += flags[found].tolist()
-            spans = zip(hashes.start[found], hashes.start[found] + hashes.n[found])
-            out["words"] += [hashes.words[a:b].view(np.int64) for a, b in spans]
-            for c in ("id", "sig"):
-                out[c] += batch.column(c).take(pa.array(place[found])).to_pylist()
-        return out
+        for n, (text, chosen) in enumerate(zip(batch.column("text").to_pylist(), batch.column("chosen").to_pylist())):
+            lines = dict(_line_words(text))
+            for one in chosen:
+                for c in ("line", "ha", "hb", "halves"):
+                    out[c].append(one[c])
+                words = lines[one["line"]]
+                out["words"].append(np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64))
+                out["id"].append(n)
+        at = pa.array(out["id"], pa.int64())
+        return {**out, "id": batch.column("id").take(at), "sig": batch.column("sig").take(at)}
 
     schema = "id long, sig long, line int, ha long, hb long, words array<long>, halves int"
-    found = map_batches(docs, rows, schema)
-    return found.groupBy("ha", "hb").agg(
-        F.min(F.struct("id", "line", "sig")).alias("first"), F.first("words").alias("words"),
+    # Rows that repeat id and text give their lines once each.
+    return map_batches(read, rows, schema).groupBy("ha", "hb").agg(
+        F.first(F.struct("id", "line", "sig")).alias("first"), F.first("words").alias("words"),
         F.first("halves").alias("halves"),
     )
 
@@ -252,12 +224,10 @@ def within_one_edit(a, b) -> bool:
     return max(len(a), len(b)) - head - tail <= 1
 
 
-def _near(docs: DataFrame) -> DataFrame:
+def _near(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """(ha, hb) of lines with an earlier line one edit away."""
-    keys = _half_keys(docs).groupBy("key").agg(F.min("ha").alias("low"), F.max("ha").alias("high"))
-    shared = stored(keys.filter("low != high").select("key"), "lines-shared")
-    candidates = stored(_candidates(docs, _filter_of(shared)), "lines-candidates")
-    variants = _variants(candidates)
+    candidates = stored(_candidates(docs, distinct), "lines-candidates")
+    variants = stored(_variants(candidates), "lines-variants")
     me = F.struct("first", "ha", "hb")
     met = variants.groupBy("key").agg(
         F.min(F.when(F.col("role") != _LONGER, me)).alias("shorter"),
@@ -285,9 +255,11 @@ def repeated_lines(docs: DataFrame, near: bool = True) -> DataFrame:
     """
     lines = stored(_all_lines(docs), "lines")
     first = F.min(F.struct("id", "line", "sig")).alias("first")
-    gone = lines.groupBy("ha", "hb").agg(first, F.count("*").alias("n")).filter("n > 1").drop("n")
+    halves = [F.first(f"k{k}").alias(f"k{k}") for k in range(4)] if near else []
+    distinct = stored(lines.groupBy("ha", "hb").agg(first, F.count("*").alias("n"), *halves), "lines-distinct")
+    gone = distinct.filter("n > 1").select("ha", "hb", "first")
     if near:
-        late = stored(_near(docs), "lines-near").select("ha", "hb", F.lit(True).alias("all"))
+        late = stored(_near(docs, distinct), "lines-near").select("ha", "hb", F.lit(True).alias("all"))
         # A full outer join has one row per distinct line on either side: no key repeats.
         gone = gone.join(late, ["ha", "hb"], "full_outer")
     else:
@@ -312,15 +284,16 @@ def drop_repeated_lines(
 
     A null text stays null and an empty one empty; a null id ranks before all
     others. Rows that repeat both id and text are one document and keep the same
-    lines. All other columns and their order stay; an empty table gives no rows.
-    Texts are read and rewritten whole.
+    lines. All other columns and their order stay (one called as `removed` is replaced);
+    an empty table gives no rows. Texts, however long, are read and rewritten whole.
     """
     gone = stored(repeated_lines(_rows(df, id_col, text_col), near), "lines-by-document")
     own = [free_name(df, c) for c in ("_gone_id", "_gone_sig", "_gone_lines")]
     gone = gone.select(*[c.alias(n) for c, n in zip((F.col("id"), F.col("sig"), F.array_sort("lines")), own)])
     text = F.col(f"`{text_col}`").cast("string")
-    sig = F.xxhash64(F.coalesce(text, F.lit("")))
-    on = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(own[0])) & (sig == F.col(own[1]))
+    keyed = df.withColumns(
+        {own[0]: F.col(f"`{id_col}`").cast("long"), own[1]: F.xxhash64(F.coalesce(text, F.lit("")))}
+    )
 
     @F.arrow_udf("string")
     def freed(texts: pa.Array, lines: pa.Array) -> pa.Array:
@@ -332,7 +305,7 @@ def drop_repeated_lines(
             out.append(t)
         return pa.array(out, pa.string())
 
-    joined = df.join(gone, on, "left")
+    joined = beside(keyed, gone, own[:2], "left", F.size(own[2]))
     numbers = F.col(own[2])
     kept = [freed(text, numbers).alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns if c != removed]
     if removed:
