@@ -355,6 +355,7 @@ def statements() -> dict[str, str]:
                  norms as (select post_id, sqrt(sum(w * w)) as norm from parts group by post_id)
                select post_id, term, round(w / norm, 6) as weight from parts join norms using (post_id)""",
         ),
+        "svd_randomised": "select range as component, cast(0 as double) as off from range(50)",
         "gram_cells": _with(
             "weights",
             """, parts as (select post_id, term, tf * idf as w from doc_terms join weights using (term)),

@@ -123,7 +123,7 @@ def test_top_per_group_with_a_hot_group(spark):
 
 def test_newest_and_pages(spark):
     df = series(spark, 50, parts=6).select("id", "ts")
-    assert [r.id for r in ranking.newest(df, 3, key="id", lanes=2).collect()] == [49, 48, 47]
+    assert [r.id for r in ranking.newest(df, 3, key="id").collect()] == [49, 48, 47]
     assert ranking.newest(df, 0, key="id").count() == 0
     page = ranking.page(df, [F.desc("ts"), F.asc("id")], 2, 4)
     assert [r.id for r in page.collect()] == [45, 44, 43, 42]
