@@ -15,6 +15,8 @@ from .frames import id_and_text
 LEAST_SCORE = 0.6
 #: Characters before and after a span in which context words count.
 BEFORE, AFTER = 40, 20
+#: Matches of a text that are walked together.
+CHUNK = 64
 #: No pattern matches fewer characters.
 LEAST_MATCH = 4
 
@@ -102,7 +104,8 @@ def _findings(kind: Kind) -> str:
     The pieces between matches (split) and the matches give all offsets by adding
     up lengths, and the text around a match, other matches included: what stands
     before is carried along, what follows is put together from as many pieces as
-    can be needed. Texts without the hint, nearly all, cost one search.
+    can be needed. The work grows with the matches. Texts without the hint, nearly all,
+    cost one search.
     """
     pattern, number = _quoted(kind.pattern), NAMES.index(kind.name)
     near = f"concat(' ', x.before, ' ', x.after, ' ') rlike '[^a-z](?:{kind.context})[^a-z]'"
@@ -113,13 +116,24 @@ def _findings(kind: Kind) -> str:
     most = AFTER // LEAST_MATCH
     pieces = f"""flatten(zip_with(slice(v.s, i + 1, {most + 1}), slice(v.m, i + 1, {most}),
         (s, m) -> array(left(s, {AFTER}), left(m, {AFTER}))))"""
-    walk = f"""aggregate(if(size(v.m) = 0, cast(array() as array<int>), sequence(1, size(v.m))),
-        named_struct('at', 0, 'tail', '', 'spans', {empty}),
+    # An array grows by a copy of itself: matches are walked in chunks, whose first offsets are summed up first.
+    ahead = BEFORE // LEAST_MATCH
+    length = f"""aggregate(zip_with(slice(v.s, (c - 1) * {CHUNK} + 1, {CHUNK}), slice(v.m, (c - 1) * {CHUNK} + 1, {CHUNK}),
+        (s, m) -> length(s) + length(m)), 0, (t, x) -> t + x)"""
+    offsets = f"""aggregate(if(size(v.m) <= {CHUNK}, cast(array() as array<int>), sequence(1, (size(v.m) - 1) div {CHUNK})),
+        array(0), (t, c) -> concat(t, array(element_at(t, -1) + {length})))"""
+    held = f"greatest(c * {CHUNK} - {ahead - 1}, 1), {ahead}"
+    tail = f"""if(c = 0, '', right(array_join(flatten(zip_with(slice(v.s, {held}), slice(v.m, {held}),
+        (s, m) -> array(right(s, {BEFORE}), right(m, {BEFORE})))), ''), {BEFORE}))"""
+    chunk = f"""aggregate(sequence(c * {CHUNK} + 1, least((c + 1) * {CHUNK}, size(v.m))),
+        named_struct('at', o[c], 'tail', {tail}, 'spans', {empty}),
         (a, i) -> named_struct('at', {stop}, 'tail', right(concat({before}, right(v.m[i - 1], {BEFORE})), {BEFORE}),
             'spans', concat(a.spans, array(named_struct(
                 'start', {start}, 'stop', {stop}, 'match', v.m[i - 1],
                 'before', lower({before}), 'after', lower(left(array_join({pieces}, ''), {AFTER})))))),
         a -> a.spans)"""
+    walk = f"""if(size(v.m) = 0, {empty}, flatten(transform(array({offsets}), o ->
+        flatten(transform(sequence(0, cast((size(v.m) - 1) div {CHUNK} as int)), c -> {chunk})))))"""
     score = f"{kind.score}D + if({near}, 0.3D, 0D)"
     found = f"""transform(filter({walk}, x -> {kind.valid}), x -> named_struct(
         'start', x.start, 'kind', {number}, 'stop', x.stop, 'score', least(1D, {score}), 'base', {str(kind.base).lower()}))"""

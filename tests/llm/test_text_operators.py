@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import public_tokenizers
 import pyarrow as pa
@@ -92,6 +93,24 @@ def test_context_reaches_over_neighbouring_findings(spark):
     assert clean[0] == "call <phone> or <phone>" and clean[1] == "ssn <ssn>, <ssn>"
 
 
+def test_pii_work_grows_with_the_findings_of_a_text(spark):
+    """One text with up to 64,000 addresses: offsets and context as in a short one, in time that doubles as they do."""
+    seconds = {}
+    for n in (100, 16_000, 64_000):
+        text = " ".join(f"a{i}@b.c" for i in range(n))
+        frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        begun = time.perf_counter()
+        (found,) = pii.find(frame).select("base").first()
+        seconds[n] = time.perf_counter() - begun
+        want, at = [], 0
+        for i in range(n):
+            size = len(f"a{i}@b.c")
+            want.append((at, at + size))
+            at += size + 1
+        assert [(x.start, x.stop) for x in found] == want
+    assert seconds[64_000] < 8 * max(seconds[16_000], 1)
+
+
 def test_pii_awkward_rows(spark, awkward):
     rows = pii.find(awkward).collect()
     assert len(rows) == awkward.count() and not any(r.base or r.added for r in rows)
