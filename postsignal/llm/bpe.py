@@ -5,9 +5,10 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .frames import id_and_text, map_batches
+from .frames import SLICE, id_and_text, map_batches
 from .wordbpe import load
 
+
 def encode(texts: Column, path: str) -> Column:
     """Token ids (array<int>) of a text column; a null or empty text has none.
 
@@ -45,7 +46,7 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
         return {"id": batch.column("id"), "ids": ids, "decoded": load(path).decode_array(ids)}
 
     # One call makes both, since Spark would encode anew for each column that uses the ids.
-    return map_batches(id_and_text(df, id_col, text_col), rows, "id long, ids array<int>, decoded string")
+    return map_batches(id_and_text(df, id_col, text_col), rows, "id long, ids array<int>, decoded string", most=SLICE)
 
 
 def digests(coded: DataFrame) -> DataFrame:

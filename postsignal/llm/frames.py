@@ -13,6 +13,8 @@ from pyspark.sql.types import StructType
 
 from ..session import scratch_path
 
+#: Texts that a task holds as Python objects at a time.
+SLICE = 1000
 #: Numbers about documents up to which a table of them is broadcast: some 100 MB at most.
 MOST_BROADCAST = 1_000_000
 
@@ -62,13 +64,16 @@ def beside(docs: DataFrame, table: DataFrame, keys: list[str], how: str, weight:
     return docs.join(F.broadcast(named) if size <= MOST_BROADCAST else named, on, how).drop(*names)
 
 
-def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
-    """`mapInArrow` with a function from a batch to columns by name."""
+def map_batches(
+    df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: str, most: int | None = None
+) -> DataFrame:
+    """`mapInArrow` with a function from a batch, or from at most `most` rows of one, to columns by name."""
     wanted = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for start in range(0, whole.num_rows, most or max(1, whole.num_rows)):
+                batch = whole.slice(start, most)
                 columns = rows(batch)
                 arrays = [
                     c.cast(f.type) if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type)
@@ -79,6 +84,13 @@ def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: s
     return df.mapInArrow(run, schema)
 
 
+def in_slices(one: Callable[..., pa.Array], *columns: pa.Array, most: int | None = None) -> pa.Array:
+    """A function of arrays, called for at most `most` rows at a time: bounds what is held as Python objects."""
+    most = most or SLICE
+    parts = [one(*(c.slice(at, most) for c in columns)) for at in range(0, len(columns[0]), most)]
+    return pa.concat_arrays(parts) if parts else one(*columns)
+
+
 def blocks(texts: list[str], most: int = 2_000_000):
     """Consecutive runs of texts of about `most` characters, one text at least: what a task holds split at a time."""
     start, held = 0, 0

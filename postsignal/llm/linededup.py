@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh3_64_intdigest
 
-from .frames import beside, blocks, free_name, id_and_text, map_batches, stored
+from .frames import SLICE, beside, blocks, free_name, id_and_text, in_slices, map_batches, stored
 
 #: Lines of fewer words count as equal only if all words are: one edit in five words is a similarity of 0.8.
 LEAST_WORDS = 5
@@ -128,7 +128,7 @@ def _all_lines(docs: DataFrame) -> DataFrame:
                 out[c].append(batch.column(c).take(pa.array(place)))
         return {c: pa.concat_arrays(v) for c, v in out.items()}
 
-    return map_batches(docs, rows, LINE)
+    return map_batches(docs, rows, LINE, most=SLICE)
 
 
 def _candidates(docs: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -162,7 +162,7 @@ def _candidates(docs: DataFrame, distinct: DataFrame) -> DataFrame:
 
     schema = "id long, sig long, line int, ha long, hb long, words array<long>, halves int"
     # Rows that repeat id and text give their lines once each.
-    return map_batches(read, rows, schema).groupBy("ha", "hb").agg(
+    return map_batches(read, rows, schema, most=SLICE).groupBy("ha", "hb").agg(
         F.first(F.struct("id", "line", "sig")).alias("first"), F.first("words").alias("words"),
         F.first("halves").alias("halves"),
     )
@@ -297,6 +297,9 @@ def drop_repeated_lines(
 
     @F.arrow_udf("string")
     def freed(texts: pa.Array, lines: pa.Array) -> pa.Array:
+        return in_slices(some_freed, texts, lines)
+
+    def some_freed(texts: pa.Array, lines: pa.Array) -> pa.Array:
         out = []
         for t, numbers in zip(texts.to_pylist(), lines.to_pylist()):
             if t is not None and numbers:

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .frames import stored
+from .frames import in_slices, stored
 
 #: Hashed words; structure statistics and metadata follow as groups of one-hot bins.
 WORD_SLOTS = 1 << 15
@@ -170,6 +170,9 @@ def score(docs: DataFrame, model: FactorisationMachine, text: str = "text", meta
 
     @F.arrow_udf("double")
     def scores(texts: pa.Array, *numbers: pa.Array) -> pa.Array:
+        return in_slices(some, texts, *numbers)
+
+    def some(texts: pa.Array, *numbers: pa.Array) -> pa.Array:
         meta = zip(*(n.to_pylist() for n in numbers)) if numbers else iter(lambda: (), None)
         return pa.array([shared.value.score(*features(t, m)) for t, m in zip(texts.to_pylist(), meta)], pa.float64())
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
 from .components import components
-from .frames import beside, id_and_text, map_batches, stored
+from .frames import SLICE, beside, id_and_text, map_batches, stored
 
 #: Bands of a sketch, and registers of a band: of two sets with a similarity of 0.8
 #: none of the bands agrees with a chance of 1 in 70 million.
@@ -102,7 +102,7 @@ def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
         }
 
     schema = "id long, n long, digest binary, regs binary, text string"
-    made = map_batches(id_and_text(df, id_col, text_col), rows, schema)
+    made = map_batches(id_and_text(df, id_col, text_col), rows, schema, most=SLICE)
     return stored(made.withColumn("row", F.monotonically_increasing_id()), "sketches")
 
 
@@ -165,7 +165,7 @@ class _Confirmed:
             return {"node": batch.column("node"), "hashes": found}
 
         texts = beside(self.texts, ends, ["node"], "inner")
-        return stored(map_batches(texts, hashed, "node long, hashes binary"), "sketch-sets")
+        return stored(map_batches(texts, hashed, "node long, hashes binary", most=SLICE), "sketch-sets")
 
     def _join(self, links: DataFrame) -> None:
         """Put classes together along new links; `roots` (node, root) has all linked nodes."""

@@ -12,10 +12,10 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .files import create, new_folder, open_at
-from .frames import id_and_text, stored
+from .frames import SLICE, id_and_text, stored
 from .wordbpe import load
 
 MAGIC = b"WVMX1\0"
@@ -186,7 +186,7 @@ def write(
                 build(np.concatenate(parts), np.array([0, *accumulate(sizes)]), docs, out)
             return pa.RecordBatch.from_pylist([{"archive": address, "part": part, "number": number, "tokens": held}])
 
-        for batch in batches:
+        for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             names, coded = batch.column("id").to_pylist(), coder.encode_array(batch.column("text"))
             ends, ids = coded.offsets.to_numpy(), coded.values.to_numpy().astype(np.uint32)
             for name, start, stop in zip(names, ends[:-1].tolist(), ends[1:].tolist()):
@@ -207,13 +207,16 @@ def write(
 def read(shards: DataFrame) -> DataFrame:
     """(id, start, n_tokens, ids_crc32) per document, from the files of a list of shards.
 
-    `start` is the number of ids in all documents before. The totals of shards,
-    one number for `SHARD_TOKENS` ids, are added up on the driver; the ids never
-    leave the tasks that read them. Shards are dealt out one by one.
+    `start` is the number of ids in all documents before. The totals of shards are
+    added up within their part, and the parts' totals over the parts, of which there are as
+    many as range partitions; the driver gets no more than the number of shards, and the ids
+    never leave the tasks that read them. Shards are dealt out one by one.
     """
-    sizes = shards.select("part", "number", "tokens").orderBy("part", "number").collect()
-    starts = dict(zip(((r.part, r.number) for r in sizes), accumulate([0, *(r.tokens for r in sizes)])))
-    offsets = shards.sparkSession.sparkContext.broadcast(starts)
+    before = lambda window: F.coalesce(F.sum("tokens").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = shards.groupBy("part").agg(F.sum("tokens").alias("tokens"))
+    parts = parts.select("part", before(Window.orderBy("part")).alias("above"))
+    own = shards.select("archive", "part", "number", before(Window.partitionBy("part").orderBy("number")).alias("first"))
+    placed = own.join(parts, "part").select("archive", (F.col("above") + F.col("first")).alias("first"), "part", "number")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,7 +224,7 @@ def read(shards: DataFrame) -> DataFrame:
                 with open_at(one["archive"]) as file:
                     shard = Shard(file)
                     ids = shard.tokens().astype("<u4")
-                first = offsets.value[one["part"], one["number"]]
+                first = one["first"]
                 spans = list(zip(shard.starts[:-1].tolist(), shard.starts[1:].tolist()))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -233,4 +236,4 @@ def read(shards: DataFrame) -> DataFrame:
                 )
 
     schema = "id long, start long, n_tokens long, ids_crc32 long"
-    return shards.repartition(max(1, len(sizes))).mapInArrow(rows, schema)
+    return placed.repartition(max(1, shards.count())).mapInArrow(rows, schema)
