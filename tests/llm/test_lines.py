@@ -1,9 +1,12 @@
 """Line and passage de-duplication against brute force."""
 
 import random
+import re
 from collections import defaultdict
 
-from postsignal.llm import linededup, passages
+import pytest
+
+from postsignal.llm import frames, linededup, passages
 
 WORDS = "alpha beta gamma delta eps zeta eta theta iota kappa".split()
 
@@ -136,6 +139,109 @@ def test_passages_within_lines(spark):
     assert docs[1][1][span.start : span.end] == passage.upper() + " "
 
 
+def plain_units(text):
+    """(start, end, words) of sentences of five words or more, within lines."""
+    found, at = [], 0
+    for line in text.split("\n"):
+        pieces, start = re.split(r"(?<=[.!?])(\s+)", line), 0
+        sentences = ["".join(pieces[i : i + 2]) for i in range(0, len(pieces), 2)]
+        held = ""
+        for n, sentence in enumerate(sentences):
+            held += sentence
+            if len(sentence.split()) >= 5 or n == len(sentences) - 1:
+                if held.split():
+                    found.append((at + start, at + start + len(held), held.lower().split()))
+                start, held = start + len(held), ""
+        at += len(line) + 1
+    return found
+
+
+def plain_passages(docs, least):
+    """By document: spans of runs of repeated sentences, followed word by word into the sentences at their ends."""
+    own = {d: plain_units(t) for d, t in docs}
+    texts, first = dict(docs), {}
+    for d in sorted(own):
+        for n, u in enumerate(own[d]):
+            first.setdefault(tuple(u[2]), (d, n))
+    out = {}
+    for d, units in own.items():
+        late = [first[tuple(u[2])] != (d, n) for n, u in enumerate(units)]
+        spans, n = [], 0
+        while n < len(units):
+            if not late[n]:
+                n += 1
+                continue
+            last = n
+            while last + 1 < len(units) and late[last + 1]:
+                last += 1
+            start, end, words = units[n][0], units[last][1], sum(len(u[2]) for u in units[n : last + 1])
+            for side, edge in ((-1, n), (1, last)):
+                o, (e, m) = edge + side, first[tuple(units[edge][2])]
+                if not (0 <= o < len(units) and 0 <= m + side < len(own[e])):
+                    continue
+                border = units[edge][0] if side < 0 else units[o][0]
+                if border == 0 or texts[d][border - 1] == "\n":
+                    continue
+                a, b = units[o][2][::side], own[e][m + side][2][::side]
+                same = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+                places = [w.span() for w in re.finditer(r"\S+", texts[d])]
+                places = [p for p in places if units[o][0] <= p[0] < units[o][1]]
+                if same and side < 0:
+                    start = places[-same][0]
+                elif same:
+                    end = places[same - 1][1]
+                    while end < len(texts[d]) and texts[d][end] == " ":
+                        end += 1
+                words += same
+            if words >= least:
+                if spans and start <= spans[-1][1]:
+                    spans[-1] = (spans[-1][0], end)
+                else:
+                    spans.append((start, end))
+            n = last + 1
+        out[d] = spans
+    return out
+
+
+def test_passages_that_break_sentences_equal_brute_force(spark):
+    """Passages cut anywhere and put anywhere: their first and last sentence are broken."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(300)]
+    sentence = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(2, 14))) + rng.choice(".!?")
+    text = lambda n: "".join(sentence() + rng.choice([" ", " ", "  ", "\n"]) for _ in range(n))
+    sources = [text(30) for _ in range(6)]
+    docs = []
+    for d in range(90):
+        body = text(8)
+        for _ in range(rng.randint(0, 2)):
+            stuff = rng.choice(sources)
+            spots = [m.span() for m in re.finditer(r"\S+", stuff)]
+            i = rng.randrange(len(spots) - 60)
+            piece = stuff[spots[i][0] : spots[i + rng.randint(20, 59)][1]]
+            at = rng.choice([m.start() for m in re.finditer(r"\S+", body)])
+            body = body[:at] + piece + rng.choice([" ", "\n"]) + body[at:]
+        docs.append((d, body))
+    want = plain_passages(docs, 25)
+    assert sum(map(bool, want.values())) > 20
+    for r in passages.drop_repeated_passages(spark.createDataFrame(docs, "doc_id long, text string"), least_words=25).collect():
+        assert [(s.start, s.end) for s in r.removed] == want[r.doc_id]
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_a_passage_of_fifty_words_is_found_wherever_it_stands(spark, monkeypatch, most):
+    monkeypatch.setattr(frames, "MOST_BROADCAST", most)
+    rng = random.Random(2)
+    sentence = lambda n=11: " ".join(f"x{rng.randrange(10**6)}" for _ in range(n)) + "."
+    whole = " ".join(sentence() for _ in range(30))
+    piece = " ".join(whole.split()[37:97])  # 60 words, four whole sentences of 44
+    docs = [(1, whole)] + [(d, f"{sentence(7)} own{d} {piece} tail{d} {sentence(9)}") for d in range(2, 12)]
+    rows = passages.drop_repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    texts = dict(docs)
+    for r in rows:
+        cut = " ".join(texts[r.doc_id][s.start : s.end] for s in r.removed).split()
+        assert cut == ([] if r.doc_id == 1 else piece.split())
+
+
 def test_passage_awkward_rows(spark, awkward):
     out = passages.drop_repeated_passages(awkward, least_words=10)
     assert out.columns == [*awkward.columns, "removed"]
