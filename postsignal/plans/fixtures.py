@@ -7,6 +7,8 @@ copies of a document stay exact copies.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import scoring, text
@@ -156,16 +158,17 @@ def damaged_pages(source: DataFrame) -> DataFrame:
 WAVE_HOURS, WAVES, LATE_WAVES = 12, 6, 2
 
 
-def wave_folder(spark: SparkSession, sf_dir: str) -> str:
-    """Folder of JSON pages that arrive in waves by their posts' hours, one file each; some posts come two waves late."""
+def waves(spark: SparkSession, sf_dir: str) -> Iterator[DataFrame]:
+    """Pages in waves by their posts' hours; some posts come two waves late. The posts are joined once, for all waves."""
     path, source = scratch_path(spark, "waves"), posts(spark, sf_dir)
     first = source.agg(F.min("ts")).scalar().cast("date")
     hours = F.date_diff(F.to_date("ts"), first) * 24 + F.hour("ts")
     wave = F.floor(hours / WAVE_HOURS) + F.when(F.col("post_id") % 13 == 0, LATE_WAVES).otherwise(0)
-    sorted_out = source.withColumn("wave", F.least(wave, F.lit(WAVES - 1)))
+    sorted_out = source.withColumn("wave", F.least(wave, F.lit(WAVES - 1)).cast("int"))
+    sorted_out.write.partitionBy("wave").parquet(path)
+    stored = spark.read.schema(sorted_out.schema).parquet(path)
     for n in range(WAVES):
-        search_pages(sorted_out.filter(F.col("wave") == n)).coalesce(1).write.mode("append").json(path)
-    return path
+        yield search_pages(stored.filter(F.col("wave") == n))
 
 
 _page_folders: dict[tuple, str] = {}

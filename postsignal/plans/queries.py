@@ -29,6 +29,8 @@ MAX_POINTS = 300
 TOPIC_CAP = 50
 NEWEST = 25
 SAMPLE = 100
+# Micro-batches that a stream takes a filled folder in, at most.
+BATCHES = 6
 # Stamp of everything the registered streams write.
 STREAM_TIME = datetime(2024, 2, 1)
 
@@ -724,9 +726,18 @@ def signal_summary_long(spark, sf):
 # --- streams ----------------------------------------------------------------
 
 
+def _arriving(spark, folder):
+    """The pages of a filled folder as a stream of at most `BATCHES` batches, three files at least in each.
+
+    A batch has a cost of its own, and what it finds stored grows with every one. So
+    the batches grow with the folder, not their number.
+    """
+    files = len(spark.read.text(folder).inputFiles())
+    return search_results.read_page_stream(spark, folder, files_per_batch=max(3, -(-files // BATCHES)))
+
+
 def _pages(spark, sf):
-    folder = fixtures.search_page_folder(spark, sf)
-    return streams.ingest(search_results.read_page_stream(spark, folder, files_per_batch=3), STREAM_TIME)
+    return streams.ingest(_arriving(spark, fixtures.search_page_folder(spark, sf)), STREAM_TIME)
 
 
 def _finish(query):
@@ -868,7 +879,7 @@ def _page_stream(spark, pages):
     folder = scratch_path(spark, "pages")
     writer = pages.write.option("maxRecordsPerFile", 4)
     (writer.text if pages.columns == ["value"] else writer.json)(folder)
-    return streams.examine(search_results.read_page_stream(spark, folder, files_per_batch=3), STREAM_TIME)
+    return streams.examine(_arriving(spark, folder), STREAM_TIME)
 
 
 def stream_rejects(spark, sf):
@@ -917,9 +928,12 @@ def stream_dedupe_within(spark, sf):
 
 
 def _windows(spark, sf):
-    pages = search_results.read_page_stream(spark, fixtures.wave_folder(spark, sf), files_per_batch=1)
-    path, checkpoint = scratch_path(spark, "windows"), scratch_path(spark, "state")
-    _finish(windows.start_windows(scoring.analyze_posts(streams.ingest(pages, STREAM_TIME)), path, checkpoint))
+    """A window stream that runs whenever a wave of pages has come; what came is one batch."""
+    folder, path, checkpoint = (scratch_path(spark, n) for n in ("arrived", "windows", "state"))
+    for pages in fixtures.waves(spark, sf):
+        pages.write.mode("append").json(folder)
+        arrived = streams.ingest(search_results.read_page_stream(spark, folder), STREAM_TIME)
+        _finish(windows.start_windows(scoring.analyze_posts(arrived), path, checkpoint))
     return windows.WindowFolder(spark, path)
 
 

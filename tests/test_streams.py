@@ -13,7 +13,7 @@ from postsignal import schema, scratch_path
 from postsignal.functions.scoring import analyze_posts
 from postsignal.operators import textvec
 from postsignal.operators.summary import stored_signal_summary
-from postsignal.plans import fixtures
+from postsignal.plans import fixtures, queries
 from postsignal.plans.analyze import signal_moments, signal_store, stored_summary
 from postsignal.sources import run_ledger, search_results
 from postsignal.sources.tables import post_store, refused_store
@@ -269,3 +269,24 @@ def test_a_failing_batch_is_recorded(spark, tmp_path):
         query.awaitTermination()
     run = run_ledger.read_runs(spark, ledger).first()
     assert run.status == "failed" and run.errors
+
+
+def test_a_filled_folder_is_taken_in_few_batches(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for n in range(40):
+        post = {"id": str(n), "text": f"text {n}", "created_at": "2024-01-05T10:00:00Z"}
+        (folder / f"{n}.json").write_text(json.dumps({"data": [post]}) + "\n")
+    stream = streams.ingest(queries._arriving(spark, str(folder)), NOW)
+    paths = [str(tmp_path / n) for n in ("posts", "ledger", "state")]
+    finish(streams.start_store(stream, *paths))
+    assert post_store(spark, paths[0]).read().count() == 40
+    assert 1 < run_ledger.read_runs(spark, paths[1]).count() <= queries.BATCHES
+
+
+def test_waves_are_made_from_posts_joined_once(spark):
+    made = list(fixtures.waves(spark, SF_DIR))
+    assert len(made) == fixtures.WAVES and not any("Join" in plan_of(pages) for pages in made)
+    posts = [pages.select(F.explode("data.id").alias("id")) for pages in made]
+    ids = [r.id for frame in posts for r in frame.collect()]
+    assert sorted(map(int, ids)) == list(range(200))
