@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
@@ -31,7 +32,20 @@ _RUN = rf"[{_BLANK}][{_BLANK} ]*| [{_BLANK} ]+"
 _CONTROL = r"[\x{00}-\x{08}\x{0b}-\x{0c}\x{0e}-\x{1f}\x{7f}-\x{9f}]"
 
 
+#: Bytes of text that are cleaned at a time: the copies that cleaning makes are as large.
+CLEANED = 1 << 20
+
+
 def _clean_batch(texts: pa.Array) -> pa.Array:
+    """`_clean_some` on runs of about `CLEANED` bytes, one text at least."""
+    if not len(texts):
+        return _clean_some(texts)
+    before = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) // CLEANED
+    starts = [0, *(np.flatnonzero(np.diff(before)) + 1).tolist(), len(texts)]
+    return pa.concat_arrays([_clean_some(texts.slice(a, b - a)) for a, b in zip(starts, starts[1:])])
+
+
+def _clean_some(texts: pa.Array) -> pa.Array:
     # Arrow's own NFKC leaves letters decomposed, so Python's is used, on the rows
     # that are not ASCII.
     if not pc.all(pc.string_is_ascii(texts)).as_py():

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, functions as F
 OVERSAMPLE, MOST_PASSES, TOLERANCE = 30, 16, 1e-9
 #: Terms in one block of a product, lanes a block is first added up in, and cells multiplied at a time.
 BLOCK, LANES, CELLS = 512, 16, 50_000
+#: Numbers that these cells make with the rows of a matrix, at most: a wider one takes fewer cells.
+NUMBERS = 1 << 21
 
 
 def product(rows: DataFrame, vector: str, basis: np.ndarray) -> DataFrame:
@@ -40,11 +42,8 @@ def product(rows: DataFrame, vector: str, basis: np.ndarray) -> DataFrame:
             values = batch.column("values").flatten().to_numpy()
             offsets = offsets - offsets[0]
             sums = np.zeros(shared.value.shape) if sums is None else sums
-            start = 0
-            while start < batch.num_rows:
-                end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + CELLS, "right")) - 1)
+            for start, end in row_steps(offsets, width):
                 _add(sums, columns[offsets[start] : offsets[end]], values[offsets[start] : offsets[end]], np.diff(offsets[start : end + 1]), shared.value)
-                start = end
         if sums is not None:
             lane = TaskContext.get().partitionId() % LANES
             for first in range(0, len(sums), BLOCK):
@@ -75,6 +74,15 @@ def product(rows: DataFrame, vector: str, basis: np.ndarray) -> DataFrame:
     return whole.mapInArrow(rows_of, "i int, sums array<double>")
 
 
+def row_steps(offsets: np.ndarray, width: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows, one row at least, whose cells make at most `NUMBERS` numbers with rows of `width`."""
+    most, start = max(1, min(CELLS, NUMBERS // max(1, width))), 0
+    while start < len(offsets) - 1:
+        end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + most, "right")) - 1)
+        yield start, end
+        start = end
+
+
 def _add(sums: np.ndarray, columns: np.ndarray, values: np.ndarray, sizes: np.ndarray, basis: np.ndarray) -> None:
     """Add xᵀ(x·basis) of some sparse rows x to `sums`."""
     if not len(columns):

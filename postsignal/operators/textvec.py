@@ -128,12 +128,15 @@ class TextVectors:
         @F.arrow_udf(T.ArrayType(T.DoubleType()))
         def scores(indices: pa.Array, values: pa.Array) -> pa.Array:
             sizes = np.diff(indices.offsets.to_numpy())
-            parts = loadings[indices.flatten().to_numpy()] * values.flatten().to_numpy()[:, None]
+            columns, weights = indices.flatten().to_numpy(), values.flatten().to_numpy()
             sums = np.zeros((len(sizes), loadings.shape[1]))
-            filled = np.flatnonzero(sizes)
-            if len(filled):
-                starts = np.concatenate(([0], np.cumsum(sizes)))[filled]
-                sums[filled] = np.add.reduceat(parts, starts)
+            ends = np.concatenate(([0], np.cumsum(sizes)))
+            for start, end in rangefinder.row_steps(ends, loadings.shape[1]):
+                cells = slice(ends[start], ends[end])
+                parts = loadings[columns[cells]] * weights[cells, None]
+                filled = start + np.flatnonzero(sizes[start:end])
+                if len(filled):
+                    sums[filled] = np.add.reduceat(parts, ends[filled] - ends[start])
             offsets = np.arange(len(sizes) + 1, dtype=np.int32) * loadings.shape[1]
             return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(sums.ravel()))
 

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import scoring, text
-from ..session import ensure_utc, scratch_path
+from ..session import ensure_small_batches, ensure_utc, scratch_path
 
 TOPICS = ["nifty50", "sensex", "intraday", "banknifty"]
 
@@ -45,7 +45,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ensure_utc(spark)
+    ensure_small_batches(ensure_utc(spark))
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
     events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "value", "props")
     factor = F.get_json_object("props", "$.k").cast("bigint")

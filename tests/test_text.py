@@ -1,5 +1,6 @@
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,3 +106,13 @@ def test_stop_words_are_sparks_default(spark):
     from pyspark.ml.feature import StopWordsRemover
 
     assert set(STOP_WORDS) == set(StopWordsRemover.loadDefaultStopWords("english"))
+
+
+def test_a_batch_is_cleaned_in_runs_of_bounded_bytes(monkeypatch):
+    texts = [None, "", " a  b ", "\ufb01n" * 50, "x" * 500, *[f" t\t{n} " for n in range(300)]]
+    whole, seen, clean = text._clean_some(pa.array(texts)), [], text._clean_some
+    monkeypatch.setattr(text, "CLEANED", 100)
+    monkeypatch.setattr(text, "_clean_some", lambda some: seen.append(some.nbytes) or clean(some))
+    assert text._clean_batch(pa.array(texts)).to_pylist() == whole.to_pylist()
+    assert len(seen) > 10
+    assert text._clean_batch(pa.array([], pa.string())).to_pylist() == []

@@ -180,3 +180,12 @@ def test_a_sketch_proves_its_terms_or_gives_none(spark, docs, monkeypatch, track
     heavy = textvec.heavy_terms(terms, n, config)
     assert (heavy is not None) == proven
     assert heavy is None or [tuple(r) for r in heavy] == [tuple(r) for r in expected]
+
+
+def test_cells_taken_at_a_time_shrink_with_the_width():
+    offsets = np.cumsum([0, *[150] * 1000, 0, 90_000, 3])
+    for width in (50, 1000):
+        steps = list(rangefinder.row_steps(offsets, width))
+        assert [s for s, _ in steps] == [0, *[e for _, e in steps[:-1]]] and steps[-1][1] == len(offsets) - 1
+        made = [(offsets[e] - offsets[s]) * width for s, e in steps if e - s > 1]
+        assert max(made) <= rangefinder.NUMBERS
