@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from postsignal import session
 from postsignal.operators import dedupe, filters, keyed, ranking, sampling
 
 T0 = datetime(2025, 1, 1)
@@ -175,3 +176,13 @@ def test_date_facets(spark):
     df = spark.createDataFrame(rows, "ts timestamp")
     counts = filters.facet_dates(df, F.lit(datetime(2025, 3, 15, 12)))
     assert {r.facet: r.n for r in counts.collect()} == {"today": 1, "past_7_days": 2, "this_month": 3, "this_year": 4}
+
+
+def test_small_batches_in_a_session_with_sparks_default(spark):
+    before = spark.conf.get(session.BATCH_BYTES)
+    try:
+        for given in ("67108864b", "64m", str(64 << 20), str(session.BATCH)):
+            spark.conf.set(session.BATCH_BYTES, given)
+            assert session.ensure_small_batches(spark).conf.get(session.BATCH_BYTES) == str(session.BATCH)
+    finally:
+        spark.conf.set(session.BATCH_BYTES, before)
