@@ -49,6 +49,10 @@ FEATURES = (
 )
 
 
+def has_market_hashtag(hashtags: Column, market_tags: tuple[str, ...]) -> Column:
+    return F.exists(hashtags, lambda h: F.lower(h).isin(*market_tags))
+
+
 def custom_features(
     content: Column, mentions: Column, hashtags: Column, market_tags: tuple[str, ...],
     numbers: Column | None = None,
@@ -63,7 +67,7 @@ def custom_features(
         "text_length": F.length(content),
         "word_count": text.word_count(content),
         "hashtag_count": F.size(hashtags),
-        "has_market_hashtag": F.exists(hashtags, lambda h: F.lower(h).isin(*market_tags)),
+        "has_market_hashtag": has_market_hashtag(hashtags, market_tags),
         "mention_count": F.size(mentions),
         "number_count": F.size(nums),
         "has_large_number": F.exists(nums, lambda n: F.coalesce(text.as_number(n) > 1000, F.lit(False))),
@@ -132,11 +136,12 @@ def analyze_posts(df: DataFrame, config: ScoringConfig | None = None) -> DataFra
             ),
         }
     )
+    # Not taken out of `custom_features`: a query of signals alone then computes no other feature.
     signal = composite_signal(
         F.col("sentiment_score"),
         F.col("engagement_score"),
-        F.col("custom_features.has_market_hashtag"),
-        F.col("custom_features.mention_count"),
+        has_market_hashtag(F.col("hashtags"), cfg.market_tags).cast("bigint"),
+        F.size("mentions").cast("bigint"),
         cfg.signal,
     )
     return scored.withColumn("composite_signal", signal).drop("bullish_hits", "bearish_hits", "_numbers")

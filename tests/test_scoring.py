@@ -105,3 +105,16 @@ def test_analysis_document(spark):
     assert answer["tweets_analyzed"] == answer["total_tweets_processed"] == 2
     assert answer["aggregated_signals"]["sentiment_distribution"] == {"positive": 1, "negative": 1, "neutral": 0}
     assert answer["aggregated_signals"]["mean_signal"] == 0.0
+
+
+def test_signals_alone_compute_no_other_feature(spark):
+    """`word_count` and `numbers` are patterns over whole texts; the signal needs neither."""
+    ddl = "content string, likes bigint, retweets bigint, replies bigint, mentions array<string>, hashtags array<string>"
+    posts = spark.createDataFrame([("buy 1200 now", 1, 2, 3, ["a"], ["Sensex"]), (None, None, None, None, None, None)], ddl)
+    scored = scoring.analyze_posts(posts)
+    plan = scored.select("composite_signal")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "regexp_count" not in plan
+    features = scored.select("composite_signal", "sentiment_score", "engagement_score", "custom_features.*").collect()
+    for r in features:
+        custom = 0.1 * r.has_market_hashtag + 0.1 * min(r.mention_count / 5, 1)
+        assert r.composite_signal == pytest.approx(0.5 * r.sentiment_score + 0.3 * r.engagement_score + 0.2 * custom)
