@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import pytest
 
+from postsignal import session
 from postsignal.llm import frames, linededup, passages
 
 WORDS = "alpha beta gamma delta eps zeta eta theta iota kappa".split()
@@ -251,3 +252,21 @@ def test_passage_awkward_rows(spark, awkward):
     assert {r.text for r in rows if r.doc_id == 2} == {None}
     assert passages.drop_repeated_passages(awkward.limit(0)).count() == 0
     assert "removed" not in passages.drop_repeated_passages(awkward, removed=None).columns
+
+
+def test_batches_of_texts_are_bounded_in_any_session(spark, tmp_path):
+    """Sessions built elsewhere bring Spark's default of 64 MB a batch; reading a table and storing rows bound it."""
+    before = spark.conf.get(session.BATCH_BYTES)
+    spark.range(3).write.parquet(str(tmp_path / "numbers.parquet"))
+    rows = frames.table(spark, str(tmp_path), "numbers")
+    uses = (
+        lambda: frames.table(spark, str(tmp_path), "numbers"), lambda: frames.stored(rows, "bounded"),
+        lambda: frames.map_batches(rows, lambda batch: {"id": batch.column("id")}, "id long"),
+    )
+    try:
+        for use in uses:
+            spark.conf.set(session.BATCH_BYTES, "67108864b")
+            use()
+            assert spark.conf.get(session.BATCH_BYTES) == str(session.BATCH)
+    finally:
+        spark.conf.set(session.BATCH_BYTES, before)
