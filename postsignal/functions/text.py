@@ -147,7 +147,8 @@ def preview(c: Column, width: int = 100) -> Column:
 
 def tokens(c: Column) -> Column:
     """Lower-cased words of two or more word characters."""
-    return F.regexp_extract_all(F.lower(c), F.lit(f"{WORD}{WORD}+"), F.lit(0))
+    # One possessive run: nothing after it could fail, so no way back is kept.
+    return F.regexp_extract_all(F.lower(c), F.lit(f"{WORD}{{2,}}+"), F.lit(0))
 
 
 def _pairs(t: Column) -> Column:

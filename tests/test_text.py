@@ -116,3 +116,11 @@ def test_a_batch_is_cleaned_in_runs_of_bounded_bytes(monkeypatch):
     assert text._clean_batch(pa.array(texts)).to_pylist() == whole.to_pylist()
     assert len(seen) > 10
     assert text._clean_batch(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_words_are_whole_runs_of_two_or_more(spark):
+    """The run is taken in one step: no pattern that gives characters back."""
+    column = text.tokens(F.col("t"))
+    assert "{2,}+" in str(column)
+    rows = spark.createDataFrame([("a ab a_b 1 12 किक été, x-yz",), ("",), (None,)], "t string")
+    assert [r.w for r in rows.select(column.alias("w")).collect()] == [["ab", "a_b", "12", "été", "yz"], [], None]
