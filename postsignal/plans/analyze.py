@@ -27,15 +27,17 @@ def signal_moments(spark: SparkSession, path: str) -> StoredTable:
 
 
 def store_signals(
-    table: StoredTable, signals: DataFrame, owner: str | None = None, moments: StoredTable | None = None
+    table: StoredTable, signals: DataFrame, owner: str | None = None, moments: StoredTable | None = None,
+    unique: bool = False,
 ) -> Generation:
     """Upsert signals and, in `moments`, what the write adds to and takes from the stored summary.
 
     Signals of a key that is stored are taken out of the summary again. They lie in the
     days of the batch, since a post's time stays what it was when it was stored, and only
-    these days are read. A replay under the same owner replaces both writes.
+    these days are read. A replay under the same owner replaces both writes. Signals of posts from
+    the post store are `unique` by their key.
     """
-    made = table.upsert(signals, owner=owner)
+    made = table.upsert(signals, owner=owner, unique=unique)
     if moments is not None:
         written = table.generation(made)
         # One date per day of the batch.

@@ -795,7 +795,7 @@ def stream_signals_into_store(spark, sf):
     path, checkpoint = scratch_path(spark, "signals"), scratch_path(spark, "state")
     table = analyze.signal_store(spark, path)
     first = datetime(2023, 1, 1)
-    table.upsert(analyze.build_signals(_collected(spark, sf), first))
+    table.upsert(analyze.build_signals(_collected(spark, sf), first), unique=True)
     _finish(
         streams.start_signals(_pages(spark, sf), scratch_path(spark, "unique"), path, STREAM_TIME, checkpoint)
     )
@@ -804,13 +804,19 @@ def stream_signals_into_store(spark, sf):
     )
 
 
+def _stale_signals(spark, sf, posts, path):
+    """The signal table of a store that a run has filled: its posts come from the store, where they lie cleaned."""
+    kept, table = post_store(spark, posts), analyze.signal_store(spark, path)
+    kept.insert(_collected(spark, sf), ["ts"], "run")
+    stale = analyze.build_signals(kept.read(), STREAM_TIME).withColumn("sentiment_score", F.lit(-9.0))
+    table.upsert(stale, unique=True)
+    return table
+
+
 def stream_reanalysis(spark, sf):
     """A stream that scores its whole window anew, over stored posts with stale signals."""
     posts, path, checkpoint = (scratch_path(spark, n) for n in ("posts", "signals", "state"))
-    older = _collected(spark, sf)
-    post_store(spark, posts).insert(older, ["ts"], "run")
-    table = analyze.signal_store(spark, path)
-    table.upsert(analyze.build_signals(older, STREAM_TIME).withColumn("sentiment_score", F.lit(-9.0)))
+    table = _stale_signals(spark, sf, posts, path)
     stream = streams.start_signals(_pages(spark, sf), posts, path, STREAM_TIME, checkpoint, lookback_hours=24 * 60)
     _finish(stream)
     return table.read().select("content_hash", r6("sentiment_score"), "sentiment_label")
@@ -819,10 +825,7 @@ def stream_reanalysis(spark, sf):
 def stream_reanalysis_window(spark, sf):
     """A stream that scores the posts of some days anew: stored ones from before the second day keep their stale signals."""
     posts, path, checkpoint = (scratch_path(spark, n) for n in ("posts", "signals", "state"))
-    older = _collected(spark, sf)
-    post_store(spark, posts).insert(older, ["ts"], "run")
-    table = analyze.signal_store(spark, path)
-    table.upsert(analyze.build_signals(older, STREAM_TIME).withColumn("sentiment_score", F.lit(-9.0)))
+    table = _stale_signals(spark, sf, posts, path)
     stream = streams.start_signals(_pages(spark, sf), posts, path, STREAM_TIME, checkpoint, lookback_hours=24 * 30)
     _finish(stream)
     return table.read().select("content_hash", r6("sentiment_score"), "sentiment_label")

@@ -66,19 +66,25 @@ class StoredTable:
         self.unique, self.day = unique, day
         self.schema = StructType.fromDDL(ddl)
 
-    def _committed(self, folder: str) -> list[str]:
+    def _committed(self, folder: str) -> dict[str, int]:
         hadoop = self.spark._jvm.org.apache.hadoop.fs
         target = hadoop.Path(f"{folder}/gen=*/_SUCCESS")
         fs = target.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return [str(s.getPath().getParent().getName()) for s in (fs.globStatus(target) or [])]
+        found = fs.globStatus(target) or []
+        return {str(s.getPath().getParent().getName()): int(s.getModificationTime()) for s in found}
+
+    def commits(self) -> dict[Generation, int]:
+        """Committed generations in order, each with the time of its last write; a few bytes per write."""
+        times = self._committed(self.path)
+        if self.unique:
+            valued = self._committed(f"{self.path}/values")
+            times = {n: t for n, t in times.items() if n in valued}
+        found = [(m, times[m.string]) for m in map(_NAME.match, times) if m]
+        return dict(sorted((Generation(int(m[1]), m[2], m[3]), t) for m, t in found))
 
     def generations(self) -> list[Generation]:
         """Committed generations in order; one entry per write, a few bytes each."""
-        names = set(self._committed(self.path))
-        if self.unique:
-            names &= set(self._committed(f"{self.path}/values"))
-        found = (_NAME.match(n) for n in names)
-        return sorted(Generation(int(m[1]), m[2], m[3]) for m in found if m)
+        return list(self.commits())
 
     def place(self, owner: str | None) -> tuple[int, str]:
         """(number, owner) of a write: its own number if it was committed before, else the next."""
@@ -100,14 +106,17 @@ class StoredTable:
         known = StructType(list(self.schema.fields))
         return (known.add("_day", "date") if self.day else known).add("gen", "string")
 
-    def read(self, before: int | None = None, since: datetime | None = None, days: list | None = None) -> DataFrame:
+    def read(
+        self, before: int | None = None, since: datetime | None = None, days: list | None = None,
+        without: frozenset[Generation] = frozenset(),
+    ) -> DataFrame:
         """Live rows; `before` hides generations from that number on, `since` rows older than that time.
 
         `days` are the dates to be read. In a table with a key, both take it for granted that the
-        rows of a key are of one day.
+        rows of a key are of one day. `without` leaves out what some writes stored.
         """
         names = self.schema.fieldNames()
-        live = self._live(before)
+        live = [g for g in self._live(before) if g not in without]
         if not live:
             return self.spark.createDataFrame([], self.schema)
         rows = self._rows(live)
@@ -193,10 +202,16 @@ class StoredTable:
         number, owner = self.place(owner)
         return self._write(keyed.insert_if_absent(self.read(number), batch, key, order_by), number, ADDED, owner)
 
-    def upsert(self, batch: DataFrame, order_by: list | None = None, owner: str | None = None) -> Generation:
-        """Insert or replace by the table's key; of a batch's rows of one key the last in order counts."""
+    def upsert(
+        self, batch: DataFrame, order_by: list | None = None, owner: str | None = None, unique: bool = False
+    ) -> Generation:
+        """Insert or replace by the table's key; of a batch's rows of one key the last in order counts.
+
+        `unique` says that the batch has one row per key already: nothing is shuffled to find the last.
+        """
         number, owner = self.place(owner)
-        return self._write(keyed.last_per_key(batch, self.key, order_by or []), number, ADDED, owner)
+        rows = batch if unique else keyed.last_per_key(batch, self.key, order_by or [])
+        return self._write(rows, number, ADDED, owner)
 
     def retain(self, parents: DataFrame, key: str, owner: str | None = None) -> Generation:
         """Keep only the rows whose key still has a parent; the rest is no longer read."""

@@ -2,7 +2,7 @@ import json
 import os
 import re
 from collections import Counter
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import numpy as np
 import pytest
@@ -11,10 +11,10 @@ from pyspark.sql.types import StructType
 
 from postsignal import schema, scratch_path
 from postsignal.functions.scoring import analyze_posts
-from postsignal.operators import textvec
+from postsignal.operators import keyed, textvec
 from postsignal.operators.summary import stored_signal_summary
 from postsignal.plans import fixtures, queries
-from postsignal.plans.analyze import signal_moments, signal_store, stored_summary
+from postsignal.plans.analyze import build_signals, signal_moments, signal_store, store_signals, stored_summary
 from postsignal.sources import run_ledger, search_results
 from postsignal.sources.tables import post_store, refused_store
 from postsignal.streaming import streams, windows
@@ -258,6 +258,58 @@ def test_signal_stream_keeps_a_ledger_vectors_and_moments(spark, pages, tmp_path
     assert kept == pytest.approx(stored_signal_summary(stored).first().asDict())
 
 
+def test_a_window_is_scored_once_per_start_of_a_query(spark, pages, tmp_path):
+    paths = [str(tmp_path / n) for n in ("posts", "signals")]
+    start = lambda state: finish(streams.start_signals(
+        posts(spark, pages, 1), *paths, NOW, str(tmp_path / state), lookback_hours=24 * 60
+    ))
+    start("state")
+    table = signal_store(spark, paths[1])
+    written = [table.generation(g).count() for g in table.generations()]
+    assert len(written) > 1 and sum(written) == distinct_posts(spark)
+    stale = table.read().withColumn("sentiment_score", F.lit(-9.0))
+    table.upsert(stale.localCheckpoint(), unique=True)
+    start("anew")
+    again = table.read()
+    assert again.count() == distinct_posts(spark) and again.filter("sentiment_score = -9").isEmpty()
+
+
+def test_what_others_write_makes_the_whole_window_unscored(spark, tmp_path):
+    kept, signals = post_store(spark, str(tmp_path / "posts")), signal_store(spark, str(tmp_path / "signals"))
+    post = lambda n: spark.createDataFrame(
+        [("u", NOW, f"text {n}", 1, 1, 1, [], [], str(n), None, f"h{n}", NOW)], schema.POSTS
+    )
+    window, since = streams._Window(), NOW.replace(tzinfo=timezone.utc) - timedelta(hours=24)
+    score = lambda since=since: sorted(r.content_hash for r in window.unscored(kept, signals, since).collect())
+    done = lambda: window.done(signals, store_signals(signals, build_signals(kept.read(), NOW), unique=True))
+    kept.insert(post(1), ["ts"], "run")
+    assert score() == ["h1"]
+    done()
+    assert score() == []
+    done()
+    kept.insert(post(2), ["ts"], "other")
+    assert score() == ["h2"]
+    done()
+    signals.upsert(build_signals(post(1), NOW))  # another's signals
+    assert score() == ["h1", "h2"]
+    done()
+    kept.insert(post(3), ["ts"], "other")  # replaces what `other` stored
+    assert score() == ["h3"]
+    done()
+    assert score() == [] and score(since - timedelta(hours=1)) == ["h1", "h3"]
+
+
+def test_signals_of_unique_posts_are_not_grouped_before_they_are_written(spark, tmp_path, monkeypatch):
+    grouped = []
+    monkeypatch.setattr(keyed, "last_per_key", lambda batch, *more: grouped.append(batch) or batch)
+    table = signal_store(spark, str(tmp_path / "signals"))
+    signals = spark.createDataFrame([], schema.SIGNALS)
+    store_signals(table, signals, unique=True)
+    assert not grouped
+    store_signals(table, signals)
+    assert len(grouped) == 1
+
+
 def test_a_failing_batch_is_recorded(spark, tmp_path):
     (tmp_path / "pages").mkdir()
     (tmp_path / "pages" / "1.json").write_text(LINES[0])
