@@ -427,7 +427,7 @@ def stream_signal_vectors(spark, sf):
     """Vectors of a signal stream under a stored model, and how far they are from those of a batch."""
     posts = _clean(spark, sf).select("content", "content_hash")
     path = scratch_path(spark, "model")
-    fitted = textvec.fit(posts)
+    fitted, vectors = textvec.fit_transform(posts, ["content_hash"], output="expected")
     textvec.save(fitted, spark, path)
     signals = scratch_path(spark, "signals")
     _finish(
@@ -436,7 +436,8 @@ def stream_signal_vectors(spark, sf):
             vectors=textvec.load(spark, path),
         )
     )
-    batch = fitted.transform(posts.dropDuplicates(["content_hash"]), output="expected").select("content_hash", "expected")
+    # The vectors of the texts that were fitted: none is cleaned or split again.
+    batch = vectors.dropDuplicates(["content_hash"])
     both = analyze.signal_store(spark, signals).read().join(batch, "content_hash")
     off = F.array_max(F.zip_with("tfidf", "expected", lambda a, b: F.abs(a - b)))
     return both.select("content_hash", F.size("tfidf").cast("bigint").alias("n_values"), F.round(off, 6).alias("off"))

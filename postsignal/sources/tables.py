@@ -139,15 +139,27 @@ class StoredTable:
         """What one write stored."""
         return self._rows([written]).select(*self.schema.fieldNames())
 
-    def taken(self, column: str, batch: DataFrame, before: int | None = None) -> DataFrame:
+    def parts(self, batch: DataFrame, columns: tuple[str, ...] | None = None) -> dict[str, list[int]]:
+        """The parts that the batch has values of unique columns in: numbers, at most `PARTS` a column."""
+        named = [F.struct(F.lit(c).alias("of"), F.col(c).cast("string").alias("value")) for c in columns or self.unique]
+        values = batch.select(F.explode(F.array(*named)).alias("v")).select("v.*").filter("value is not null")
+        found: dict[str, list[int]] = {}
+        for row in values.select("of", _part("value")).distinct().collect():
+            found.setdefault(row.of, []).append(row.part)
+        return found
+
+    def taken(
+        self, column: str, batch: DataFrame, before: int | None = None, parts: dict[str, list[int]] | None = None
+    ) -> DataFrame:
         """Those of the batch's values of a unique column that are stored, once each.
 
-        Only the parts that the batch has values in are read: the driver gets their
-        numbers, at most `PARTS`.
+        Only the `parts` that the batch has values in are read; they are looked up if not given.
         """
         values = batch.select(F.col(column).cast("string").alias("value")).filter("value is not null").distinct()
         live = self._live(before)
-        parts = [r.part for r in values.select(_part("value")).distinct().collect()] if live else []
+        if live and parts is None:
+            parts = self.parts(batch, (column,))
+        parts = parts.get(column) if live else None
         if not parts:
             return self.spark.createDataFrame([], f"{column} string")
         reader = self.spark.read.schema("value string, gen string, of string, part int").option("basePath", f"{self.path}/values")
@@ -187,8 +199,9 @@ class StoredTable:
         """
         number, owner = self.place(owner)
         rows, first, among = batch, self.unique[0], batch if among is None else among
+        parts = self.parts(among) if self._live(number) else {}
         for column in self.unique:
-            new = rows.join(self.taken(column, among, number), column, "left_anti")
+            new = rows.join(self.taken(column, among, number, parts), column, "left_anti")
             rows = keyed.unique_id_guard(new, column, first, order_by)
         return self._write(watch(rows.select(*self.schema.fieldNames())), number, ADDED, owner)
 

@@ -310,6 +310,22 @@ def test_signals_of_unique_posts_are_not_grouped_before_they_are_written(spark,
     assert len(grouped) == 1
 
 
+def test_a_batch_looks_up_the_parts_of_both_values_at_once(spark, tmp_path):
+    table = post_store(spark, str(tmp_path / "posts"))
+    batch = spark.createDataFrame([(f"h{n}", f"{n}" if n % 2 else None) for n in range(40)], "content_hash string, tweet_id string")
+    found = table.parts(batch)
+    assert set(found) == {"content_hash", "tweet_id"} and all(len(set(p)) == len(p) <= 16 for p in found.values())
+    assert table.parts(batch.filter("tweet_id is null"), ("tweet_id",)) == {}
+
+
+def test_the_batch_vectors_of_a_stream_come_from_its_fit(spark, monkeypatch):
+    kept, fit = [], textvec.fit_transform
+    monkeypatch.setattr(textvec, "fit_transform", lambda df, keep, *a, **k: kept.append(keep) or fit(df, keep, *a, **k))
+    made = queries.stream_signal_vectors(spark, SF_DIR)
+    assert kept == [["content_hash"]]
+    assert made.count() == distinct_posts(spark) and made.filter("off <> 0").isEmpty()
+
+
 def test_a_failing_batch_is_recorded(spark, tmp_path):
     (tmp_path / "pages").mkdir()
     (tmp_path / "pages" / "1.json").write_text(LINES[0])
