@@ -31,12 +31,16 @@ def judge_posts(raw: DataFrame, as_of: Column | datetime) -> DataFrame:
     """Clean posts and, beside them, what is refused: `reason` is null for a good post.
 
     A `refused` column, as from `examine_search_pages`, goes before the post's own
-    faults. Posts that are empty after cleaning are neither good nor refused.
+    faults. Posts that are empty after cleaning are neither good nor refused. What was read
+    stays in `raw` for refused rows only: a good post's text is not kept twice.
     """
     early = F.col("refused") if "refused" in raw.columns else F.lit(None).cast("string")
     cleaned = _cleaned(raw).filter((F.col("content") != "") | early.isNotNull())
     judged = _stamped(cleaned, as_of)
-    return judged.withColumn("reason", F.coalesce(early, filters.reject_reason())).drop("refused")
+    judged = judged.withColumn("reason", F.coalesce(early, filters.reject_reason())).drop("refused")
+    if "raw" not in judged.columns:
+        return judged
+    return judged.withColumn("raw", F.when(F.col("reason").isNotNull(), F.col("raw")))
 
 
 def _cleaned(raw: DataFrame) -> DataFrame:

@@ -326,6 +326,13 @@ def test_the_batch_vectors_of_a_stream_come_from_its_fit(spark, monkeypatch):
     assert made.count() == distinct_posts(spark) and made.filter("off <> 0").isEmpty()
 
 
+def test_what_was_read_is_kept_for_refused_posts_only(spark, tmp_path):
+    (tmp_path / "1.json").write_text("\n".join(LINES))
+    judged = streams.examine(search_results.read_search_pages(spark, str(tmp_path)), NOW).collect()
+    assert {r.reason is None for r in judged} == {True, False}
+    assert all((r.raw is None) == (r.reason is None) for r in judged)
+
+
 def test_a_failing_batch_is_recorded(spark, tmp_path):
     (tmp_path / "pages").mkdir()
     (tmp_path / "pages" / "1.json").write_text(LINES[0])
