@@ -59,8 +59,10 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         (factor * (F.col("n_chars") % 13)).cast("bigint").alias("likes"),
         F.floor("value").cast("bigint").alias("retweets"),
         (F.col("user_id") % 20).cast("bigint").alias("replies"),
-        # Clients that name posts by language and length reuse ids.
-        F.when(F.col("n_chars") % 10 != 0, F.concat("lang", F.col("n_chars").cast("string"))).alias("tweet_id"),
+        # Clients that name posts by language and length reuse ids; without a language the length is the id.
+        F.when(
+            F.col("n_chars") % 10 != 0, F.concat(F.coalesce("lang", F.lit("")), F.col("n_chars").cast("string"))
+        ).alias("tweet_id"),
     )
 
 

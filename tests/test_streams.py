@@ -365,3 +365,14 @@ def test_waves_are_made_from_posts_joined_once(spark):
     posts = [pages.select(F.explode("data.id").alias("id")) for pages in made]
     ids = [r.id for frame in posts for r in frame.collect()]
     assert sorted(map(int, ids)) == list(range(200))
+
+
+def test_a_post_without_a_language_keeps_its_id_and_a_text_is_stored_under_one(spark, tmp_path):
+    rows = [(0, "a text", None, 23), (1, "another", "en", 23), (2, "a third", None, 20), (3, "another", "de", 23)]
+    for name, kind in (("documents", "doc_id long, text string, lang string, n_chars long"), ("events", None)):
+        source = spark.createDataFrame(rows, kind) if kind else spark.read.parquet(f"{SF_DIR}/events.parquet")
+        source.write.parquet(str(tmp_path / f"{name}.parquet"))
+    ids = {r.post_id: r.tweet_id for r in fixtures.posts(spark, str(tmp_path)).collect()}
+    assert ids == {0: "23", 1: "en23", 2: None, 3: "de23"}
+    stored = {r.tweet_id for r in queries.stream_id_guard(spark, str(tmp_path)).collect()}
+    assert stored in ({"23", None, "en23"}, {"23", None, "de23"})
