@@ -11,6 +11,7 @@ import json
 import unicodedata
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ NEVER = np.iinfo(np.int64).max
 SHORT = 48
 #: Characters of text that are encoded together; bounds the arrays.
 BLOCK_CHARS = 6_000_000
+#: Characters of different runs whose tokens are kept from block to block; bounds what a Python process holds.
+KNOWN_CHARS = 3_000_000
 #: Python's and Arrow's white space, but not the file's.
 ODD_SPACE = "[\\x1c-\\x1f]"
 
@@ -78,6 +81,11 @@ class ArrayMap:
         return out
 
 
+def strings(texts: pa.Array) -> list[str]:
+    """The Python strings of an array without nulls."""
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
 def expanded(offsets: np.ndarray, values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, values) of the given rows of a ragged array, one after the other."""
     sizes = np.diff(offsets)[rows]
@@ -110,6 +118,7 @@ class WordBPE:
         self.byte_of = {c: b for b, c in enumerate(characters)}
         self.symbol_ids = np.array([self.ids[c] for c in characters] + [self.ids[c + self.end] for c in characters])
         self._read_merges([tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]])
+        self._forget()
 
     def _read_merges(self, merges: list[tuple[str, str]]) -> None:
         size = max(self.ids.values()) + 1
@@ -281,7 +290,7 @@ class WordBPE:
     def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, tokens) of texts whose pieces are given in turn, a newline after each text."""
         coded = pa.array(pieces, pa.large_string()).dictionary_encode()
-        different, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        different, which = strings(coded.dictionary), coded.indices.to_numpy()
         stop = different.index("\n")
         different[stop] = "."  # a stand-in, which gives no token below
         special = [(n, self.special[w]) for n, w in enumerate(different) if w in self.special]
@@ -324,6 +333,34 @@ class WordBPE:
             pieces = [*self.pieces_and_breaks(self._normal(joined)), "\n"]
         return self._encode_pieces(pieces)
 
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.known_ends, self.known_tokens, self.held = np.zeros(1, np.int64), np.zeros(0, np.int32), 0
+
+    def _encode_known(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As `_encode_runs`, of different runs: only those that no block before had are encoded.
+
+        A run's tokens depend on nothing beside it. What is known is forgotten as a whole where it
+        would go beyond `KNOWN_CHARS`; a block that goes beyond it alone is not kept.
+        """
+        rows = np.fromiter(map(self.known.get, runs, repeat(-1)), np.int64, len(runs))
+        new = np.flatnonzero(rows < 0)
+        fresh = [runs[n] for n in new.tolist()]
+        size = sum(map(len, fresh))
+        if self.held + size > KNOWN_CHARS:
+            self._forget()
+            fresh, new, size = runs, np.arange(len(runs)), sum(map(len, runs))
+            if size > KNOWN_CHARS:
+                return self._encode_runs(runs)
+        if fresh:
+            offsets, tokens = self._encode_runs(fresh)
+            rows[new] = len(self.known) + np.arange(len(fresh))
+            self.known.update(zip(fresh, rows[new].tolist()))
+            self.known_ends = np.concatenate((self.known_ends, self.known_ends[-1] + offsets[1:]))
+            self.known_tokens = np.concatenate((self.known_tokens, tokens.astype(np.int32)))
+            self.held += size
+        return expanded(self.known_ends, self.known_tokens, rows)
+
     def encode_array(self, texts: pa.Array) -> pa.Array:
         """Token ids (lists of int32) of a string array without nulls; special tokens' strings become those tokens."""
         parts, start, held = [], 0, 0
@@ -342,7 +379,7 @@ class WordBPE:
         odd = pc.match_substring_regex(texts, ODD_SPACE)
         split = pc.utf8_split_whitespace(pc.if_else(odd, "", texts))
         coded = split.flatten().dictionary_encode()
-        offsets, tokens = self._encode_runs(coded.dictionary.to_pylist())
+        offsets, tokens = self._encode_known(strings(coded.dictionary))
         word_ends, tokens = expanded(offsets, tokens, coded.indices.to_numpy())
         ends = word_ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
         if pc.any(odd).as_py():  # rare texts that must not be split at these characters

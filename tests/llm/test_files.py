@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from postsignal.llm import files, vptree, warc, wavelet, zipfiles
+from postsignal.llm import files, vptree, warc, wavelet, wordbpe, zipfiles
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -167,3 +167,23 @@ def test_repeated_vectors_and_queries_count_by_row(spark):
     for shard_rows, query_rows in ((20_000, 8_192), (30, 3)):
         got = vptree.search(vptree.build(frame, shard_rows), asked, 12, query_rows=query_rows).collect()
         assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == want
+
+
+@pytest.mark.parametrize("most", [0, 60, 10**6])
+def test_a_run_of_an_earlier_block_is_not_encoded_again(monkeypatch, most):
+    """Whatever is kept, and however often it is forgotten, the ids are the library's."""
+    monkeypatch.setattr(wordbpe, "KNOWN_CHARS", most)
+    coder, library, encoded = wordbpe.WordBPE(PATH), Tokenizer.from_file(PATH), []
+    plain = coder._encode_runs
+    monkeypatch.setattr(coder, "_encode_runs", lambda runs: encoded.extend(runs) or plain(runs))
+    blocks = [
+        ["The cat sat.", "the CAT, e\u0301 \u00c9"], ["sat. The cat", "", "<|endoftext|> The"],
+        ["new words here, " * 5, "x" * 100], ["the CAT, The cat sat. \u03a3\u03a3"],
+    ]
+    for texts in blocks:
+        want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert coder.encode_array(pa.array(texts)).to_pylist() == want
+    runs = [set(" ".join(texts).split()) for texts in blocks]
+    if most == 10**6:
+        assert len(encoded) == len(set(encoded)) and set(encoded) - {""} == set().union(*runs)
+    assert coder.held <= most and coder.held == sum(map(len, coder.known))
